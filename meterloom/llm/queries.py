@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding
+from . import decontam, mixing, neardup, quality, sharding
 
 QUERIES = {
+    "op2_tensored_minhash": neardup.grouped_documents,
+    "op1_weak_supervision": quality.judged_documents,
     "op4_poisson_mixing": mixing.mixed_documents,
     "op8_positional_index": decontam.judged_documents,
     "op9_two_pass_shuffle": sharding.sharded_documents,
