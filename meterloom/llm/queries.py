@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, neardup, quality, sharding
+from . import decontam, mixing, neardup, quality, sharding, tokens
 
 QUERIES = {
     "op2_tensored_minhash": neardup.grouped_documents,
     "op1_weak_supervision": quality.judged_documents,
+    "op3_patched_frames": tokens.encoded_documents,
     "op4_poisson_mixing": mixing.mixed_documents,
     "op8_positional_index": decontam.judged_documents,
     "op9_two_pass_shuffle": sharding.sharded_documents,
