@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, neardup, quality, sharding, tokens
+from . import decontam, linededup, mixing, neardup, quality, sharding, tokens, urlfilter, warc
 
 QUERIES = {
     "op2_tensored_minhash": neardup.grouped_documents,
     "op1_weak_supervision": quality.judged_documents,
     "op3_patched_frames": tokens.encoded_documents,
     "op4_poisson_mixing": mixing.mixed_documents,
+    "op5_digest_array": urlfilter.judged_pages,
+    "op6_levelled_runs": linededup.deduplicated_documents,
     "op8_positional_index": decontam.judged_documents,
     "op9_two_pass_shuffle": sharding.sharded_documents,
+    "op10_seekable_bundles": warc.archived_pages,
 }
 
 ORACLE_SQL = {
     "op4_poisson_mixing": mixing.MIXED_SQL,
+    "op5_digest_array": urlfilter.JUDGED_SQL,
+    "op6_levelled_runs": linededup.DEDUPLICATED_SQL,
     "op8_positional_index": decontam.JUDGED_SQL,
+    "op10_seekable_bundles": warc.ARCHIVED_SQL,
 }
