@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, mixing, neardup, quality, sharding, tokens, urlfilter, warc
+from . import decontam, linededup, mixing, neardup, pii, quality, sharding, tokens, urlfilter, warc
 
 QUERIES = {
     "op2_tensored_minhash": neardup.grouped_documents,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_poisson_mixing": mixing.mixed_documents,
     "op5_digest_array": urlfilter.judged_pages,
     "op6_levelled_runs": linededup.deduplicated_documents,
+    "op7_feistel_pseudonyms": pii.pseudonymised_documents,
     "op8_positional_index": decontam.judged_documents,
     "op9_two_pass_shuffle": sharding.sharded_documents,
     "op10_seekable_bundles": warc.archived_pages,
