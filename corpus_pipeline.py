@@ -1,3 +1,57 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus pipeline: documents pass quality rules, near-dedup, decontamination and mixing, and are written as token ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from meterloom.llm import decontam, mixing, neardup, quality, tokens
+from meterloom.llm.shared import new_folder
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.judge(docs).where("kept").select("record.*")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.without_near_duplicates(docs)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't match the benchmark."""
+    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that all sources weigh the same, in random order."""
+    return mixing.mix_sources(docs).select("record.*")
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files, as a row for each document read back from them."""
+    return tokens.encoded(docs)
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("near duplicates", keep_one_of_each),
+    ("decontamination", keep_uncontaminated),
+    ("mixing", mix),
+    ("token ids", tokenize),
+]
+
+#: Expectation-maximisation, minhashes and the tokenizer are beyond SQL; tests/llm has brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written as Parquet and read again."""
+    folder = new_folder(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        path = f"{folder}/{i}"
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs
