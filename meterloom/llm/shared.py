@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -77,3 +79,8 @@ def open_file(uri: str):
 
     where, path = fs.FileSystem.from_uri(uri)
     return where.open_input_file(path)
+
+
+def worker_state() -> types.ModuleType:
+    """A module of the Python worker that outlives its tasks, for what is costly to build and safe to share."""
+    return sys.modules.setdefault("meterloom_worker_state", types.ModuleType("meterloom_worker_state"))

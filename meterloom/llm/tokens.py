@@ -17,7 +17,7 @@ import os
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import new_folder, open_file, put_file, written
+from .shared import new_folder, open_file, put_file, worker_state, written
 
 MAGIC = b"PFORIDS1"
 BLOCK, LANES, HEAD = 128, 4, 8
@@ -114,12 +114,15 @@ class WordEncoder:
     """Encodes whole texts word by word, each distinct word of a slice once.
 
     The tokenizer drops white space, splits at it and encodes what lies between on its own, and it
-    parts a letter from a full stop or comma after it; so the ids of a text are those of its words
-    in turn, and frequent words come from a cache of a fixed number of entries. Texts with the start
-    of a special token are encoded as they are.
+    parts a letter from a sign other than an apostrophe after it; so the ids of a text are those of
+    its words in turn, and frequent words come from a cache of a fixed number of entries. Texts with
+    the start of a special token are encoded as they are.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    #: A letter and an ASCII sign after it, which the tokenizer parts.
+    SEAM = r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+
+    def __init__(self, path: str, most: int = 400_000) -> None:
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -132,8 +135,10 @@ class WordEncoder:
         import numpy as np
 
         found: list[bytes | None] = [None] * len(words)
-        simple = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
-        for k in range(0, len(simple), 1000):  # letters alone make one piece, whose last id ends a word
+        # Letters alone make one piece, whose last id ends a word: as every word has such an id at
+        # least, as many of them as words say that each has one.
+        simple = [i for i, w in enumerate(words) if w.isalpha()]
+        for k in range(0, len(simple), 1000):
             part = simple[k : k + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(words[i] for i in part), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
@@ -154,7 +159,7 @@ class WordEncoder:
         texts = pc.fill_null(texts, "")
         special = pc.match_substring(texts, "<|")
         odd = np.flatnonzero(special.to_numpy(zero_copy_only=False))
-        spaced = pc.replace_substring_regex(pc.ascii_lower(pc.if_else(special, "", texts)), "([a-z])([.,])", "\\1 \\2")
+        spaced = pc.replace_substring_regex(pc.ascii_lower(pc.if_else(special, "", texts)), self.SEAM, "\\1 \\2")
         lists = pc.ascii_split_whitespace(spaced)
         flat = lists.flatten()
         coded = pc.dictionary_encode(flat)
@@ -191,13 +196,13 @@ def _writer(folder: str, tokenizer: str, end_id: int, slice_bytes: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = None
+        encoders = worker_state().__dict__.setdefault("encoders", {})
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}.pfor"
         docs, sizes, n_ids = [], [], 0
 
         def chunks():
-            nonlocal encoder, n_ids
+            nonlocal n_ids
             yield MAGIC
             rest = np.empty(0, np.uint32)
             for whole in batches:
@@ -206,9 +211,10 @@ def _writer(folder: str, tokenizer: str, end_id: int, slice_bytes: int):
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     if a == b:
                         continue
-                    encoder = encoder or WordEncoder(tokenizer)
+                    if tokenizer not in encoders:
+                        encoders[tokenizer] = WordEncoder(tokenizer)
                     batch = whole.slice(a, b - a)
-                    ids, counts = encoder(batch["text"], end_id)
+                    ids, counts = encoders[tokenizer](batch["text"], end_id)
                     n_ids += len(ids)
                     rows = np.zeros((len(counts), 3), "<i8")
                     rows[:, 0] = pc.fill_null(batch["doc_id"], 0).to_numpy(zero_copy_only=False)
@@ -239,7 +245,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, slice_bytes: int):
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", slice_bytes: int = 6 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", slice_bytes: int = 8 << 20) -> DataFrame:
     """Write the ids of all texts below ``folder``, in ascending order of ``key``; returns the files.
 
     Columns: part, path, bytes, n_docs, n_ids, start (ids in the files before). A file per range of
