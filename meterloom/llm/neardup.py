@@ -5,8 +5,8 @@ every pair of half keys, one of either collection, is the key of one table. So m
 serve m * m tables. Sets that share a key are candidates, and a link is confirmed on the full sets.
 
 Within the sets of a key not all pairs are made. All compare with one pivot, the set that meets
-most others; linked sets are contracted, and only then do sets of different components that share
-a key compare, where neither their sizes nor the shingles that no other candidate has exclude it.
+most others; linked sets are contracted, and only then do sets of different components compare,
+where neither their sizes nor their rare shingles exclude a link.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import new_folder, small, written
 
 BROADCAST_ROWS = 2_000_000
+#: Shingles of so many open sets at most count as rare; each makes under RARE ** 2 / 2 pairs.
+RARE = 8
 
 
 @dataclass(frozen=True)
@@ -270,31 +272,50 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 3
     )
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2")
     open_rows = written(labelled.join(open_keys.select("key"), "key", "left_semi"), folder, "open")
-    # What no other candidate has can't be common: it bounds the similarity with any of them.
-    open_nodes = written(open_rows.select("node").distinct(), folder, "open_nodes")
-    shingles = sets.join(open_nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
-    own = (
-        shingles.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count("*").alias("own"))
-    )
-    bounded = open_rows.join(written(own, folder, "own"), "node", "left").select(
-        "key", "node", "n", "component", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")
+    # Shingles that few open sets have. Of two sets that are linked, either both have enough of the
+    # others to be, or they have some of these in common; pairs are made for the one and the other.
+    open_nodes = written(open_rows.select("node", "n", "component").distinct(), folder, "open_nodes")
+    shingles = sets.join(open_nodes.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    few = shingles.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    rare = written(shingles.join(few, "s"), folder, "rare")
+    of_rare = rare.groupBy("node").agg(F.count("*").alias("n_rare"))
+    info = written(
+        open_nodes.join(of_rare, "node", "left").select("node", "n", "component", (F.col("n") - F.coalesce("n_rare", F.lit(0))).alias("common")),
+        folder,
+        "info",
     )
-    alive = written(bounded.where(100 * F.col("common") >= percent * F.col("n")), folder, "alive")
-    x, y = alive.alias("x"), alive.alias("y")
-    most = F.least("x.common", "y.common")
-    second = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.node") > F.col("y.node"))
+
+    def possible(shared):
+        """Whether sets x and y may be linked, of other components, with ``shared`` rare shingles in common."""
+        most = F.least("x.common", "y.common") + shared
+        return (
+            (F.col("x.node") > F.col("y.node"))
             & (F.col("x.component") != F.col("y.component"))
             & fits(F.col("x.n"), F.col("y.n"))
-            & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)),
+            & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
         )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
+
+    pair = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
+    shared_rare = rare.where("df > 1").select("s", "node").join(info, "node")
+    x, y = shared_rare.alias("x"), shared_rare.alias("y")
+    # df bounds the pairs of a shingle
+    by_rare = (
+        x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")))
+        .groupBy(*pair)
+        .agg(F.count("*").alias("shared"))
+    )
+    x, y = info.alias("x"), info.alias("y")
+    by_rare = by_rare.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(possible(F.col("shared"))).select("a", "b")
+    # Sets without rare shingles in common: each pair once, among the sets that keys hold together.
+    alive = written(
+        open_rows.select("key", "node").join(info.where(100 * F.col("common") >= percent * F.col("n")).select("node"), "node", "left_semi"), folder, "alive"
     )
+    hubs = alive.groupBy("key").agg(F.min("node").alias("hub"))
+    held = components(alive.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")), new_folder(spark, "neardup-held"))
+    clustered = written(held.withColumnRenamed("component", "cluster").join(info, "node"), folder, "clustered")
+    x, y = clustered.alias("x"), clustered.alias("y")
+    by_cluster = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & possible(F.lit(0))).select(*pair)
+    second = by_rare.unionByName(by_cluster).distinct().join(first, ["a", "b"], "left_anti")
     more = written(confirmed(written(second, folder, "pairs-2"), sets, percent), folder, "links-2")
     found = components(links.unionByName(more), new_folder(spark, "neardup-components"))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
