@@ -145,7 +145,8 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, ke
     spark = docs.sparkSession
     folder = new_folder(spark, "lines")
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cuts = sorted(set(slim.approxQuantile("doc_id", [i / n_batches for i in range(1, n_batches)], 0.01)))
+    shares = [i / n_batches for i in range(1, n_batches)]
+    cuts = sorted(set(slim.agg(F.percentile_approx("doc_id", shares, 1000).alias("cuts")).first()["cuts"] or ())) if shares else []
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + F.when(F.col("doc_id") > cut, 1).otherwise(0)
