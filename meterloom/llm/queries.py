@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_tensored_minhash": neardup.GROUPED_SQL,
     "op4_poisson_mixing": mixing.MIXED_SQL,
     "op5_digest_array": urlfilter.JUDGED_SQL,
     "op6_levelled_runs": linededup.DEDUPLICATED_SQL,
