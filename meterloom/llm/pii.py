@@ -84,6 +84,23 @@ def permuted_digits(digits: Column, key: str) -> Column:
     return _let(done, lambda s: F.concat(pad(s["a"], left), pad(s["b"], n - left)))
 
 
+def permuted_valid(digits: Column, key: str, is_valid, steps: int = 64) -> Column:
+    """The same among the valid strings alone: permuted until the result is valid again.
+
+    The value stays as it is where that takes over ``steps`` turns.
+    """
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)),
+        F.struct(digits.alias("v"), F.lit(False).alias("done")),
+        lambda s, _: F.when(s["done"], s).otherwise(_let(permuted_digits(s["v"], key), lambda v: F.struct(v.alias("v"), is_valid(v).alias("done")))),
+    )
+    return _let(walked, lambda s: F.when(s["done"], s["v"]).otherwise(digits))
+
+
+def is_ssn(digits: Column) -> Column:
+    return digits.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum, the last digit counting once."""
     return F.aggregate(
@@ -123,7 +140,7 @@ def kind_of(match: Column) -> Column:
         .when(match.startswith("+"), F.lit("phone"))
         .when(match.rlike(r"^[0-9]+\.") & (F.size(octets) == 0), F.lit("ip"))
         .when(match.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when(_day(match).between(F.lit(0), days), F.lit("date")))
-        .when(match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~match.rlike("^(000|666|9)|-00-|-0000$"), F.lit("ssn")))
+        .when(match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(is_ssn(digits), F.lit("ssn")))
         .when(match.contains("."), F.lit(None).cast("string"))
         .when(luhn_sum(digits) % 10 == 0, F.lit("card"))
     )
@@ -150,7 +167,7 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
         .when(kind == "phone", F.concat(F.lit("+1"), _refill(F.substring(match, F.lit(3), F.char_length(match)), permuted_digits(F.substring(digits, F.lit(2), F.lit(10)), f"{key}:phone"))))
         .when(kind == "ip", ip)
         .when(kind == "date", F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int")), "yyyy-MM-dd"))
-        .when(kind == "ssn", _refill(match, permuted_digits(digits, f"{key}:ssn")))
+        .when(kind == "ssn", _refill(match, permuted_valid(digits, f"{key}:ssn", is_ssn)))
         .when(kind == "card", _refill(match, card))
         .otherwise(match)
     )

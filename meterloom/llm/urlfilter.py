@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import new_folder, put_file
+
 #: Rule sets of more bytes are not shipped to every executor; ``filter_by_join`` serves them.
 MOST_BYTES = 1 << 30
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -50,8 +52,8 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "://[^/?#]*([^?#]*)", 1)
 
 
-def write_digests(rules, path: str) -> int:
-    """Write the digest file of the rules to a local path; returns its size.
+def write_digests(rules, uri: str) -> int:
+    """Write the digest file of the rules; returns its size.
 
     Layout, little-endian: number of rules u64, number of path lengths u64, the path lengths in
     bytes u32, then the sorted keys u64, the strings' ends u64, and for each rule its verdict,
@@ -63,14 +65,13 @@ def write_digests(rules, path: str) -> int:
     table = {(r.host.encode(), r.path.encode()): r.verdict.encode() for r in rules}
     rows = sorted((xxhash.xxh64_intdigest(h + b"\0" + p), v + b"\0" + h + b"\0" + p) for (h, p), v in table.items())
     lengths = sorted({len(p) for _, p in table})
-    with open(path, "wb") as out:
-        out.write(np.array([len(rows), len(lengths)], "<u8").tobytes())
-        out.write(np.array(lengths, "<u4").tobytes())
-        out.write(np.array([k for k, _ in rows], "<u8").tobytes())
-        out.write(np.cumsum([len(x) for _, x in rows], dtype="<u8").tobytes())
-        for _, x in rows:
-            out.write(x)
-        return out.tell()
+    head = [
+        np.array([len(rows), len(lengths)], "<u8"),
+        np.array(lengths, "<u4"),
+        np.array([k for k, _ in rows], "<u8"),
+        np.cumsum([len(x) for _, x in rows], dtype="<u8"),
+    ]
+    return put_file(uri, [*(x.tobytes() for x in head), *(x for _, x in rows)])
 
 
 class DigestArray:
@@ -147,15 +148,12 @@ def filter_urls(pages: DataFrame, rules=RULES, otherwise: str = "allow", url: st
     that no rule fits. Equal URLs get equal verdicts; an empty rule set gives ``otherwise``; an empty
     table gives no rows. URLs may be of any length.
     """
-    import tempfile
-    import uuid
-
     parsed = pages.select(F.struct("*").alias("record"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    name = f"rules-{uuid.uuid4().hex}.digests"
-    local = f"{tempfile.mkdtemp(prefix='spark-')}/{name}"
-    if write_digests(rules, local) > MOST_BYTES:
+    uri = new_folder(pages.sparkSession, "rules") + ".digests"
+    if write_digests(rules, uri) > MOST_BYTES:
         return filter_by_join(pages, rules, otherwise, url)
-    pages.sparkSession.sparkContext.addFile(local)  # Spark ships it to each executor once
+    pages.sparkSession.sparkContext.addFile(uri)  # Spark ships it to each executor once
+    name = uri.rpartition("/")[2]
     schema = f"record {parsed.schema['record'].dataType.simpleString()}, host string, path string, found struct<verdict:string,rule:string>"
     found = parsed.mapInArrow(_prober(name), schema)
     return found.select("record", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(otherwise)).alias("verdict"))

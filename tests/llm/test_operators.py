@@ -267,6 +267,9 @@ def test_pseudonyms(docs, none, spark):
     assert again["ip"] == kinds["ip"] and again["card"] == kinds["card"].replace("-", "")
     assert got[3]["text"] is None and got[4]["text"] == "" and got[3]["found"] == []
     assert pii.pseudonymise(none, "k").count() == 0 and pii.pseudonymise(docs, "k").count() == len(rows())
+    numbers = spark.range(300).select(F.format_string("%03d-%02d-%04d", F.col("id") % 100 + 1, F.col("id") % 7 + 1, F.col("id") + 1).alias("text"))
+    made = [r["found"][0]["value"] for r in pii.pseudonymise(numbers, "k").collect()]
+    assert len(set(made)) == 300 and not any(re.search("^(000|666|9)|-00-|-0000$", x) for x in made)
     days = spark.range(73_049).select(pii.permuted_below(F.col("id"), 73_049, 271, 270, "q").alias("v"))
     assert days.distinct().count() == 73_049
     digits = spark.range(1000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "q").alias("v"))
