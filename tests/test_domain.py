@@ -234,12 +234,29 @@ def test_stream_alerts(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     fired = stream_alerts(stream, AlertRules(alerts.BurstRule(10.0, 10, 15), step=50.0))
     q = fired.writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("memory").queryName("fired").trigger(availableNow=True).start()
-    q.awaitTermination()
+    q.awaitTermination(90)
+    assert not q.isActive
     got = spark.table("fired").collect()
     assert sorted((r["timestamp_ms"] - T) // 60_000 for r in got if r["kind"] == "burst") == [1, 16, 31]
     assert sorted((r["timestamp_ms"] - T) // 60_000 for r in got if r["kind"] == "step") == [8, 16, 24, 33]
 
 
+def test_stream_alerts_after_backfill(spark, tmp_path):
+    from meterloom.streaming.alerts import AlertRules, month_baseline, stream_alerts
+
+    old = spark.createDataFrame([row(0, "s", T - 60_000, "m", None, 120.0, (0, 0, 0, 0))], SCHEMA)
+    baseline = month_baseline(old, 50.0, "2026-06")
+    assert [tuple(r) for r in baseline.collect()] == [("m", "2026-06", 120.0, 2)]
+    rows = [row(i, "s", T + i * 60_000, "m", None, 6.0, (0, 0, 0, 0)) for i in range(6)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    fired = stream_alerts(stream, AlertRules(alerts.BurstRule(1000.0, 10, 15), step=50.0), initial=baseline)
+    q = fired.writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("memory").queryName("later").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert not q.isActive
+    assert [((r["timestamp_ms"] - T) // 60_000, r["steps"]) for r in spark.table("later").collect()] == [(4, 3)]
+
+
 def test_csv(spark, tmp_path):
     frame = spark.createDataFrame([("a,b", 'say "x"', None)], "a string, b string, c string")
     exports.write_csv(frame, str(tmp_path / "csv"))
