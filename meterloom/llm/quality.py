@@ -17,6 +17,8 @@ from .shared import new_folder, written
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
+#: A word without letters and digits, as between the entries of menus.
+BARE = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
 WINDOW = 5
 
 
@@ -79,6 +81,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))).cast("long").alias("n_doubled"),
         ),
     )
     line_counts = _let(
@@ -97,6 +100,8 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         gone(r"\p{Lu}+").alias("n_upper"),
         gone("!+").alias("n_shouts"),
         gone(r"\p{L}+").alias("n_letters"),
+        gone(r"[\p{L}\p{N}]+").alias("n_alphanumeric"),
+        F.regexp_count(body, F.lit(BARE)).cast("long").alias("n_bare"),
     )
     return docs.select("*", F.explode(F.array(features)).alias("quality"))
 
@@ -121,12 +126,14 @@ def _ratio(over: str, under: str):
 
 RULES = (
     Rule("symbols", _ratio("n_symbols", "words.word_chars"), 0.02, 0.08),
+    Rule("bare_words", _ratio("n_bare", "words.n_words"), 0.03, 0.15),
     Rule("shouting", _ratio("n_shouts", "words.n_words"), 0.1, 0.5),
     Rule("capitals", _ratio("n_upper", "n_letters"), 0.15, 0.5),
-    Rule("letters", lambda: -F.try_divide(F.col("quality.n_letters"), F.col("quality.words.word_chars")), -0.85, -0.7),
+    Rule("alphanumeric", lambda: -F.try_divide(F.col("quality.n_alphanumeric"), F.col("quality.words.word_chars")), -0.85, -0.7),
     Rule("repetition", _ratio("words.n_repeat_words", "words.n_words"), 0.02, 0.1),
     Rule("duplicate_lines", _ratio("lines.n_dup_lines", "lines.n_lines"), 0.05, 0.3),
     Rule("open_lines", lambda: 1 - F.try_divide(F.col("quality.lines.n_ended"), F.col("quality.lines.n_lines")), 0.3, 0.8),
+    Rule("doubled_words", _ratio("words.n_doubled", "words.n_words"), 0.05, 0.3),
     Rule("few_words", lambda: -F.try_divide(F.col("quality.words.n_distinct"), F.sqrt("quality.words.n_words")), -3.0, -1.5),
 )
 
