@@ -26,7 +26,7 @@ RARE = 8
 class Banding:
     """``halves`` half keys of ``rows`` minhashes in either collection: 2 * halves * rows minhashes
     make halves ** 2 tables. A pair of similarity s is missed with probability under
-    2 * (1 - s ** rows) ** halves; 0.85 gives 5e-6 as set here, 0.9 gives 1e-7."""
+    2 * (1 - s ** rows) ** halves; 0.8 gives 8e-5 as set here, 0.85 gives 6e-6, 0.9 gives 2e-7."""
 
     halves: int = 10
     rows: int = 2
@@ -42,7 +42,7 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts, size: int = 3):
+def shingle_sets(texts, size: int = 5):
     """The sorted distinct 64-bit shingle hashes of each text of an Arrow array, as numpy arrays.
 
     A-Z are lower-cased, words stand between ASCII white space; a text of fewer words than ``size``
@@ -205,7 +205,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Documents are linked when their shingle sets have ``percent`` hundredths of their union in
@@ -335,7 +335,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def grouped_documents(spark, sf_dir: str) -> DataFrame:
     """Query ``op2_tensored_minhash``: every document's group of near copies."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=85)
 
 
 GROUPED_SQL = r"""
