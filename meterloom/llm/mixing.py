@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import small
+from .shared import shared_folder, small
 
 #: A Poisson variable of a larger mean is drawn as a sum of several, so that exp(-mean) stays normal.
 LARGEST_MEAN = 500.0
-#: Hexadecimal digits of the order key that name a bucket of the global order.
-BUCKET_DIGITS = 3
+#: A bucket of the global order is named by the first hexadecimal digits of the order key: three,
+#: and as many more as leave it BUCKET_BYTES on average. The order is the same with any number.
+LEAST_DIGITS, BUCKET_BYTES = 3, 256 << 20
+#: Tables of more rows are not broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -66,6 +69,14 @@ def with_steps(rates: DataFrame) -> DataFrame:
     )
 
 
+def bucket_digits(n_bytes: int) -> int:
+    """The digits that name buckets of about BUCKET_BYTES in a corpus of that size."""
+    digits = LEAST_DIGITS
+    while n_bytes > BUCKET_BYTES << 4 * digits:
+        digits += 1
+    return digits
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -83,7 +94,10 @@ def mix_sources(
     has no bytes. Rows that repeat a key draw the same number and each get so many copies; their
     order among each other is open. An empty table gives no rows.
     """
-    rates = small(with_steps(repetition_rates(docs, weights, source, text)).checkpoint(), 10_000)
+    shared_folder(docs.sparkSession)  # sets the checkpoint folder where there is none
+    found = with_steps(repetition_rates(docs, weights, source, text)).checkpoint()
+    digits = bucket_digits(found.agg(F.sum("mix_bytes").alias("n")).first()["n"] or 0)
+    rates = small(found, 10_000)
     ident = F.coalesce(F.col(f"record.{key}").cast("string"), F.lit("null"))
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("mix_parts") - 1),
@@ -103,18 +117,20 @@ def mix_sources(
         .where("n > 0")
         .select("record", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
         .withColumn("order_key", order)
-        .withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
+        .withColumn("bucket", F.substring("order_key", 1, digits))
     )
     counts = copies.groupBy("bucket").agg(F.count("*").alias("n"))
-    firsts = counts.select(
+    firsts = counts.select(  # a row for each bucket
         "bucket",
         (F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"),
     )
+    if 16**digits <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
     within = F.row_number().over(Window.partitionBy("bucket").orderBy("order_key"))
     return (
         copies.repartitionByRange("bucket")
         .withColumn("within", within)
-        .join(F.broadcast(firsts), "bucket")  # 16 ** BUCKET_DIGITS rows at most
+        .join(firsts, "bucket")
         .select("record", "copy", (F.col("first") + F.col("within") - 1).alias("position"))
     )
 

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import new_folder
+from .shared import new_folder, shared_folder, small
+
+#: Tables of more rows are not broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def shuffle_into_shards(
@@ -32,6 +35,7 @@ def shuffle_into_shards(
     bucket has about ``bucket_bytes`` plus its longest text.
     """
     spark = docs.sparkSession
+    shared_folder(spark)  # sets the checkpoint folder where there is none
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     total = docs.agg(F.sum(size).alias("n")).first()["n"] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
@@ -60,7 +64,7 @@ def shuffle_into_shards(
     )
     start = F.col("shard") * base + F.least(F.col("shard"), F.lit(extra))
     placed = (
-        buckets.join(F.broadcast(offsets), "bucket")  # a row for each bucket
+        buckets.join(small(offsets, BROADCAST_ROWS), "bucket")  # a row for each bucket
         .withColumn("shard", shard.cast("int"))
         .select("record", (position - start).cast("long").alias("slot"), "shard")
     )
