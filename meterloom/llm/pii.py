@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROUNDS = 10
 #: The patterns of what is looked for, tried in this order at each place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-zÀ-ÿ0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
+PHONE = (
+    r"(?<![A-Za-z0-9.+-])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]|[0-9]{3}-[0-9]{3}-|[0-9]{3}\.[0-9]{3}\.)[0-9]{4}"
+    r"|\+[0-9]{1,3}[ .-][0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){0,2})(?![0-9])(?![.-][0-9])"
+)
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -137,7 +140,7 @@ def kind_of(match: Column) -> Column:
     days = F.datediff(F.lit(LAST_DAY).cast("date"), F.lit(FIRST_DAY).cast("date"))
     return (
         F.when(match.contains("@"), F.lit("email"))
-        .when(match.startswith("+"), F.lit("phone"))
+        .when(match.rlike(f"^(?:{PHONE})$"), F.lit("phone"))
         .when(match.rlike(r"^[0-9]+\.") & (F.size(octets) == 0), F.lit("ip"))
         .when(match.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when(_day(match).between(F.lit(0), days), F.lit("date")))
         .when(match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(is_ssn(digits), F.lit("ssn")))
@@ -160,11 +163,15 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
         permuted(number, F.lit(1 << 16).cast("long"), F.lit(1 << 16).cast("long"), f"{key}:ip"),
         lambda v: F.concat_ws(".", *[F.pmod(F.shiftright(v, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]),
     )
+    # the country code stays
+    country = F.regexp_extract(match, r"^\+[0-9]{1,3}(?![0-9])", 0)
+    rest = F.substring(match, F.char_length(country) + 1, F.char_length(match))
+    phone = F.concat(country, _refill(rest, permuted_digits(F.regexp_replace(rest, "[^0-9]", ""), f"{key}:phone")))
     day = permuted_below(_day(match), 73049, 271, 270, f"{key}:date")
     name = F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(match)), 256)
     return (
         F.when(kind == "email", F.concat(F.lit("u"), F.substring(name, 1, 16), F.lit("@"), F.substring_index(match, "@", -1)))
-        .when(kind == "phone", F.concat(F.lit("+1"), _refill(F.substring(match, F.lit(3), F.char_length(match)), permuted_digits(F.substring(digits, F.lit(2), F.lit(10)), f"{key}:phone"))))
+        .when(kind == "phone", phone)
         .when(kind == "ip", ip)
         .when(kind == "date", F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int")), "yyyy-MM-dd"))
         .when(kind == "ssn", _refill(match, permuted_valid(digits, f"{key}:ssn", is_ssn)))
