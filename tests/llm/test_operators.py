@@ -87,15 +87,16 @@ def test_quality_on_labels(spark):
     assert table.get((0, True), 0) <= 0.15 * (table.get((0, False), 0) + table.get((0, True), 0))
 
 
-def shingles(text):
+def shingles(text, size):
     w = words((text or "").translate(LOWER))
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates(docs, none):
-    got = neardup.near_duplicates(docs).collect()
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
+def test_near_duplicates(docs, none, size, percent):
+    got = neardup.near_duplicates(docs, size=size, percent=percent).collect()
     assert len(got) == len(rows())
-    sets = {r[0]: shingles(r[1]) for r in rows() if r[0] is not None}
+    sets = {r[0]: shingles(r[1], size) for r in rows() if r[0] is not None}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -105,7 +106,7 @@ def test_near_duplicates(docs, none):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     for r in got:
@@ -266,6 +267,16 @@ def test_pseudonyms(docs, none, spark):
     again = {f["kind"]: f["value"] for f in got[2]["found"]}
     assert again["ip"] == kinds["ip"] and again["card"] == kinds["card"].replace("-", "")
     assert got[3]["text"] is None and got[4]["text"] == "" and got[3]["found"] == []
+    forms = ["(212) 555-0123", "+44 20 7946 0958", "212-555-0123", "212.555.0123", "+1-212-555-0123", "+1 212 555 0123"]
+    phones = spark.createDataFrame([(i, f"at {x}, or") for i, x in enumerate(forms)], "doc_id long, text string")
+    made = {r["record"]["doc_id"]: r["found"] for r in pii.pseudonymise(phones, "k").collect()}
+    blank = lambda x: re.sub(r"\d", "9", x)
+    for i, form in enumerate(forms):
+        assert [(f["kind"], blank(f["value"])) for f in made[i]] == [("phone", blank(form))]
+        assert made[i][0]["value"] != form
+    assert len({re.sub(r"\D", "", made[i][0]["value"])[-10:] for i in (0, 2, 3, 4, 5)}) == 1
+    left = spark.createDataFrame([(1, "1.2.3 and 12-34 or 2024-13-40, 10.20.30 $1,234,567 0123456789")], "doc_id long, text string")
+    assert pii.pseudonymise(left, "k").first()["found"] == []
     assert pii.pseudonymise(none, "k").count() == 0 and pii.pseudonymise(docs, "k").count() == len(rows())
     numbers = spark.range(300).select(F.format_string("%03d-%02d-%04d", F.col("id") % 100 + 1, F.col("id") % 7 + 1, F.col("id") + 1).alias("text"))
     made = [r["found"][0]["value"] for r in pii.pseudonymise(numbers, "k").collect()]
