@@ -326,11 +326,43 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 5
     )
 
 
+def with_own_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(record, own) for each row, ``record`` being a struct of all columns, and the ``own`` keys of several rows.
+
+    ``own`` is the row's id where that is of this row alone. Null ids, and ids of several rows, get a
+    hash of id and text above 2 ** 62 instead, so only rows that are equal in both share a key.
+    """
+    folder = new_folder(docs.sparkSession, "neardup-own")
+    number = F.col(key).cast("long")
+    hashed = F.xxhash64(number, F.col(text)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = written(docs.select(number.alias("id"), hashed.alias("own")).groupBy("id", "own").agg(F.count("*").alias("n")), folder, "rows")
+    repeated = written(rows.where("n > 1").select("own").distinct(), folder, "repeated")
+    shared = written(
+        rows.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("id").alias("shared_id")), folder, "shared"
+    )
+    keyed = docs.select(F.struct("*").alias("record"), number.alias("id"), hashed.alias("hashed")).join(
+        small(shared, BROADCAST_ROWS), F.col("id") == F.col("shared_id"), "left"
+    )
+    return keyed.select("record", F.when(F.col("id").isNull() | F.col("shared_id").isNotNull(), F.col("hashed")).otherwise(F.col("id")).alias("own")), repeated
+
+
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: that of the smallest id."""
-    verdicts = near_duplicates(docs)
-    gone = written(verdicts.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), new_folder(docs.sparkSession, "neardup-gone"), "gone")
-    return docs.join(small(gone, BROADCAST_ROWS), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    """One document of each group, with all its columns: that of the smallest id.
+
+    Every row is judged by its own text. Rows with a null id, and rows whose id another row has too,
+    are members of groups like others and come after all other ids; of rows that are equal in id and
+    text one stays, texts without words included.
+    """
+    keyed, repeated = with_own_keys(docs)
+    verdicts = near_duplicates(keyed, key="own", text="record.text")
+    gone = written(verdicts.where("not kept").select(F.col("doc_id").alias("own")).distinct(), new_folder(docs.sparkSession, "neardup-gone"), "gone")
+    left = keyed.join(small(gone, BROADCAST_ROWS), "own", "left_anti")
+    if repeated.isEmpty():
+        return left.select("record.*")
+    repeated = small(repeated, BROADCAST_ROWS)
+    # compared in full, as a hash may collide
+    one_each = left.join(repeated, "own", "left_semi").groupBy("own", "record.doc_id", "record.text").agg(F.first("record").alias("record"))
+    return left.join(repeated, "own", "left_anti").select("record.*").unionByName(one_each.select("record.*"))
 
 
 def grouped_documents(spark, sf_dir: str) -> DataFrame:
