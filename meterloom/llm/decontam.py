@@ -133,7 +133,7 @@ def proximity_matches(postings: DataFrame, items: DataFrame, within: int) -> Dat
     """(item, doc, first, last): places where all words of an item lie in ``within`` consecutive words.
 
     A place starts at an occurrence of the item's rarest word; the nearest other words may lie on
-    either side of it. Meant for items of a few words.
+    either side of it. Meant for items of a few words; ``contamination`` does not use it.
     """
     frequency = postings.groupBy("term").agg(F.count("*").alias("tf"))
     words = items.withColumn("term", F.xxhash64("word")).select("item", "item_id", "term").distinct()
