@@ -20,6 +20,8 @@ from .shared import new_folder, small, written
 BROADCAST_ROWS = 2_000_000
 #: Shingles of so many open sets at most count as rare; each makes under RARE ** 2 / 2 pairs.
 RARE = 8
+#: Bands of set sizes in a factor of e; one is 3 hundredths wide.
+BANDS = 32
 
 
 @dataclass(frozen=True)
@@ -205,6 +207,25 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         before = now
 
 
+def sized(clustered: DataFrame, percent: int) -> DataFrame:
+    """Each row of ``clustered`` (cluster, n, common, ...) with the ``band`` of its size n, once for each band ``to`` of sizes it can link to.
+
+    Sets x and y without rare shingles in common share min(x.common, y.common) shingles at most. So
+    y.n is no more than (100 + percent) * x.common / percent - x.n, and at least ``percent``
+    hundredths of x.n; the same holds the other way round.
+    """
+    band = lambda n: F.floor(BANDS * F.log(n))
+    low = F.expr(f"({percent} * n + 99) div 100")
+    high = F.expr(f"{100 + percent} * common div {percent} - n")
+    reaching = clustered.withColumn("low", low).withColumn("high", high).where("low <= high and low > 0")
+    return reaching.withColumn("band", band(F.col("n"))).withColumn("to", F.explode(F.sequence(band(F.col("low")), band(F.col("high"))))).drop("low", "high")
+
+
+def same_sizes():
+    """The join of two ``sized`` tables x and y: in one cluster, each in a band the other can link to."""
+    return (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.band") == F.col("y.to")) & (F.col("x.to") == F.col("y.band"))
+
+
 def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -313,8 +334,8 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 5
     hubs = alive.groupBy("key").agg(F.min("node").alias("hub"))
     held = components(alive.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")), new_folder(spark, "neardup-held"))
     clustered = written(held.withColumnRenamed("component", "cluster").join(info, "node"), folder, "clustered")
-    x, y = clustered.alias("x"), clustered.alias("y")
-    by_cluster = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & possible(F.lit(0))).select(*pair)
+    x, y = (sized(clustered, percent).alias(k) for k in "xy")
+    by_cluster = x.join(y, same_sizes() & possible(F.lit(0))).select(*pair)
     second = by_rare.unionByName(by_cluster).distinct().join(first, ["a", "b"], "left_anti")
     more = written(confirmed(written(second, folder, "pairs-2"), sets, percent), folder, "links-2")
     found = components(links.unionByName(more), new_folder(spark, "neardup-components"))

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from meterloom.llm import neardup
 
 from .test_operators import PROSE, SCHEMA, docs, none, near, rows, shingles  # noqa: F401
 
@@ -39,3 +40,23 @@ def test_near_duplicates_of_the_fixture(spark, docs, none):  # noqa: F811
     want = Counter({(i, t): 1 for i, t in known.items() if group[i] == i} | {(None, None): 1})
     assert left(corpus_pipeline.keep_one_of_each(spark, docs, "")) == want
     assert corpus_pipeline.keep_one_of_each(spark, none, "").count() == 0
+
+
+def test_pairs_of_a_cluster(spark):
+    """Sets that share too little make no pair, though all are in one cluster; no pair that is possible is lost."""
+    pairs = lambda rows, percent: {
+        (r["a"], r["b"])
+        for made in [neardup.sized(spark.createDataFrame(rows, "node long, n long, component long, common long, cluster long"), percent)]
+        for r in made.alias("x").join(made.alias("y"), neardup.same_sizes()).selectExpr("x.node as a", "y.node as b").collect()
+    }
+    template = [(i, 112, i, 96, 0) for i in range(300)]  # 96 of 128, under 0.8
+    assert pairs(template, 80) == set()
+    mixed = [(i, n, i, n - (i * 7) % (1 + n // 4), i % 2) for i, n in enumerate([*range(1, 60), *range(90, 130), *range(1000, 1400, 9)])]
+    for percent in (80, 85):
+        possible = {
+            (x[0], y[0])
+            for x in mixed
+            for y in mixed
+            if x[4] == y[4] and 100 * min(x[3], y[3]) >= percent * (x[1] + y[1] - min(x[3], y[3])) and 100 * min(x[1], y[1]) >= percent * max(x[1], y[1])
+        }
+        assert possible and possible <= pairs(mixed, percent)
