@@ -24,12 +24,12 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that all sources weigh the same, in random order."""
+    """Documents repeated so that all sources weigh the same. Their random order is not carried on, as ``position`` is left out."""
     return mixing.mix_sources(docs).select("record.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files, as a row for each document read back from them."""
+    """The token files, in ascending order of id whatever order mixing gave, as a row for each document read back from them."""
     return tokens.encoded(docs)
 
 
