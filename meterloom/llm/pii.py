@@ -5,6 +5,12 @@ format: a Feistel network over the digits in two halves, walked until the result
 format's range. A permutation gives equal values equal pseudonyms in all documents, and different
 values different ones. E-mail names, which have no fixed alphabet, get a keyed digest instead.
 Everything is built of column functions.
+
+Forms that are found, besides e-mail and IPv4 addresses and social security numbers (ddd-dd-dddd):
+phone numbers with a country code, as (ddd) ddd-dddd, or as ddd-ddd-dddd or
+ddd.ddd.dddd; dates as yyyy-MM-dd of 1900 to 2099; cards of 13 to 19 digits that are joined or in groups of
+four. Other forms stay in clear: dates as 03/14/1985, 14.03.1985 or with month names, national phone
+numbers with spaces alone (212 555 0123), cards in groups of 4, 6 and 5.
 """
 
 from __future__ import annotations
