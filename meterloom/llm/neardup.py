@@ -4,9 +4,9 @@ Two small collections of half keys, each a few minhashes, are computed for every
 every pair of half keys, one of either collection, is the key of one table. So m + m half keys
 serve m * m tables. Sets that share a key are candidates, and a link is confirmed on the full sets.
 
-Within the sets of a key not all pairs are made. All compare with one pivot, the set that meets
-most others; linked sets are contracted, and only then do sets of different components compare,
-where neither their sizes nor their rare shingles exclude a link.
+Within the sets of a key not all pairs are made. All compare with one pivot; linked sets are
+contracted. What keys leave in several components compares with the set at the centre of what they
+connect, and beyond that only sets that share a shingle in which both differ from that centre.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import new_folder, small, written
+from .shared import joined, new_folder, small, written
 
 BROADCAST_ROWS = 2_000_000
-#: Shingles of so many open sets at most count as rare; each makes under RARE ** 2 / 2 pairs.
-RARE = 8
-#: Bands of set sizes in a factor of e; one is 3 hundredths wide.
-BANDS = 32
+#: Bands of difference sizes in a factor of e.
+BANDS = 8
+#: Bits of a set's parity sketch, in words of 64.
+SKETCH_WORDS = 8
+#: Pivots' sets of more bytes together are not broadcast.
+BROADCAST_BYTES = 64 << 20
+SKETCH = tuple(f"sketch{i}" for i in range(SKETCH_WORDS))
 
 
 @dataclass(frozen=True)
@@ -112,9 +115,14 @@ def _signer(banding: Banding, size: int):
                 digests = [xxhash.xxh3_128(x.tobytes()).digest() for x in sets]
                 kept = np.flatnonzero(counts)
                 halves = np.zeros((len(sets), 2 * banding.halves), np.int64)
+                sketch = np.zeros((len(sets), SKETCH_WORDS), np.int64)
                 if len(kept):
                     flat = np.concatenate([sets[i] for i in kept])
                     starts = np.concatenate([[0], np.cumsum(counts[kept])[:-1]])
+                    bits = 64 * SKETCH_WORDS
+                    place = np.repeat(np.arange(len(kept)) * bits, counts[kept]) + (flat >> np.uint64(32)).astype(np.int64) % bits
+                    odd = (np.bincount(place, minlength=len(kept) * bits) & 1).astype(np.uint8)
+                    sketch[kept] = np.packbits(odd.reshape(len(kept), bits), axis=1).view(np.int64)
                     with np.errstate(over="ignore"):
                         for h in range(2 * banding.halves):
                             key = np.zeros(len(kept), np.uint64)
@@ -130,8 +138,9 @@ def _signer(banding: Banding, size: int):
                         pa.array(counts),
                         pa.array([d if n else None for d, n in zip(digests, counts, strict=True)], pa.binary()),
                         pa.ListArray.from_arrays(offsets, flat_halves),
+                        *map(pa.array, sketch.T.copy()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "halves"],
+                    names=["doc_id", "n_shingles", "digest", "halves", *SKETCH],
                 )
 
     return sign
@@ -207,23 +216,94 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         before = now
 
 
-def sized(clustered: DataFrame, percent: int) -> DataFrame:
-    """Each row of ``clustered`` (cluster, n, common, ...) with the ``band`` of its size n, once for each band ``to`` of sizes it can link to.
+def possible(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave possible: see ``may_link``."""
+    sketched = small(candidates.select("node", "n", *SKETCH), BROADCAST_ROWS // 4)
+    side = lambda name: sketched.select(F.col("node").alias(name), F.struct("n", *SKETCH).alias(f"of_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(may_link(lambda c: F.col(f"of_a.{c}"), lambda c: F.col(f"of_b.{c}"), percent)).select("a", "b")
 
-    Sets x and y without rare shingles in common share min(x.common, y.common) shingles at most. So
-    y.n is no more than (100 + percent) * x.common / percent - x.n, and at least ``percent``
-    hundredths of x.n; the same holds the other way round.
-    """
-    band = lambda n: F.floor(BANDS * F.log(n))
-    low = F.expr(f"({percent} * n + 99) div 100")
-    high = F.expr(f"{100 + percent} * common div {percent} - n")
-    reaching = clustered.withColumn("low", low).withColumn("high", high).where("low <= high and low > 0")
-    return reaching.withColumn("band", band(F.col("n"))).withColumn("to", F.explode(F.sequence(band(F.col("low")), band(F.col("high"))))).drop("low", "high")
 
+def may_link(x, y, percent: int):
+    """Whether sets with the columns ``x(name)`` and ``y(name)`` may have ``percent`` hundredths of their union in common.
 
-def same_sizes():
-    """The join of two ``sized`` tables x and y: in one cluster, each in a band the other can link to."""
-    return (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.band") == F.col("y.to")) & (F.col("x.to") == F.col("y.band"))
+    That holds if they differ in (100 - percent) / (100 + percent) of the sum of their sizes at most.
+    A bit of a sketch is the parity of the shingles hashed to it, so each bit in which two sketches
+    differ stands for a shingle at least in which the sets do: nothing possible is left out.
+    """
+    differing = sum((F.bit_count(x(k).bitwiseXOR(y(k))) for k in SKETCH[1:]), F.bit_count(x(SKETCH[0]).bitwiseXOR(y(SKETCH[0]))))
+    differing = F.greatest(differing.cast("long"), F.abs(x("n") - y("n")))
+    return differing * (100 + percent) <= (100 - percent) * (x("n") + y("n"))
+
+
+def pairs_by_difference(info: DataFrame, sets: DataFrame, percent: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs) of (a, b): what is linked with its cluster's centre, and what else of different components may be linked.
+
+    Sets are replaced by what each differs in from the set at the centre of its cluster, for x and y
+    differ from each other in the same shingles as these differences do. So pages of one template
+    keep little but their own words and the template's words that they lack. Two differences of s
+    and t shingles that belong to linked sets have at least o = (s + t - d) / 2 in common, where d is
+    the most that the sets may differ in; so they share one among the first s - o + 1 of the one and
+    t - o + 1 of the other in the order of frequency, rarest first (prefix filter), and where o is
+    not positive both are linked with the centre. Shingles of one difference alone come first and
+    make no pair. No possible link is left out; every pair was found by a shared shingle.
+    """
+    top = F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")
+    centres = info.groupBy("cluster").agg(top).select("cluster", (-F.col("top.minus")).alias("node"))
+    centres = written(centres.join(sets, "node").select("cluster", F.col("node").alias("centre"), F.col("shingles").alias("core")), folder, "centres")
+    n_bytes = centres.agg(F.sum(F.size("core").cast("long") * 8 + 64).alias("n")).first()["n"] or 0
+    diff = F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles"))
+    apart = (
+        info.join(sets, "node")
+        .join(F.broadcast(centres) if n_bytes <= BROADCAST_BYTES else centres, "cluster")
+        .select("cluster", "node", "component", "n", *SKETCH, "centre", F.size("core").alias("core_n"), diff.alias("diff"))
+        .withColumn("s", F.size("diff"))
+    )
+    near = F.col("s") * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("core_n"))
+    apart = written(apart.withColumn("near", near), folder, "apart")
+    links = apart.where("near and node != centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
+    # what is linked with the centre needs no other link to it
+    apart = apart.withColumn("component", F.when(F.col("near"), F.col("centre")).otherwise(F.col("component")))
+    shingles = apart.select("cluster", "node", "s", "n", F.explode("diff").alias("shingle"))
+    shared = shingles.groupBy("cluster", "shingle").agg(F.count("*").alias("df")).where("df > 1")
+    most = F.expr(f"{100 - percent} * n div {percent}")  # over all sizes that n can link to
+    ordered = (
+        joined(shingles, written(shared, folder, "shared"), ["cluster", "shingle"], "df")
+        .groupBy("node", "s", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))  # of one document
+        .select("node", F.posexplode("own").alias("at", "own"), (F.col("s") - F.size("own")).alias("alone"), most.alias("most"))
+        .select("node", (F.col("alone") + F.col("at")).alias("at"), F.col("own.shingle").alias("shingle"), "most")
+        .where("at <= most")
+    )
+    prefixes = written(ordered.join(apart.drop("diff", "centre", "core_n", "near"), "node"), folder, "prefixes")
+    # A shingle's rows outside its largest component meet all its rows: those of one component seldom meet.
+    by_part = prefixes.groupBy("cluster", "shingle", "component").agg(F.count("*").alias("k"))
+    parted = by_part.groupBy("cluster", "shingle").agg(F.sum("k").alias("rows"), F.max(F.struct("k", "component")).alias("top")).where("rows > top.k")
+    parted = written(parted.select("cluster", "shingle", "rows", F.col("top.component").alias("largest")), folder, "parted")
+    # the sizes of the other difference for which the shingle lies in the prefix
+    band = lambda s: F.floor(BANDS * F.log(s))
+    low, high = F.greatest(F.col("s") - F.col("most"), F.lit(1)), F.col("s") + F.col("most") - 2 * F.col("at")
+    banded = (
+        joined(prefixes, parted, ["cluster", "shingle"], "rows")
+        .where(high >= low)
+        .withColumn("band", band(F.col("s")))
+        .withColumn("to", F.explode(F.sequence(band(low), band(high))))
+        .withColumn("minor", F.col("component") != F.col("largest"))
+        .drop("rows", "largest")
+    )
+    banded = written(banded, folder, "banded")
+    x, y = banded.where("minor").alias("x"), banded.alias("y")
+    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("cluster", "shingle")] + [F.col("x.band") == F.col("y.to"), F.col("x.to") == F.col("y.band")]
+    differ = (F.col("x.component") != F.col("y.component")) & (~F.col("y.minor") | (F.col("x.node") > F.col("y.node")))
+    both_at = F.least(F.col("x.s") - F.col("x.at"), F.col("y.s") - F.col("y.at"))
+    sizes = F.col("x.n") + F.col("y.n")
+    enough = (2 * both_at - F.col("x.s") - F.col("y.s")) * (100 + percent) >= -(100 - percent) * sizes
+    likely = may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)
+    condition = differ & enough & likely
+    for equal in on:
+        condition = equal & condition
+    found = x.join(y, condition).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    return links, found
 
 
 def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,21 +319,16 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 5
     spark = docs.sparkSession
     folder = new_folder(spark, "neardup")
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, halves array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, halves array<long>, " + ", ".join(f"{k} long" for k in SKETCH)
     signed = written(slim.mapInArrow(_signer(banding, size), schema), folder, "signed")
     # One node for each distinct set: its smallest id.
     copies = written(
         signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows")).where("n_rows > 1 and node is not null"),
         folder,
         "copies",
-    ).select("digest", "node")
-    placed = written(
-        signed.join(small(copies, BROADCAST_ROWS // 4), "digest", "left").withColumn(
-            "node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id"))
-        ),
-        folder,
-        "placed",
     )
+    node = F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id"))
+    placed = written(joined(signed, copies, ["digest"], "n_rows", "left").withColumn("node", node), folder, "placed")
     nodes = placed.where("node = doc_id").dropDuplicates(["node", "digest"])
     # All tables' keys; those of a single set lead to no candidate.
     m = banding.halves
@@ -263,10 +338,12 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 5
             lambda x, i: F.transform(F.slice("halves", m + 1, m), lambda y, j: F.xxhash64(x, y, i, j)),
         )
     )
-    keyed = nodes.select("node", F.col("n_shingles").alias("n"), F.explode(tables).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = written(keyed.join(shared, "key"), folder, "members")
-    candidates = written(members.groupBy("node").agg(F.sum("members").alias("weight")), folder, "candidates")
+    keyed = nodes.select("node", F.explode(tables).alias("key"))
+    keys = written(keyed.groupBy("key").agg(F.count("*").alias("n_nodes"), F.min("node").alias("pivot")).where("n_nodes > 1"), folder, "keys")
+    members = written(joined(keyed, keys, ["key"], "n_nodes"), folder, "members")
+    candidates = written(
+        members.groupBy("node").agg(F.sum("n_nodes").alias("weight")).join(nodes.select("node", F.col("n_shingles").alias("n"), *SKETCH), "node"), folder, "candidates"
+    )
     ids = small(candidates.select(F.col("node").alias("doc_id")), BROADCAST_ROWS)
     sets = written(
         slim.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "node").mapInArrow(_setter(size), "node long, shingles array<long>").dropDuplicates(),
@@ -274,70 +351,26 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 5
         "sets",
     )
     # Every member of a key against the key's pivot.
-    weighed = members.join(candidates, "node")
-    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n")).alias("top")).select(
-        "key", (-F.col("top.minus")).alias("pivot"), F.col("top.n").alias("pivot_n")
-    )
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    first = written(
-        members.join(pivots, "key").where((F.col("node") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n")))
-        .select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(),
-        folder,
-        "pairs-1",
-    )
+    first = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = written(possible(first, candidates, percent), folder, "pairs-1")
     links = written(confirmed(first, sets, percent), folder, "links-1")
     parts = components(links, new_folder(spark, "neardup-parts"))
-    # Keys whose sets are still in several components.
+    # Keys whose sets are still in several components, and what such keys connect.
     labelled = written(
-        members.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), folder, "labelled"
+        members.join(small(parts, BROADCAST_ROWS), "node", "left").select("key", "n_nodes", "node", F.coalesce("component", "node").alias("component")), folder, "labelled"
     )
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2")
-    open_rows = written(labelled.join(open_keys.select("key"), "key", "left_semi"), folder, "open")
-    # Shingles that few open sets have. Of two sets that are linked, either both have enough of the
-    # others to be, or they have some of these in common; pairs are made for the one and the other.
-    open_nodes = written(open_rows.select("node", "n", "component").distinct(), folder, "open_nodes")
-    shingles = sets.join(open_nodes.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
-    few = shingles.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = written(shingles.join(few, "s"), folder, "rare")
-    of_rare = rare.groupBy("node").agg(F.count("*").alias("n_rare"))
-    info = written(
-        open_nodes.join(of_rare, "node", "left").select("node", "n", "component", (F.col("n") - F.coalesce("n_rare", F.lit(0))).alias("common")),
+    open_keys = written(
+        labelled.groupBy("key", "n_nodes").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("hub")).where("lo != hi and n_nodes > 2"),
         folder,
-        "info",
-    )
-
-    def possible(shared):
-        """Whether sets x and y may be linked, of other components, with ``shared`` rare shingles in common."""
-        most = F.least("x.common", "y.common") + shared
-        return (
-            (F.col("x.node") > F.col("y.node"))
-            & (F.col("x.component") != F.col("y.component"))
-            & fits(F.col("x.n"), F.col("y.n"))
-            & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
-        )
-
-    pair = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
-    shared_rare = rare.where("df > 1").select("s", "node").join(info, "node")
-    x, y = shared_rare.alias("x"), shared_rare.alias("y")
-    # df bounds the pairs of a shingle
-    by_rare = (
-        x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")))
-        .groupBy(*pair)
-        .agg(F.count("*").alias("shared"))
-    )
-    x, y = info.alias("x"), info.alias("y")
-    by_rare = by_rare.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(possible(F.col("shared"))).select("a", "b")
-    # Sets without rare shingles in common: each pair once, among the sets that keys hold together.
-    alive = written(
-        open_rows.select("key", "node").join(info.where(100 * F.col("common") >= percent * F.col("n")).select("node"), "node", "left_semi"), folder, "alive"
-    )
-    hubs = alive.groupBy("key").agg(F.min("node").alias("hub"))
-    held = components(alive.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")), new_folder(spark, "neardup-held"))
-    clustered = written(held.withColumnRenamed("component", "cluster").join(info, "node"), folder, "clustered")
-    x, y = (sized(clustered, percent).alias(k) for k in "xy")
-    by_cluster = x.join(y, same_sizes() & possible(F.lit(0))).select(*pair)
-    second = by_rare.unionByName(by_cluster).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(confirmed(written(second, folder, "pairs-2"), sets, percent), folder, "links-2")
+        "open",
+    ).drop("lo", "hi")
+    open_rows = joined(labelled.drop("n_nodes"), open_keys, ["key"], "n_nodes")
+    clusters = components(open_rows.select(F.col("node").alias("a"), F.col("hub").alias("b")), new_folder(spark, "neardup-clusters"))
+    info = clusters.withColumnRenamed("component", "cluster").join(candidates, "node").join(parts, "node", "left")
+    info = written(info.withColumn("component", F.coalesce("component", "node")), folder, "info")
+    central, second = pairs_by_difference(info, sets, percent, folder)
+    second = written(second.join(first, ["a", "b"], "left_anti"), folder, "pairs-2")
+    more = written(confirmed(second, sets, percent).unionByName(central), folder, "links-2")
     found = components(links.unionByName(more), new_folder(spark, "neardup-components"))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
     return (

@@ -46,6 +46,24 @@ def small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
 
 
+def joined(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner", spread: int = 64) -> DataFrame:
+    """``rows`` joined with ``table``, a row for each key, whose column ``count`` says how many rows have it.
+
+    Keys of over a ten-thousandth of all those rows, which are ten thousand at most, are dealt to
+    ``spread`` tasks each. ``table`` should be written, as it is read twice. ``how``: inner or left.
+    """
+    whole = table.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot_from = max(whole // 10_000, 1000)
+    hot = table.where(F.col(count) > hot_from).select(*on, F.lit(True).alias("hot_key"))
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    others = [c for c in rows.columns if c not in on]
+    salt = F.when(F.col("hot_key"), F.pmod(F.xxhash64(*others), F.lit(spread))).otherwise(F.lit(0))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("salt", salt.cast("int")).drop("hot_key")
+    places = F.when(F.col(count) > hot_from, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(table.withColumn("salt", F.explode(places)), [*on, "salt"], how).drop("salt")
+
+
 def ascii_lower(column):
     """A-Z lower-cased and nothing else; text of ASCII alone takes Spark's faster ``lower``."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

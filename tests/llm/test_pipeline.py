@@ -1,9 +1,13 @@
 """The stages of the pipeline, on rows with null ids, repeated ids and clashing columns."""
 
+import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from meterloom.llm import neardup
+from meterloom.llm.shared import written
 
 from .test_operators import PROSE, SCHEMA, docs, none, near, rows, shingles  # noqa: F401
 
@@ -42,21 +46,56 @@ def test_near_duplicates_of_the_fixture(spark, docs, none):  # noqa: F811
     assert corpus_pipeline.keep_one_of_each(spark, none, "").count() == 0
 
 
-def test_pairs_of_a_cluster(spark):
-    """Sets that share too little make no pair, though all are in one cluster; no pair that is possible is lost."""
-    pairs = lambda rows, percent: {
-        (r["a"], r["b"])
-        for made in [neardup.sized(spark.createDataFrame(rows, "node long, n long, component long, common long, cluster long"), percent)]
-        for r in made.alias("x").join(made.alias("y"), neardup.same_sizes()).selectExpr("x.node as a", "y.node as b").collect()
+def template(n, changed, words=200, seed=1):
+    """Pages of one template, each with some words of its own."""
+    rng, pages = random.Random(seed), []
+    for page in range(n):
+        text = [f"t{i}" for i in range(words)]
+        for k in rng.sample(range(words), changed):
+            text[k] = f"own{page}_{k}"
+        pages.append(" ".join(text))
+    return pages
+
+
+def smallest_ids(texts, size, percent):
+    sets = [shingles(t, size) for t in texts]
+    group = list(range(len(sets)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(x & sets[j])
+            if common and 100 * common >= percent * (len(x) + len(sets[j]) - common):
+                a, b = root(i), root(j)
+                group[max(a, b)] = min(a, b)
+    return {i: root(i) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
+def test_templates_make_few_pairs_and_lose_none(spark, monkeypatch, size, percent):
+    """Pages of a template that do not link make no more pairs than there are pages; all links of mixed ones are found."""
+    made = {}
+
+    def recorded(frame, folder, name):
+        made[name] = written(frame, folder, name)
+        return made[name]
+
+    monkeypatch.setattr(neardup, "written", recorded)
+    groups = lambda texts: {
+        r["doc_id"]: r["component_id"]
+        for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=size, percent=percent).collect()
     }
-    template = [(i, 112, i, 96, 0) for i in range(300)]  # 96 of 128, under 0.8
-    assert pairs(template, 80) == set()
-    mixed = [(i, n, i, n - (i * 7) % (1 + n // 4), i % 2) for i, n in enumerate([*range(1, 60), *range(90, 130), *range(1000, 1400, 9)])]
-    for percent in (80, 85):
-        possible = {
-            (x[0], y[0])
-            for x in mixed
-            for y in mixed
-            if x[4] == y[4] and 100 * min(x[3], y[3]) >= percent * (x[1] + y[1] - min(x[3], y[3])) and 100 * min(x[1], y[1]) >= percent * max(x[1], y[1])
-        }
-        assert possible and possible <= pairs(mixed, percent)
+    for n in (400, 800):
+        pages = template(n, 5)
+        got = groups(pages)
+        assert made["pairs-1"].count() + made["pairs-2"].count() <= n
+        if n == 400:
+            assert got == smallest_ids(pages, size, percent)
+    rng = random.Random(3)
+    mixed = [t for c in range(2, 7) for t in template(40, c, 120, c)] + template(60, 2, 90, 9) + template(60, 4, 150, 10)
+    mixed += [" ".join(f"t{rng.randrange(12)}" for _ in range(rng.randrange(5, 60))) for _ in range(100)]
+    assert groups(mixed) == smallest_ids(mixed, size, percent)
