@@ -1,7 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index stores postings (term, document, position) of the training texts for the terms of the
-test items. A window of a test item is looked up by its two rarest terms: the postings of the
+test items. It is partitioned by document: each task writes a segment of its own documents' postings,
+sorted by term, document and position, so building it shuffles nothing. A window of a test item is
+looked up by its two rarest terms, whose postings are taken out of the segments once: those of the
 rarest give alignments (item, document, shift), which those of the second rarest, adjusted by
 their offset, must confirm. The alignments left are intersected with the postings of all the
 item's terms; runs of matches as long as a window are exact phrase matches.
@@ -29,29 +31,36 @@ def n_words(text: Column) -> Column:
 
 
 def document_key(key: str, text: str) -> Column:
-    """Rows that share key and text are the same document; null keys and repeated keys are allowed."""
-    return F.xxhash64(F.col(key), F.col(text))
+    """Rows that share key and text are the same document; null keys and repeated keys are allowed.
+
+    Two hashes of 64 bits: two documents of ten thousand million share both with a chance under 1e-18.
+    """
+    return F.struct(F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("a"), F.xxhash64(F.lit(2), F.col(key), F.col(text)).alias("b"))
 
 
 def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, item_id, ipos, word, n): the words of each item by position, and their number."""
+    """(item, item_id, copies, ipos, word, n): the words of each item by position, and their number.
+
+    Rows that are equal in key and text are one item with so many ``copies``.
+    """
+    counted = items.groupBy(F.col(key).alias("item_id"), F.col(text).alias("text")).agg(F.count("*").cast("int").alias("copies"))
     return (
-        items.select(
-            document_key(key, text).alias("item"),
-            F.col(key).alias("item_id"),
-            F.array_remove(pieces(F.col(text)), "").alias("words"),
+        counted.select(
+            F.xxhash64("item_id", "text").alias("item"),
+            "item_id",
+            "copies",
+            F.array_remove(pieces(F.col("text")), "").alias("words"),
         )
-        .select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("ipos", "word"))
+        .select("item", "item_id", "copies", F.size("words").alias("n"), F.posexplode("words").alias("ipos", "word"))
         .withColumn("word", ascii_lower(F.col("word")))
-        .dropDuplicates(["item", "ipos"])
     )
 
 
 def store_postings(docs: DataFrame, terms: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the postings (term, doc, pos) of all ``docs`` for the words in ``terms`` (term, word)."""
+    """Write the postings (term, doc, pos) of all ``docs`` for the words in ``terms`` (term, word), a sorted segment for each task."""
     words = docs.select(document_key(key, text).alias("doc"), F.posexplode(pieces(F.col(text))).alias("pos", "word"))
     found = words.withColumn("word", ascii_lower(F.col("word"))).join(small(terms, BROADCAST_ROWS), "word")
-    return written(found.select("term", "doc", "pos"), folder, "postings")
+    return written(found.select("term", "doc", "pos").sortWithinPartitions("term", "doc", "pos"), folder, "postings")
 
 
 def numbered_terms(items: DataFrame, folder: str) -> DataFrame:
@@ -92,29 +101,30 @@ def windows_by_rarest(items: DataFrame, frequency: DataFrame, size: int) -> Data
 
 
 def phrase_matches(postings: DataFrame, items: DataFrame, folder: str, size: int = 13) -> DataFrame:
-    """(item, item_id, doc, first, last): every run of document positions that matches the item.
+    """(item, item_id, copies, doc, first, last): every run of document positions that matches the item.
 
     A run is as long as a window at least: ``size`` words, or the whole item if that is shorter.
     """
     frequency = postings.groupBy("term").agg(F.count("*").alias("tf"))
     windows = written(windows_by_rarest(items, frequency, size), folder, "windows")
+    rarest = windows.select(F.col("t1").alias("term")).unionByName(windows.select(F.col("t2").alias("term"))).distinct()
+    looked_up = written(postings.join(small(written(rarest, folder, "rarest"), BROADCAST_ROWS), "term", "left_semi"), folder, "looked_up")
     firsts = (
-        postings.withColumnRenamed("term", "t1")
+        looked_up.withColumnRenamed("term", "t1")
         .join(small(windows, BROADCAST_ROWS), "t1")
         .select("item", "n", "doc", (F.col("pos") - F.col("p1")).alias("shift"), "p2", "t2")
         .distinct()
     )
-    seconds = small(written(windows.select("t2").distinct(), folder, "seconds"), BROADCAST_ROWS)
     aligned = (
         firsts.withColumn("pos", F.col("shift") + F.col("p2"))
-        .join(postings.withColumnRenamed("term", "t2").join(seconds, "t2", "left_semi"), ["t2", "doc", "pos"], "left_semi")
+        .join(looked_up.withColumnRenamed("term", "t2"), ["t2", "doc", "pos"], "left_semi")
         .select("item", "doc", "shift")
         .distinct()
     )
     aligned = written(aligned, folder, "aligned")
     hit_docs = small(written(aligned.select("doc").distinct(), folder, "aligned_docs"), BROADCAST_ROWS)
     wanted = aligned.join(small(written(items, folder, "items"), BROADCAST_ROWS), "item").select(
-        "item", "item_id", "n", "doc", "shift", "ipos", (F.col("shift") + F.col("ipos")).alias("pos"), F.xxhash64("word").alias("term")
+        "item", "item_id", "copies", "n", "doc", "shift", "ipos", (F.col("shift") + F.col("ipos")).alias("pos"), F.xxhash64("word").alias("term")
     )
     matched = wanted.join(
         postings.join(hit_docs, "doc", "left_semi").distinct(), ["doc", "pos", "term"], "left_semi"
@@ -122,43 +132,46 @@ def phrase_matches(postings: DataFrame, items: DataFrame, folder: str, size: int
     order = Window.partitionBy("item", "doc", "shift").orderBy("ipos")
     return (
         matched.withColumn("island", F.col("ipos") - F.row_number().over(order))
-        .groupBy("item", "item_id", "n", "doc", "shift", "island")
+        .groupBy("item", "item_id", "copies", "n", "doc", "shift", "island")
         .agg(F.count("*").alias("length"), F.min("pos").alias("first"), F.max("pos").alias("last"))
         .where(F.col("length") >= F.least(F.col("n"), F.lit(size)))
-        .select("item", "item_id", "doc", "first", "last")
+        .select("item", "item_id", "copies", "doc", "first", "last")
     )
 
 
 def proximity_matches(postings: DataFrame, items: DataFrame, within: int) -> DataFrame:
-    """(item, doc, first, last): places where all words of an item lie in ``within`` consecutive words.
+    """(item, item_id, doc, first, last): a row for each place where all words of an item lie in ``within`` consecutive words.
 
-    A place starts at an occurrence of the item's rarest word; the nearest other words may lie on
-    either side of it. Meant for items of a few words; ``contamination`` does not use it.
+    A place is a shortest one: no other place of the item lies inside it. It has an occurrence of the
+    item's rarest word, around which the others are looked for. A word that an item repeats counts
+    once; a place may serve several items, and places may overlap. An item without words, or with a
+    word that no document has, has no place; null texts have no words and so no place either. Meant
+    for items of a few words; ``contamination`` does not use it.
     """
     frequency = postings.groupBy("term").agg(F.count("*").alias("tf"))
-    words = items.withColumn("term", F.xxhash64("word")).select("item", "item_id", "term").distinct()
-    counted = words.join(frequency, "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
-    order = Window.partitionBy("item").orderBy("tf", "term")
-    ranked = counted.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("item")))
-    anchors = ranked.where("rank = 1").join(postings, "term").select("item", "item_id", "n", "doc", F.col("pos").alias("anchor"))
+    words = items.select("item", "item_id", F.xxhash64("word").alias("term")).distinct().join(frequency, "term", "left")
+    listed = words.groupBy("item", "item_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term"))).alias("ws"))
+    wanted = listed.where("ws[0].tf > 0").select("item", "item_id", F.col("ws")[0]["term"].alias("rarest"), F.transform("ws", lambda w: w["term"]).alias("terms"))
+    anchors = wanted.join(postings.select(F.col("term").alias("rarest"), "doc", F.col("pos").alias("anchor")), "rarest")
     near = (
-        anchors.join(ranked.select("item", "term"), "item")
-        .join(postings, ["doc", "term"])
+        anchors.select("item", "item_id", "terms", "doc", "anchor", F.explode("terms").alias("term"))
+        .join(postings.distinct(), ["doc", "term"])
         .where(F.abs(F.col("pos") - F.col("anchor")) < within)
-        .groupBy("item", "item_id", "n", "doc", "anchor")
-        .agg(F.sort_array(F.collect_set(F.struct("pos", "term"))).alias("at"))
+        .groupBy("item", "item_id", "doc", "anchor", "terms")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("at"))  # 2 * within at most
     )
-    # A span that starts at one of the positions and has every term before it grows too long.
-    spans = F.transform(
-        "at",
-        lambda a: F.filter("at", lambda b: (b["pos"] >= a["pos"]) & (b["pos"] < a["pos"] + within)),
+    # From each start, the places where the words come first; the last of these ends the span.
+    firsts = lambda a: F.transform(
+        "terms", lambda t: F.array_min(F.transform(F.filter("at", lambda b: (b["pos"] >= a["pos"]) & (b["term"] == t)), lambda b: b["pos"]))
     )
-    return (
-        near.select("item", "item_id", "n", "doc", F.explode(spans).alias("span"))
-        .where(F.size(F.array_distinct(F.transform("span", lambda s: s["term"]))) == F.col("n"))
-        .groupBy("item", "item_id", "doc")
-        .agg(F.min(F.col("span")[0]["pos"]).alias("first"), F.max(F.element_at("span", -1)["pos"]).alias("last"))
+    spans = F.transform("at", lambda a: F.struct(a["pos"].alias("first"), a["term"].alias("term"), firsts(a).alias("ends")))
+    spans = F.transform(
+        F.filter(spans, lambda s: ~F.exists(s["ends"], lambda e: e.isNull())), lambda s: F.struct(s["first"], s["term"], F.array_max(s["ends"]).alias("last"))
     )
+    # shortest: the word at its start does not come again before its end
+    again = lambda s: F.exists("at", lambda b: (b["term"] == s["term"]) & (b["pos"] > s["first"]) & (b["pos"] <= s["last"]))
+    shortest = F.filter(spans, lambda s: (s["last"] - s["first"] < within) & ~again(s))
+    return near.select("item", "item_id", "doc", F.explode(shortest).alias("span")).select("item", "item_id", "doc", "span.first", "span.last").distinct()
 
 
 def contamination(
@@ -167,8 +180,9 @@ def contamination(
     """(doc, n_hit, item_ids): documents with matches, the number of their words inside one, and the items.
 
     ``doc`` is ``document_key``. Null and empty texts have no words and no matches; null keys are
-    keys like others; rows of equal key and text are one document here. An item without words has
-    no window, and an empty benchmark matches nothing.
+    keys like others; rows of equal key and text are one document here. Rows of the benchmark that are
+    equal in key and text are so many items. An item without words has no window, and an empty
+    benchmark matches nothing.
     """
     folder = new_folder(docs.sparkSession, "postings")
     items = written(item_terms(benchmark, item_key, item_text), folder, "item_terms")
@@ -181,10 +195,10 @@ def contamination(
         .agg(F.count("*").alias("n_hit"))
     )
     which = (
-        found.select("doc", "item", F.col("item_id").cast("string").alias("item_id"))
+        found.select("doc", "item", "copies", F.col("item_id").cast("string").alias("item_id"))
         .distinct()
         .groupBy("doc")
-        .agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("item_ids"))
+        .agg(F.sum("copies").alias("n_items"), F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(item_id, copies)")))).alias("item_ids"))
     )
     return written(hits.join(which, "doc"), folder, "contamination")
 
@@ -214,13 +228,15 @@ def judged_documents(spark, sf_dir: str) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    found = contamination(docs, benchmark).select(F.col("doc").alias("hit_doc"), "n_hit")
-    return (
-        docs.join(small(found, BROADCAST_ROWS), document_key("doc_id", "text") == F.col("hit_doc"), "left")
-        .where(~F.coalesce(is_contaminated(F.col("n_hit"), n_words(F.col("text"))), F.lit(False)))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    """The documents that are not contaminated, with all their columns, whatever their names.
+
+    Documents without words, and all where the benchmark is empty, stay; so do null ids, which are
+    judged by their own text. Rows that are equal in id and text stay or go together.
+    """
+    found = contamination(docs, benchmark).select("doc", "n_hit")
+    judged = docs.select(F.struct("*").alias("record"), document_key("doc_id", "text").alias("doc")).join(small(found, BROADCAST_ROWS), "doc", "left")
+    gone = F.coalesce(is_contaminated(F.col("n_hit"), n_words(F.col("record.text"))), F.lit(False))
+    return judged.where(~gone).select("record.*")
 
 
 JUDGED_SQL = r"""
