@@ -10,15 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import shared_folder, small
+from .shared import first_positions, shared_folder, small
 
 #: A Poisson variable of a larger mean is drawn as a sum of several, so that exp(-mean) stays normal.
 LARGEST_MEAN = 500.0
 #: A bucket of the global order is named by the first hexadecimal digits of the order key: three,
 #: and as many more as leave it BUCKET_BYTES on average. The order is the same with any number.
 LEAST_DIGITS, BUCKET_BYTES = 3, 256 << 20
-#: Tables of more rows are not broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Tables of more rows are not broadcast: the buckets of 268 TB.
+BROADCAST_ROWS = 1 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -90,15 +90,15 @@ def mix_sources(
     Columns: ``record`` (a struct of all input columns), ``copy`` (0, 1 ... for each document) and
     ``position`` (0, 1 ... over all copies, a random order; rows are laid out by it).
 
-    Nulls: a null source is a source of its own; a null key hashes as the text ``null``; a null text
-    has no bytes. Rows that repeat a key draw the same number and each get so many copies; their
-    order among each other is open. An empty table gives no rows.
+    Nulls: a null source is a source of its own; a null key is replaced by a digest of the text; a null
+    text has no bytes. Rows that repeat a key draw the same number and each get so many copies; copies
+    of one number stand in the order of a hash of all their columns. An empty table gives no rows.
     """
     shared_folder(docs.sparkSession)  # sets the checkpoint folder where there is none
     found = with_steps(repetition_rates(docs, weights, source, text)).checkpoint()
     digits = bucket_digits(found.agg(F.sum("mix_bytes").alias("n")).first()["n"] or 0)
     rates = small(found, 10_000)
-    ident = F.coalesce(F.col(f"record.{key}").cast("string"), F.lit("null"))
+    ident = F.coalesce(F.col(f"record.{key}").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(f"record.{text}"), F.lit("")))))
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("mix_parts") - 1),
         F.lit(0),
@@ -117,16 +117,12 @@ def mix_sources(
         .where("n > 0")
         .select("record", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
         .withColumn("order_key", order)
-        .withColumn("bucket", F.substring("order_key", 1, digits))
-    )
-    counts = copies.groupBy("bucket").agg(F.count("*").alias("n"))
-    firsts = counts.select(  # a row for each bucket
-        "bucket",
-        (F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"),
+        .withColumn("bucket", F.conv(F.substring("order_key", 1, digits), 16, 10).cast("long"))
     )
+    firsts = first_positions(copies.groupBy("bucket").agg(F.count("*").alias("n")))
     if 16**digits <= BROADCAST_ROWS:
         firsts = F.broadcast(firsts)
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy("order_key"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("order_key", F.xxhash64("record")))
     return (
         copies.repartitionByRange("bucket")
         .withColumn("within", within)
@@ -157,12 +153,12 @@ WITH RECURSIVE sizes AS (
 ), lists AS (
   SELECT source, list(c ORDER BY k) AS cs FROM steps GROUP BY source
 ), drawn AS (
-  SELECT d.*, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('11:draw:0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT
+  SELECT d.*, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('11:draw:0:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT
     / 4503599627370496.0::DOUBLE)) AS n
   FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source
 ), copies AS (
   SELECT * EXCLUDE (n), CAST(unnest(range(n)) AS INTEGER) AS copy FROM drawn WHERE n > 0
 )
-SELECT *, row_number() OVER (ORDER BY md5('11:order:' || copy || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null'))) - 1 AS position
+SELECT *, row_number() OVER (ORDER BY md5('11:order:' || copy || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))))) - 1 AS position
 FROM copies
 """

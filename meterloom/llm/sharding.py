@@ -7,12 +7,41 @@ number of records in the buckets before it, so the shards take equal runs of pos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .shared import new_folder, shared_folder, small
+from .shared import first_positions, new_folder, shared_folder, small, written
 
 #: Tables of more rows are not broadcast.
 BROADCAST_ROWS = 1_000_000
+#: What a task of the second pass reads, about.
+TASK_BYTES = 128 << 20
+
+
+def placed_in_buckets(docs: DataFrame, n_buckets: int, bucket_bytes: int, seed: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(bucket, record) of every row, and the buckets' counts (bucket, n).
+
+    The bucket is a hash of the row's key and text. Rows that repeat both would all meet in one: where
+    a bucket is over four times its size, repeated rows of more than a bucket together are written
+    with a number in turn, and hashed with it.
+    """
+    hashed = docs.select(F.struct("*").alias("record"), F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")))).alias("hash"))
+    size = F.coalesce(F.octet_length(f"record.{text}"), F.lit(0)).cast("long") + 8
+    bucket = F.pmod("hash", F.lit(n_buckets))
+    count = lambda rows: rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    plain = hashed.withColumn("bucket", bucket)
+    counts = count(plain).checkpoint()
+    full = counts.where(F.col("bytes") > 4 * bucket_bytes).select("bucket")
+    if full.isEmpty():
+        return plain.select("bucket", "record"), counts
+    groups = plain.join(small(full, BROADCAST_ROWS), "bucket", "left_semi").groupBy("hash").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    many = groups.where((F.col("n") > 1) & (F.col("bytes") > bucket_bytes)).select("hash", F.ceil(F.col("bytes") / bucket_bytes).alias("parts")).checkpoint()
+    many = small(many, BROADCAST_ROWS)
+    turn = F.pmod(F.monotonically_increasing_id(), F.col("parts"))
+    spread = F.pmod(F.xxhash64(F.lit(seed), F.col("hash"), turn), F.lit(n_buckets))
+    # written, so that a task that runs again finds the same numbers
+    spread = written(hashed.join(many, "hash").select(spread.alias("bucket"), "record"), new_folder(docs.sparkSession, "repeated"), "rows")
+    every = plain.join(many, "hash", "left_anti").select("bucket", "record").unionByName(spread)
+    return every, count(every).checkpoint()
 
 
 def shuffle_into_shards(
@@ -28,32 +57,28 @@ def shuffle_into_shards(
 
     Columns: ``record`` (a struct of all input columns, so no name can clash), ``shard`` and
     ``slot`` (0, 1, 2 ... within the shard). Shards differ by one record at most. The order
-    depends on the seed, the keys and texts and the number of buckets alone.
+    depends on the seed, the keys and texts and the number of buckets and tasks; that of rows that
+    are repeated over more than a bucket, also on their place in ``docs``.
 
     Nulls: a null key or text hashes like any other value and counts no bytes. Repeated rows stay
-    repeated, and share a bucket. An empty table gives no rows. Texts of any length stay whole; a
-    bucket has about ``bucket_bytes`` plus its longest text.
+    repeated, and share buckets only up to their size. An empty table gives no rows. Texts of any
+    length stay whole; a bucket has about ``bucket_bytes`` plus its longest text.
     """
     spark = docs.sparkSession
     shared_folder(spark)  # sets the checkpoint folder where there is none
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
-    total = docs.agg(F.sum(size).alias("n")).first()["n"] or 0
+    whole = docs.agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).first()
+    total, n = whole["bytes"] or 0, whole["n"]
     n_buckets = max(1, -(-total // bucket_bytes))
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")))), F.lit(n_buckets))
-    counts = docs.select(place.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    offsets = counts.select(
-        "bucket",
-        (F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"),
-    ).checkpoint()
-    n = docs.count()
+    scattered, counts = placed_in_buckets(docs, n_buckets, bucket_bytes, seed, key, text)
+    offsets = first_positions(counts).checkpoint()
     # The number of partitions is given, so that AQE leaves it: shuffle() seeds by partition.
-    n_tasks = max(1, min(n_buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n_tasks = max(1, min(n_buckets, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))))
     buckets = (
-        docs.select(place.alias("bucket"), F.struct("*").alias("record"))
-        .repartition(n_tasks, "bucket")
+        scattered.repartition(n_tasks, "bucket")
         .sortWithinPartitions("bucket", f"record.{key}", F.crc32(f"record.{text}"))
         .groupBy("bucket")
-        .agg(F.collect_list("record").alias("records"))
+        .agg(F.collect_list("record").alias("records"))  # of bucket_bytes
         .select("bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("at", "record"))
     )
     base, extra = divmod(n, n_shards)

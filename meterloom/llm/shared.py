@@ -7,7 +7,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _own: dict[str, str] = {}
 
@@ -64,6 +64,17 @@ def joined(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: st
     return salted.join(table.withColumn("salt", F.explode(places)), [*on, "salt"], how).drop("salt")
 
 
+def first_positions(counts: DataFrame, span: int = 4096) -> DataFrame:
+    """(bucket, first): how many rows are in the buckets before each, from (bucket, n).
+
+    Sums run within blocks of ``span`` buckets; only the blocks, a row for each, share one window.
+    """
+    before = lambda n, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocked = counts.select("bucket", "n", F.expr(f"bucket div {span}").alias("block"))
+    blocks = blocked.groupBy("block").agg(F.sum("n").alias("whole")).select("block", before("whole", "block").alias("base"))
+    return blocked.withColumn("inner", before("n", "block", "bucket")).join(blocks, "block").select("bucket", (F.col("base") + F.col("inner")).alias("first"))
+
+
 def ascii_lower(column):
     """A-Z lower-cased and nothing else; text of ASCII alone takes Spark's faster ``lower``."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
