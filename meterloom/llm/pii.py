@@ -1,16 +1,16 @@
 """Format-preserving pseudonyms for personal data.
 
 Numbers and dates that pass their format's test are permuted, under a key, among the values of that
-format: a Feistel network over the digits in two halves, walked until the result is in the
-format's range. A permutation gives equal values equal pseudonyms in all documents, and different
-values different ones. E-mail names, which have no fixed alphabet, get a keyed digest instead.
+format: a Feistel network over the value's two halves, whose sizes multiply to the number of valid
+values, so each result is valid. A permutation gives equal values equal pseudonyms in all documents,
+and different values different ones. E-mail names, which have no fixed alphabet, get a keyed digest instead.
 Everything is built of column functions.
 
 Forms that are found, besides e-mail and IPv4 addresses and social security numbers (ddd-dd-dddd):
 phone numbers with a country code, as (ddd) ddd-dddd, or as ddd-ddd-dddd or
-ddd.ddd.dddd; dates as yyyy-MM-dd of 1900 to 2099; cards of 13 to 19 digits that are joined or in groups of
-four. Other forms stay in clear: dates as 03/14/1985, 14.03.1985 or with month names, national phone
-numbers with spaces alone (212 555 0123), cards in groups of 4, 6 and 5.
+ddd.ddd.dddd; dates as yyyy-MM-dd; cards of 13 to 19 digits that are joined, in groups of four or in
+groups of 4, 6 and 5. Other forms stay in clear: dates as 03/14/1985, 14.03.1985 or with month names,
+national phone numbers with spaces alone (212 555 0123), IPv6 addresses.
 """
 
 from __future__ import annotations
@@ -27,10 +27,14 @@ PHONE = (
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7})(?![0-9])"
 KINDS = ("email", "phone", "ip", "date", "ssn", "card")
 ANY = "|".join((EMAIL, PHONE, IP, DATE, SSN, CARD))
-FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
+FIRST_DAY = "0001-01-01"
+#: Days up to 1899, from 1900 to 2099 and after that: each date stays among its own. (first, low, high), with low * high days.
+DAYS = ((0, 35, 19_817), (693_595, 17, 4_297), (766_644, 15, 192_361))
+#: Social security numbers: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 
 def _let(value: Column, body) -> Column:
@@ -60,20 +64,10 @@ def permuted(value: Column, low: Column, high: Column, key: str) -> Column:
     return _let(done, lambda s: s["a"] * high + s["b"])
 
 
-def permuted_below(value: Column, size: int, low: int, high: int, key: str, steps: int = 64) -> Column:
-    """The same for 0 .. size - 1, by walking the cycle in 0 .. low * high - 1 until it is back in range.
-
-    ``low * high`` should exceed ``size`` little: a walk then ends within ``steps`` but for a chance
-    of (1 - size / (low * high)) ** steps; the value stays as it is then.
-    """
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(value.cast("long").alias("v"), F.lit(False).alias("done")),
-        lambda s, _: F.when(s["done"], s).otherwise(
-            _let(permuted(s["v"], F.lit(low).cast("long"), F.lit(high).cast("long"), key), lambda v: F.struct(v.alias("v"), (v < size).alias("done")))
-        ),
-    )
-    return _let(walked, lambda s: F.when(s["done"], s["v"]).otherwise(value))
+def permuted_day(day: Column, key: str) -> Column:
+    """A day since FIRST_DAY, permuted among the days of its range."""
+    inside = [_let(day - first, lambda v: first + permuted(v, F.lit(low).cast("long"), F.lit(high).cast("long"), f"{key}:{first}")) for first, low, high in DAYS]  # noqa: B023
+    return F.when(day < DAYS[1][0], inside[0]).when(day < DAYS[2][0], inside[1]).otherwise(inside[2])
 
 
 def permuted_digits(digits: Column, key: str) -> Column:
@@ -93,21 +87,23 @@ def permuted_digits(digits: Column, key: str) -> Column:
     return _let(done, lambda s: F.concat(pad(s["a"], left), pad(s["b"], n - left)))
 
 
-def permuted_valid(digits: Column, key: str, is_valid, steps: int = 64) -> Column:
-    """The same among the valid strings alone: permuted until the result is valid again.
+def is_ssn(digits: Column) -> Column:
+    return digits.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+
 
-    The value stays as it is where that takes over ``steps`` turns.
-    """
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(digits.alias("v"), F.lit(False).alias("done")),
-        lambda s, _: F.when(s["done"], s).otherwise(_let(permuted_digits(s["v"], key), lambda v: F.struct(v.alias("v"), is_valid(v).alias("done")))),
-    )
-    return _let(walked, lambda s: F.when(s["done"], s["v"]).otherwise(digits))
+def permuted_ssn(digits: Column, key: str) -> Column:
+    """Nine digits that are a valid number, permuted among the valid ones, by their rank among these."""
+    part = lambda at, n: F.substring(digits, F.lit(at), F.lit(n)).cast("long")
+    area = part(1, 3) - F.when(part(1, 3) < 666, 1).otherwise(2)
+    rank = (area * GROUPS + part(4, 2) - 1) * SERIALS + part(6, 4) - 1
+    pad = lambda x, width: F.lpad(x.cast("string"), width, "0")
 
+    def written_out(v: Column) -> Column:
+        place = F.floor(v / (GROUPS * SERIALS))
+        group = F.pmod(F.floor(v / SERIALS), F.lit(GROUPS)) + 1
+        return F.concat(pad(place + F.when(place < 665, 1).otherwise(2), 3), pad(group, 2), pad(F.pmod(v, F.lit(SERIALS)) + 1, 4))
 
-def is_ssn(digits: Column) -> Column:
-    return digits.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+    return _let(permuted(rank, F.lit(AREAS * GROUPS).cast("long"), F.lit(SERIALS).cast("long"), key), written_out)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -143,12 +139,11 @@ def kind_of(match: Column) -> Column:
     """The kind of a match of ``ANY``; null where the value is not valid for its format."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     octets = F.filter(F.split(match, r"\."), lambda x: x.cast("int") > 255)
-    days = F.datediff(F.lit(LAST_DAY).cast("date"), F.lit(FIRST_DAY).cast("date"))
     return (
         F.when(match.contains("@"), F.lit("email"))
         .when(match.rlike(f"^(?:{PHONE})$"), F.lit("phone"))
         .when(match.rlike(r"^[0-9]+\.") & (F.size(octets) == 0), F.lit("ip"))
-        .when(match.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when(_day(match).between(F.lit(0), days), F.lit("date")))
+        .when(match.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when(_day(match) >= 0, F.lit("date")))
         .when(match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(is_ssn(digits), F.lit("ssn")))
         .when(match.contains("."), F.lit(None).cast("string"))
         .when(luhn_sum(digits) % 10 == 0, F.lit("card"))
@@ -173,14 +168,14 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
     country = F.regexp_extract(match, r"^\+[0-9]{1,3}(?![0-9])", 0)
     rest = F.substring(match, F.char_length(country) + 1, F.char_length(match))
     phone = F.concat(country, _refill(rest, permuted_digits(F.regexp_replace(rest, "[^0-9]", ""), f"{key}:phone")))
-    day = permuted_below(_day(match), 73049, 271, 270, f"{key}:date")
+    day = permuted_day(_day(match), f"{key}:date")
     name = F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(match)), 256)
     return (
         F.when(kind == "email", F.concat(F.lit("u"), F.substring(name, 1, 16), F.lit("@"), F.substring_index(match, "@", -1)))
         .when(kind == "phone", phone)
         .when(kind == "ip", ip)
         .when(kind == "date", F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int")), "yyyy-MM-dd"))
-        .when(kind == "ssn", _refill(match, permuted_valid(digits, f"{key}:ssn", is_ssn)))
+        .when(kind == "ssn", _refill(match, permuted_ssn(digits, f"{key}:ssn")))
         .when(kind == "card", _refill(match, card))
         .otherwise(match)
     )
