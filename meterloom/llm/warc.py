@@ -3,6 +3,7 @@
 A bundle's records are grouped into frames that decompress on their own. A skippable frame at the
 end holds the seek table (the public seekable format: compressed and decompressed size of each
 frame), and an index maps each record to its frame and its offset within the decompressed frame.
+The block of a response is an HTTP response with the page's html as its body, the payload.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import new_folder, open_file, put_file, written
+from .shared import joined, new_folder, open_file, put_file, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2026-01-01T00:00:00Z"
@@ -22,7 +23,10 @@ def record_id(page_id) -> str:
 
 
 def warc_record(page_id, url, kind: str, payload: bytes, n_bytes: int, digest: str, refers_to) -> bytes:
-    """One record; a revisit has no payload, and names its digest and the record that has it."""
+    """One record; a revisit has no block, and names the payload's digest and the record that has it.
+
+    Of a URL only what may not stand in a header is percent-encoded: white space, controls, and what is beyond ASCII.
+    """
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -34,18 +38,21 @@ def warc_record(page_id, url, kind: str, payload: bytes, n_bytes: int, digest: s
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c.isprintable() and c != "%" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
+        head.append("WARC-Target-URI: " + "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         head.append(f"WARC-Refers-To: <{record_id(refers_to)}>")
         head.append(f"X-Refers-To-Page-Id: {refers_to}")
-    head.append("Content-Type: text/html; charset=utf-8")
-    head.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    block = b""
+    if kind != "revisit":
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+    head.append("Content-Type: application/http; msgtype=response")
+    head.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(data, at: int = 0):
-    """(headers, payload, end) of the record at an offset."""
+    """(headers, payload, end) of the record at an offset; a revisit's payload is empty."""
     stop = data.index(b"\r\n\r\n", at)
     lines = bytes(data[at:stop]).decode().split("\r\n")
     if lines[0] != "WARC/1.1":
@@ -53,7 +60,8 @@ def parse_record(data, at: int = 0):
     headers = dict(x.split(": ", 1) for x in lines[1:])
     start = stop + 4
     end = start + int(headers["Content-Length"])
-    return headers, data[start:end], end + 4
+    block = data[start:end]
+    return headers, block[block.index(b"\r\n\r\n") + 4 :] if block else block, end + 4
 
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
@@ -108,11 +116,11 @@ def _bundler(folder: str, frame_bytes: int, level: int):
                 return data
 
             for batch in batches:
-                for x in batch.to_pylist():
-                    html = (x["html"] or "").encode()
-                    kind = "revisit" if x["refers_to"] is not None else "response"
-                    record = warc_record(x["page_id"], x["url"], kind, b"" if kind == "revisit" else html, x["n_bytes"], x["digest"], x["refers_to"])
-                    places.append((x["row"], x["page_id"], at, len(record)))
+                for k in range(batch.num_rows):  # one page at a time
+                    row, page_id, url, html, n_bytes, digest, refers_to = (column[k].as_py() for column in batch.columns)
+                    kind = "response" if refers_to is None else "revisit"
+                    record = warc_record(page_id, url, kind, (html or "").encode(), n_bytes, digest, refers_to)
+                    places.append((row, page_id, at, len(record)))
                     waiting.append(record)
                     at += len(record)
                     if at >= frame_bytes:
@@ -133,21 +141,20 @@ def _bundler(folder: str, frame_bytes: int, level: int):
 def with_revisits(pages: DataFrame, least: int) -> DataFrame:
     """Add n_bytes, digest and refers_to: of equal payloads of ``least`` bytes the largest id is kept.
 
-    The digests are counted before the join, so a payload that a third of all pages share is one row;
-    the join's large keys are left to adaptive execution to split.
+    The digests are counted before the join, so a payload that a third of all pages share is one row,
+    and pages that have it are dealt to several tasks. Smaller payloads take no part in the join.
     """
     sized = pages.withColumn("n_bytes", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).withColumn(
         "digest", F.sha1(F.coalesce("html", F.lit("")))
     )
+    large, rest = sized.where(F.col("n_bytes") >= least), sized.where(F.col("n_bytes") < least)
     copies = (
-        sized.where(F.col("n_bytes") >= least)
-        .groupBy("digest", "n_bytes")
-        .agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
-        .where("n > 1 and holder is not null")
-        .select("digest", "n_bytes", "holder")
+        large.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("holder"), F.count("*").alias("n_copies")).where("n_copies > 1 and holder is not null")
     )
+    copies = written(copies, new_folder(pages.sparkSession, "copies"), "copies")
     refers = F.when(F.col("holder").eqNullSafe(F.col("page_id")), None).otherwise(F.col("holder"))
-    return sized.join(copies, ["digest", "n_bytes"], "left").withColumn("refers_to", refers).drop("holder")
+    found = joined(large, copies, ["digest", "n_bytes"], "n_copies", "left").withColumn("refers_to", refers).drop("holder", "n_copies")
+    return found.unionByName(rest.withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 1 << 18, least: int = 1000, level: int = 3) -> DataFrame:
