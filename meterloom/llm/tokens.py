@@ -13,6 +13,7 @@ Block: smallest id u32, width u8, number of exceptions u8, number of ids u16; ``
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -111,14 +112,25 @@ def decode_blocks(data: bytes, at):
 
 
 class WordEncoder:
-    """Encodes whole texts word by word, each distinct word of a slice once.
+    """Encodes whole texts word by word, each distinct word of a slice once, where the tokenizer is of the known kind.
 
-    The tokenizer drops white space, splits at it and encodes what lies between on its own, and it
+    Such a tokenizer drops white space, splits at it and encodes what lies between on its own, and it
     parts a letter from a sign other than an apostrophe after it; so the ids of a text are those of
     its words in turn, and frequent words come from a cache of a fixed number of entries. Texts with
-    the start of a special token are encoded as they are.
+    the start of a special token are encoded as they are, and so are all texts by any other tokenizer.
     """
 
+    #: The normaliser and the splitting of the known kind, and what ends its words.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
+    END = "</w>"
+
     #: A letter and an ASCII sign after it, which the tokenizer parts.
     SEAM = r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 
@@ -129,7 +141,14 @@ class WordEncoder:
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.ends[[i for word, i in vocabulary.items() if word.endswith(self.END)]] = True
+        kind = json.loads(self.tokenizer.to_str())
+        added = [x["content"] for x in kind["added_tokens"]]
+        self.by_words = (
+            (kind["normalizer"], kind["pre_tokenizer"], kind["model"].get("end_of_word_suffix")) == (self.NORMALIZER, self.SPLIT, self.END)
+            and kind["post_processor"] is None
+            and all(x.startswith("<|") for x in added)
+        )
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         import numpy as np
@@ -157,7 +176,7 @@ class WordEncoder:
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
-        special = pc.match_substring(texts, "<|")
+        special = pc.match_substring(texts, "<|" if self.by_words else "")
         odd = np.flatnonzero(special.to_numpy(zero_copy_only=False))
         spaced = pc.replace_substring_regex(pc.ascii_lower(pc.if_else(special, "", texts)), self.SEAM, "\\1 \\2")
         lists = pc.ascii_split_whitespace(spaced)
@@ -245,16 +264,21 @@ def _writer(folder: str, tokenizer: str, end_id: int, slice_bytes: int):
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", slice_bytes: int = 8 << 20) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", slice_bytes: int = 8 << 20, in_order: bool = True
+) -> DataFrame:
     """Write the ids of all texts below ``folder``, in ascending order of ``key``; returns the files.
 
+    With ``in_order`` false, rows are written as they stand in ``docs``, a file for each partition, and
+    nothing is shuffled: for tables that were shuffled and stored before, whose order this keeps.
+
     Columns: part, path, bytes, n_docs, n_ids, start (ids in the files before). A file per range of
     keys appears under its name when whole, and a task that runs again writes the same file. A null
     text has the end id alone; null keys come first; rows that share a key stand in order of text;
     an empty table gives files without documents, or none. Long texts are encoded whole.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text") if in_order else slim
     files = written(
         ordered.mapInArrow(_writer(folder, tokenizer, end_id, slice_bytes), "part int, path string, bytes long, n_docs long, n_ids long"), folder, "files"
     )
@@ -316,12 +340,16 @@ def read_documents(files: DataFrame) -> DataFrame:
     return spread.mapInArrow(_read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """Write ``docs`` as token files with the public word vocabulary and read them back."""
+def encoded(docs: DataFrame, in_order: bool = True) -> DataFrame:
+    """Write ``docs`` as token files with the public word vocabulary and read them back.
+
+    (doc_id, start, n_tokens, ids_crc32) for each row, repeated ones included; a null or empty text
+    has the end id alone, a null id stays null, other columns are left out, an empty table gives no rows.
+    """
     import public_tokenizers
 
     folder = new_folder(docs.sparkSession, "tokens")
-    return read_documents(write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json")))
+    return read_documents(write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"), in_order=in_order))
 
 
 def encoded_documents(spark, sf_dir: str) -> DataFrame:

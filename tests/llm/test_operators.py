@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from datetime import date
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterloom.llm import decontam, linededup, mixing, neardup, pii, quality, sharding, tokens, urlfilter, warc
-from meterloom.llm.shared import new_folder
+from meterloom.llm.shared import first_positions, joined, new_folder, written
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, record string, bucket int, node long, key string, n int, copy int, shard int, doc string"
@@ -79,8 +80,30 @@ def test_em_finds_the_better_rules():
     assert (judged == truth).mean() > 0.9
 
 
-def test_quality_on_labels(spark):
-    sf = "/root/testdata/sf0.01"
+def test_em_against_rows(spark):
+    """Votes from the operator, and the fit over rows instead of over counts of patterns."""
+    judged = quality.judge(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).select("votes", "base_failed", "posterior", "kept").collect()
+    votes = np.array([r["votes"] for r in judged])
+    fitted = votes[[not r["base_failed"] for r in judged]]
+    start = [[quality.START[v][kind] for v in (-1, 0, 1)] for kind in (1, 0)]
+    prior, rates = 0.8, np.tile(start, (votes.shape[1], 1, 1))  # [rule][bad, good][vote + 1]
+    start = rates.copy()
+    chance = lambda v: 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + sum(np.log(rates[r, 1, v[:, r] + 1] / rates[r, 0, v[:, r] + 1]) for r in range(v.shape[1])))))
+    for _ in range(50):
+        p = chance(fitted)
+        for r in range(votes.shape[1]):
+            for kind, weight in enumerate((1 - p, p)):
+                for vote in (-1, 0, 1):
+                    rates[r, kind, vote + 1] = quality.BELIEF * start[r, kind, vote + 1] + weight[fitted[:, r] == vote].sum()
+                rates[r, kind] /= rates[r, kind].sum()
+        prior = (p.sum() + 1) / (len(p) + 2)
+    want = chance(votes)
+    assert np.allclose([r["posterior"] for r in judged], want, atol=1e-9)
+    assert [r["kept"] for r in judged] == [not r["base_failed"] and w >= 0.5 for r, w in zip(judged, want, strict=True)]
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_quality_on_labels(spark, sf):
     judged = quality.judged_documents(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     table = {(r["quality"], r["kept"]): r["count"] for r in judged.where("not base_failed").groupBy("quality", "kept").count().collect()}
     assert table.get((1, False), 0) <= 0.02 * table[(1, True)]
@@ -150,6 +173,25 @@ def test_words_encode_as_texts():
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  Words, it's\n", None, "", "x.Y <|a|>"]
+    ids, counts = tokens.WordEncoder(path)(pa.array(texts), 1)
+    want = [[*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_token_files_as_they_stand(spark):
+    path, plain = tokenizer()
+    texts = [(i * 7 % 30, f"text {i} of these") for i in range(30)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = tokens.encoded(frame, in_order=False).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [i for i, _ in texts]
+
+
 def test_token_files(docs, none):
     path, plain = tokenizer()
     got = tokens.encoded(docs).collect()
@@ -180,34 +222,50 @@ def bench_words(text):
 
 
 def test_contamination(docs, none, spark):
-    bench = spark.createDataFrame([(1, PROSE), (2, "one two"), (3, ""), (4, None), (10, "Lazy dog, and RUNS far"), (5, " ".join(f"w{i}" for i in range(40, 70)))], "item_id long, text string")
+    bench = spark.createDataFrame([(1, PROSE), (2, "one two"), (3, ""), (4, None), (10, "Lazy dog, and RUNS far"), (10, "Lazy dog, and RUNS far"), (5, " ".join(f"w{i}" for i in range(40, 70)))], "item_id long, text string")
     found = {r["doc"]: r for r in decontam.contamination(docs, bench).collect()}
     keyed = docs.select("doc_id", "text", decontam.document_key("doc_id", "text").alias("k"), decontam.n_words(F.col("text")).alias("n")).collect()
     for r in keyed:
         w, hit, items = bench_words(r["text"]), set(), set()
-        for b in bench.collect():
+        for row, b in enumerate(bench.collect()):
             v = bench_words(b["text"])
             size = min(13, len(v))
             windows = {tuple(v[i : i + size]) for i in range(len(v) - size + 1)} if v else set()
             for i in range(len(w) - size + 1):
                 if size and tuple(w[i : i + size]) in windows:
                     hit.update(range(i, i + size))
-                    items.add(str(b["item_id"]))
+                    items.add((str(b["item_id"]), row))
         f = found.get(r["k"])
         assert r["n"] == len(w)
-        assert (f["n_hit"] if f else 0, f["item_ids"] if f else []) == (len(hit), sorted(items))
+        assert (f["n_hit"] if f else 0, f["item_ids"] if f else []) == (len(hit), sorted(i for i, _ in items))
+        assert (f["n_items"] if f else 0) == len(items)
     assert decontam.contamination(none, bench).count() == 0
     assert decontam.contamination(docs, bench.where("false")).count() == 0
     kept = decontam.without_contaminated(docs, bench)
+    clashing = docs.withColumn("n_hit", F.lit(1)).withColumn("item", F.lit(1)).withColumn("gone", F.lit(1))
+    assert sorted(r["doc_id"] or 0 for r in decontam.without_contaminated(clashing, bench).collect()) == sorted(r["doc_id"] or 0 for r in kept.collect())
     assert kept.columns == docs.columns and kept.where("doc_id = 18").count() == 0 and kept.where("doc_id = 16").count() == 1
 
 
 def test_proximity(docs, spark):
-    items = decontam.item_terms(spark.createDataFrame([(1, "fox dog"), (2, "animals fox")], "item_id long, text string"))
+    """Every shortest place of all words of an item, against all spans of each text."""
+    texts = [PROSE, None, "", "a b x x a", "x a y b " * 3 + "z " * 40 + "b a", "a a b b a", "b"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = [(1, "fox dog"), (2, "animals fox"), (3, "A b"), (4, "b b"), (5, None), (6, "a missing"), (7, "x a b"), (7, "x a b")]
+    items = decontam.item_terms(spark.createDataFrame(queries, "item_id long, text string"))
     folder = new_folder(spark, "t")
-    postings = decontam.store_postings(docs.where("doc_id = 1"), decontam.numbered_terms(items, folder), folder)
-    near_ones = decontam.proximity_matches(postings, items, 6).collect()
-    assert [(r["item_id"], r["first"], r["last"]) for r in near_ones] == [(1, 3, 8)]
+    postings = decontam.store_postings(table, decontam.numbered_terms(items, folder), folder)
+    keys = {r["k"]: r["doc_id"] for r in table.select("doc_id", decontam.document_key("doc_id", "text").alias("k")).collect()}
+    for within in (2, 4, 6):
+        want = set()
+        for doc, text in enumerate(texts):
+            w = bench_words(text)
+            for item, words_of in queries:
+                need = set(bench_words(words_of))
+                spans = {(i, j) for i in range(len(w)) for j in range(i, min(i + within, len(w))) if need and need <= set(w[i : j + 1])}
+                want |= {(item, doc, i, j) for i, j in spans if not spans & {(i + 1, j), (i, j - 1)}}
+        got = [(r["item_id"], keys[r["doc"]], r["first"], r["last"]) for r in decontam.proximity_matches(postings, items, within).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_urls(spark):
@@ -281,12 +339,132 @@ def test_pseudonyms(docs, none, spark):
     numbers = spark.range(300).select(F.format_string("%03d-%02d-%04d", F.col("id") % 100 + 1, F.col("id") % 7 + 1, F.col("id") + 1).alias("text"))
     made = [r["found"][0]["value"] for r in pii.pseudonymise(numbers, "k").collect()]
     assert len(set(made)) == 300 and not any(re.search("^(000|666|9)|-00-|-0000$", x) for x in made)
-    days = spark.range(73_049).select(pii.permuted_below(F.col("id"), 73_049, 271, 270, "q").alias("v"))
-    assert days.distinct().count() == 73_049
+    for first, low, high in pii.DAYS[:2]:
+        days = spark.range(first, first + low * high, 11).select(pii.permuted_day(F.col("id"), "q").alias("v"))
+        assert days.distinct().count() == days.count() == days.where(F.col("v").between(first, first + low * high - 1)).count()
+    assert sum(low * high for _, low, high in pii.DAYS) == 3_652_059
     digits = spark.range(1000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "q").alias("v"))
     assert digits.distinct().count() == 1000
 
 
+def feistel(value, low, high, key):
+    a, b = divmod(value, high)
+    for i in range(10):
+        if i % 2 == 0:
+            a = (a + keyed(key, i, high, b)) % low
+        else:
+            b = (b + keyed(key, i, low, a)) % high
+    return a * high + b
+
+
+def keyed(key, *parts):
+    return int(hashlib.sha256(":".join([key, *map(str, parts)]).encode()).hexdigest()[:12], 16)
+
+
+def digits_feistel(digits, key):
+    n, left = len(digits), len(digits) // 2
+    a, b = int(digits[:left]), int(digits[left:])
+    for i in range(10):
+        if i % 2 == 0:
+            a = (a + keyed(key, i, n, b)) % 10**left
+        else:
+            b = (b + keyed(key, i, n, a)) % 10 ** (n - left)
+    return f"{a:0{left}d}{b:0{n - left}d}"
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits)))
+
+
+def refilled(form, digits):
+    left = iter(digits)
+    return "".join(next(left) if c in "0123456789" else c for c in form)
+
+
+def plain_pseudonym(value, key):
+    digits = re.sub("[^0-9]", "", value)
+    if "@" in value:
+        return "u" + hashlib.sha256(f"{key}:email:{value.lower()}".encode()).hexdigest()[:16] + "@" + value.rpartition("@")[2]
+    if re.fullmatch(pii.PHONE, value):
+        country = re.match(r"(?:\+[0-9]{1,3}(?![0-9]))?", value)[0]
+        rest = value[len(country) :]
+        return country + refilled(rest, digits_feistel(re.sub("[^0-9]", "", rest), key + ":phone"))
+    if re.match(r"[0-9]+\.", value):
+        parts = list(map(int, value.split(".")))
+        if max(parts) > 255:
+            return value
+        v = feistel(int.from_bytes(bytes(parts)), 1 << 16, 1 << 16, key + ":ip")
+        return ".".join(map(str, v.to_bytes(4)))
+    if re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", value):
+        try:
+            day = date.fromisoformat(value).toordinal() - 1
+        except ValueError:
+            return value
+        first, low, high = max(x for x in pii.DAYS if x[0] <= day)
+        return date.fromordinal(1 + first + feistel(day - first, low, high, f"{key}:date:{first}")).isoformat()
+    if re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", value):
+        area, group, serial = map(int, value.split("-"))
+        if area in (0, 666) or area >= 900 or not group or not serial:
+            return value
+        areas = [a for a in range(1, 900) if a != 666]
+        v = feistel((areas.index(area) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key + ":ssn")
+        return f"{areas[v // 9999 // 99]:03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
+    if luhn(digits) % 10:
+        return value
+    body = digits_feistel(digits[:-1], key + ":card")
+    return refilled(value, body + str(-luhn(body + "0") % 10))
+
+
+def test_pseudonyms_against_plain_python(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = ["3782-822463-10005 and 3782 822463 10005", "0001-01-01 1899-12-31 1900-01-01 2099-12-31 2100-01-01 9999-12-31 0000-05-05", "899-99-9999 667-01-0001 665-99-9999 001-01-0001"]
+    table = table.unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(more, 1)], "doc_id long, text string"))
+    found = 0
+    for r in pii.pseudonymise(table, "k").select("record", "text").collect():
+        text = r["record"]["text"]
+        assert r["text"] == (text and re.sub(pii.ANY, lambda m: plain_pseudonym(m[0], "k"), text))
+        found += text is not None and r["text"] != text
+    assert found > 10
+
+
+def test_shards_of_repeated_rows(spark):
+    """Rows that all repeat one key and text don't meet in one bucket."""
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x" * 92).alias("text"), "id")
+    scattered, counts = sharding.placed_in_buckets(same, 100, 4000, 1, "doc_id", "text")
+    assert counts.agg(F.max("n")).first()[0] < 400 and scattered.count() == 4000
+    got = sharding.shuffle_into_shards(same, new_folder(spark, "t"), 7, bucket_bytes=4000).select("record.id", "shard", "slot").collect()
+    assert sorted(r["id"] for r in got) == list(range(4000))
+    assert {(r["shard"], r["slot"]) for r in got} == {(s, k) for s in range(7) for k in range(572 if s < 3 else 571)}
+
+
+def test_sharded_query_against_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sharding.sharded_documents(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        body = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(body) + 8, zlib.crc32(body), "rows", None)
+    base, extra = divmod(len(texts), 24)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(24) for k in range(base + (s < extra))]
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    again = [r["doc_id"] for r in sorted(sharding.sharded_documents(spark, sf).collect(), key=lambda r: (r["shard"], r["slot"]))]
+    assert order == again != sorted(texts)
+
+
+def test_first_positions(spark):
+    counts = spark.createDataFrame([(b * 3, b % 5) for b in range(200)], "bucket long, n long")
+    got = {r["bucket"]: r["first"] for r in first_positions(counts, 16).collect()}
+    assert got == {b * 3: sum(x % 5 for x in range(b)) for b in range(200)}
+
+
+def test_joined_deals_hot_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
+    table = written(rows.groupBy("k").agg(F.count("*").alias("n")).where("k != 4999"), new_folder(spark, "t"), "t")
+    assert joined(rows, table, ["k"], "n").count() == 4999 and joined(rows, table, ["k"], "n", "left").where("n is null").count() == 1
+    assert sorted(r["id"] for r in joined(rows, table, ["k"], "n", spread=4).collect()) == list(range(4999))
+
+
 def test_shards(docs, none, spark):
     for n_shards, size in ((4, 1 << 20), (24, 20_000), (50, 50)):
         got = sharding.shuffle_into_shards(docs, new_folder(spark, "t"), n_shards, bucket_bytes=size)
@@ -312,6 +490,8 @@ def test_archives(spark):
         old = html == page and i != 9
         want.append((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if old else "response", 9 if old else None))
     assert got == sorted(want, key=str)
+    head = lambda url: warc.parse_record(warc.warc_record(1, url, "response", b"<p>", 3, "d", None))[0]
+    assert head("http://a/x%20y?q=%C3")["WARC-Target-URI"] == "http://a/x%20y?q=%C3" and head("a b\té")["WARC-Target-URI"] == "a%20b%09%C3%A9"
     one = warc.read_records(index.where("page_id = 7")).collect()
     assert [tuple(r) for r in one] == [w for w in want if w[0] == 7]
     assert warc.write_bundles(frame.where("false"), new_folder(spark, "t")).count() == 0
