@@ -3,16 +3,18 @@
 Documents come in batches of ascending ids. A run is a table of (line hash, first document), sorted
 by hash and bucketed, so that a batch's hashes merge with it without the run being shuffled. Each
 batch looks its lines up in all runs, and its own new hashes become a run of level 0; when a level
-has ``fanout`` runs they are merged into one of the next level.
+has ``fanout`` runs they are merged into one of the next level. A manifest beside the runs names
+them, so a later crawl goes on from there.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import new_folder, written
+from .shared import joined, new_folder, open_file, put_file, slices, written
 
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 HASH = ["h1", "h2"]
@@ -49,7 +51,7 @@ def _hasher(least: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             lines, starts = _split(batch["text"])
             kept, hashes = _line_hashes(lines, least)
             row = np.searchsorted(starts, kept, "right") - 1
@@ -68,7 +70,7 @@ def _rewriter(least: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             lines, starts = _split(batch["text"])
             n_lines = np.diff(starts)
             n_dropped = np.zeros(batch.num_rows, np.int64)
@@ -90,12 +92,30 @@ def _rewriter(least: int):
 
 
 class LineRuns:
-    """The levelled runs; ``add`` takes batches in the order of precedence of their documents."""
+    """The levelled runs below ``folder``; ``add`` takes batches in the order of precedence of their documents.
+
+    Runs that a manifest in ``folder`` names are opened again, with the number of buckets they were
+    written with. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, fanout: int = 2) -> None:
         self.spark, self.folder, self.fanout = spark, folder, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
+        try:
+            with open_file(f"{folder}/manifest.json") as f:
+                manifest = json.loads(f.read())
+        except FileNotFoundError:
+            manifest = {"buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "levels": []}
+        self.buckets, self.levels = manifest["buckets"], manifest["levels"]
+        for name in self._names():
+            columns = f"h1 bigint, h2 bigint, holder bigint) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS"
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns} LOCATION '{folder}/{name}'")
+
+    def _names(self) -> list[str]:
+        return [run for level in self.levels for run in level]
+
+    def save(self) -> None:
+        """Write the manifest: what was added up to here is there when the runs are opened again."""
+        put_file(f"{self.folder}/manifest.json", [json.dumps({"buckets": self.buckets, "levels": self.levels}).encode()])
 
     def _write(self, run: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -115,24 +135,25 @@ class LineRuns:
         for name in names:  # the tables are external: their files stay, for results still to be read
             self.spark.sql(f"DROP TABLE {name}")
 
-    def add(self, lines: DataFrame, name: str) -> DataFrame:
+    def add(self, lines: DataFrame) -> DataFrame:
         """(doc_id, h1, h2): the lines of the batch to drop. The batch's new lines become a run."""
         firsts = lines.groupBy(*HASH).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-        for i, run in enumerate(run for level in self.levels for run in level):
+        for i, run in enumerate(self._names()):
             older = self.spark.table(run).withColumnRenamed("holder", f"holder{i}")
             firsts = firsts.join(older, HASH, "left")
         n_runs = sum(map(len, self.levels))
         known = F.coalesce(*[F.col(f"holder{i}") for i in range(n_runs)], F.lit(None)).cast("long").alias("known")
-        looked = written(firsts.select(*HASH, "first", "n", known), self.folder, f"looked-{name}")
+        looked = written(firsts.select(*HASH, "first", "n", known), new_folder(self.spark, "lines-looked"), "looked")
         self._write(looked.where("known is null").select(*HASH, F.col("first").alias("holder")).repartition(self.buckets, *HASH), 0)
-        holders = looked.where("known is not null or n > 1").select(*HASH, F.coalesce("known", "first").alias("holder"))
-        return lines.join(holders, HASH).where("doc_id != holder").select("doc_id", *HASH)
+        holders = looked.where("known is not null or n > 1").select(*HASH, F.coalesce("known", "first").alias("holder"), "n")
+        return joined(lines, holders, HASH, "n").where("doc_id != holder").select("doc_id", *HASH)
 
     def close(self) -> None:
-        self._forget([run for level in self.levels for run in level])
+        """Forget the tables' names; their files and the manifest stay."""
+        self._forget(self._names())
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, key: str = "doc_id", text: str = "text", runs_folder: str | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) for each row of ``docs``, ``text`` without repeated lines.
 
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of
@@ -141,6 +162,9 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, ke
     than no other: its row drops lines that others have, and holds none. Rows that share an id are
     one document to others and each loses what the other rows' ids hold, nothing to each other. An
     empty table gives no rows. All batches together give what one would.
+
+    With ``runs_folder``, lines of earlier calls with that folder are dropped too, whatever the ids, and
+    the lines of this one are there for the next. Without, the runs serve this call alone.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "lines")
@@ -157,9 +181,11 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, ke
     path = f"{folder}/hashed"
     hashed.write.partitionBy("batch").parquet(path)
     hashed = spark.read.schema(hashed.schema).parquet(path)
-    runs, drops = LineRuns(spark, folder), []
+    runs, drops = LineRuns(spark, runs_folder or folder), []
     for i in range(len(cuts) + 1):
-        drops.append(written(runs.add(hashed.where(F.col("batch") == i).drop("batch"), str(i)), folder, f"drops-{i}"))
+        drops.append(written(runs.add(hashed.where(F.col("batch") == i).drop("batch")), folder, f"drops-{i}"))
+    if runs_folder:
+        runs.save()
     runs.close()
     every = drops[0]
     for more in drops[1:]:

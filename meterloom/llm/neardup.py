@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import joined, new_folder, small, written
+from .shared import joined, new_folder, slices, small, written
 
 BROADCAST_ROWS = 2_000_000
 #: Bands of difference sizes in a factor of e.
@@ -84,20 +84,6 @@ def shingle_sets(texts, size: int = 5):
     return out
 
 
-def _slices(batch, column: str, most: int = 8 << 20):
-    """Parts of a record batch with about ``most`` bytes of text each, one row at least."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        base = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _signer(banding: Banding, size: int):
     def sign(batches):
         import numpy as np
@@ -109,7 +95,7 @@ def _signer(banding: Banding, size: int):
         a = rng.integers(1, 1 << 63, n_hashes, dtype=np.uint64) | np.uint64(1)
         b = rng.integers(0, 1 << 63, n_hashes, dtype=np.uint64)
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in slices(whole, "text"):
                 sets = shingle_sets(batch["text"], size)
                 counts = np.array([len(x) for x in sets], np.int64)
                 digests = [xxhash.xxh3_128(x.tobytes()).digest() for x in sets]
@@ -152,7 +138,7 @@ def _setter(size: int):
         import pyarrow as pa
 
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in slices(whole, "text"):
                 sets = shingle_sets(batch["text"], size)
                 yield pa.RecordBatch.from_arrays(
                     [batch["node"], pa.array([x.view(np.int64).tolist() for x in sets], pa.list_(pa.int64()))],

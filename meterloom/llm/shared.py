@@ -110,6 +110,20 @@ def open_file(uri: str):
     return where.open_input_file(path)
 
 
+def slices(batch, column: str, most: int = 8 << 20):
+    """Parts of a record batch with about ``most`` bytes of text each, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        base = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def worker_state() -> types.ModuleType:
     """A module of the Python worker that outlives its tasks, for what is costly to build and safe to share."""
     return sys.modules.setdefault("meterloom_worker_state", types.ModuleType("meterloom_worker_state"))

@@ -271,7 +271,10 @@ def test_proximity(docs, spark):
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7x?q", "https://com/en/1", "http://x.net/de/1#f", "http://a.example.net/de/81", "http://notcom/en/", "x://y://z.org/es/", "http://b.org/es", "http://q.org?/es/", "http://deep.sub.b.org/es/x"]
     pages = spark.createDataFrame([(i, u, "r", "h") for i, u in enumerate(urls)], "page_id long, url string, record string, host string")
-    for judge in (urlfilter.filter_urls(pages), urlfilter.filter_by_join(pages, urlfilter.RULES)):
+    place = {"verdict": "block", "host": "com", "path": "/en/", "place": -1}
+    table = spark.createDataFrame([{**vars(r), "place": i} for i, r in enumerate(urlfilter.RULES)] + [place | {"verdict": "allow"}, place | {"host": None}])
+    sharded = dict(shipped_bytes=0, shard_bytes=40)
+    for judge in (urlfilter.filter_urls(pages), urlfilter.filter_urls(pages, table), urlfilter.filter_urls(pages, shard_bytes=40), urlfilter.filter_urls(pages, table, **sharded)):
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge.select("record.page_id", "host", "path", "rule", "verdict").collect()}
         assert got[0] == ("", "", None, "allow") and got[2] == ("", "", None, "allow")
         assert got[3] == ("a.example.com", "/en/7x", "example.com/en/7", "allow") and got[4][2:] == ("com/en/", "block")
@@ -281,13 +284,14 @@ def test_urls(spark):
     assert {r["verdict"] for r in urlfilter.filter_urls(pages, (), "block").collect()} == {"block"}
 
 
-def test_key_collision_decides_nothing(tmp_path, monkeypatch):
-    import xxhash
-
-    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda _: 7)
-    urlfilter.write_digests(urlfilter.RULES, str(tmp_path / "d"))
-    digests = urlfilter.DigestArray(str(tmp_path / "d"))
-    assert digests.match([b"x.org", b"x.org"], [b"/es/", b"/xx/"]) == [("block", "org/es/"), None]
+def test_key_collision_decides_nothing():
+    texts = [b"block\0org\0/es/", b"allow\0net\0/de/"]
+    data = b"".join(np.array(x, k).tobytes() for x, k in (([2], "<u8"), ([7, 7], "<i8"), (np.cumsum([len(t) for t in texts]), "<u8"))) + b"".join(texts)
+    rows = [("x.org", "/es/1", 3, 4), ("x.org", "/xx/1", 3, 4), ("net", "/de/", 3, 4), ("a.net", "/de", 3, 3)]
+    tries = [[{"n": h + p, "h": h, "p": p, "key": 7}] for _, _, h, p in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(tries)], names=["host", "path", "tries"])
+    found = urlfilter._best([(0, urlfilter.DigestArray(data))], batch, 1)
+    assert [f and (f["rule"], f["verdict"]) for f in found] == [("org/es/", "block"), None, ("net/de/", "allow"), None]
 
 
 def lines_left(records):
@@ -347,6 +351,17 @@ def test_pseudonyms(docs, none, spark):
     assert digits.distinct().count() == 1000
 
 
+def test_lines_of_an_earlier_crawl(spark):
+    """Runs are opened again: a later call drops what an earlier one has, with a smaller id or not."""
+    folder = new_folder(spark, "t")
+    crawls = [[(5, "a line of the first crawl\nanother of its lines"), (6, "a line of the first crawl")], [(1, "A line of the first crawl\nonly in the second"), (2, "only in the second")], [(3, "only in the second\nANOTHER of its lines\nnew at last")]]
+    left = []
+    for crawl in crawls:
+        out = linededup.drop_repeated_lines(spark.createDataFrame(crawl, "doc_id long, text string"), n_batches=2, runs_folder=folder)
+        left.append({r["doc_id"]: r["text"] for r in out.collect()})
+    assert left == [{5: crawls[0][0][1], 6: ""}, {1: "only in the second", 2: ""}, {3: "new at last"}]
+
+
 def feistel(value, low, high, key):
     a, b = divmod(value, high)
     for i in range(10):
