@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import threading
 import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _own: dict[str, str] = {}
+_made = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.__dict__.setdefault("paths", set()).add(path)
+    return path
+
+
+def own_folders() -> set[str]:
+    """The folders that this thread has named up to now and not removed."""
+    return set(_made.__dict__.get("paths", ()))
+
+
+def remove_folders(paths: set[str]) -> None:
+    """Delete folders of ``new_folder`` whose tables will not be read again, and what lies below them."""
+    from pyarrow import fs
+
+    for path in paths:
+        where, place = fs.FileSystem.from_uri(path)
+        if where.get_file_info(place).type == fs.FileType.Directory:
+            where.delete_dir(place)
+        _made.__dict__.get("paths", set()).discard(path)
 
 
 def written(frame: DataFrame, folder: str, name: str) -> DataFrame:

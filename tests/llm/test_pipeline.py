@@ -1,15 +1,18 @@
 """The stages of the pipeline, on rows with null ids, repeated ids and clashing columns."""
 
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterloom.llm import neardup
+from meterloom.llm import mixing, neardup, quality
 from meterloom.llm.shared import written
 
-from .test_operators import PROSE, SCHEMA, docs, none, near, rows, shingles  # noqa: F401
+from .test_operators import PROSE, SCHEMA, docs, none, near, rows, shingles, tokenizer  # noqa: F401
 
 
 def of(spark, pairs):
@@ -46,6 +49,52 @@ def test_near_duplicates_of_the_fixture(spark, docs, none):  # noqa: F811
     assert corpus_pipeline.keep_one_of_each(spark, none, "").count() == 0
 
 
+def test_run_against_a_plain_version(spark, tmp_path):
+    """run() on rows with nulls, ties, empty and long texts and clashing names; the fit's own numbers are tested elsewhere."""
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(300)]
+    prose = lambda n: " ".join(" ".join(rng.choice(vocabulary) for _ in range(12)).capitalize() + "." for _ in range(n))
+    texts = [prose(6) for _ in range(60)]
+    item = " ".join(rng.choice(vocabulary) for _ in range(20))
+    pairs = [(i, t) for i, t in enumerate(texts)] + [(100, texts[3]), (None, texts[4]), (None, texts[5] + " tail"), (101, None), (102, ""), (103, "too short"), (104, f"{prose(2)} {item} {prose(1)}")]
+    pairs += [(105, prose(400)), (106, prose(1) * 9), (107, texts[7]), (107, texts[7]), (108, f"# $ % {'& | ' * 40}")]
+    of(spark, pairs).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = {(r["id"], r["text"]) for r in quality.judge(docs).where("kept").selectExpr("record.doc_id as id", "record.text as text").collect()}
+    assert not kept & {(101, None), (102, ""), (103, "too short"), pairs[-1]} and not any(i == 106 for i, _ in kept)
+    assert {(i, t) for i, t in enumerate(texts)} <= kept
+    ranked = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0))
+    chosen = []
+    for i, t in ranked:  # in this fixture every group of near copies has the first for its centre
+        x = shingles(t, 5)
+        if not any(100 * len(x & y) >= 80 * len(x | y) for y in (shingles(u, 5) for _, u in chosen)):
+            chosen.append((i, t))
+    left = {(i, t) for i, t in chosen if i != 104}
+    mixed = Counter((r["doc_id"], r["text"]) for r in mixing.mix_sources(spark.createDataFrame([(i, t, "a" if i is not None and i % 3 == 0 else "b") for i, t in left], "doc_id long, text string, source string")).select("record.*").collect())
+    path, plain = tokenizer()
+    want = Counter()
+    for (i, t), n in mixed.items():
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want[i, len(ids), zlib.crc32(ids.tobytes())] += n
+    rows = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == want
+    starts = np.cumsum([0, *(r["n_tokens"] for r in rows)])
+    assert [r["start"] for r in rows] == starts[:-1].tolist()
+    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+    assert ids != sorted(ids)  # mixing's order is the files'
+
+
+def test_stages_of_nothing_and_of_clashing_names(spark, none, docs, tmp_path):  # noqa: F811
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = docs.withColumns({c: F.lit(1) for c in ("n_hit", "doc", "own", "gone", "gone_id", "quality", "votes", "kept", "node", "cluster", "position", "mix_source", "bucket", "id", "hashed")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+        got = stage(spark, odd, str(tmp_path))
+        assert name == "token ids" or got.columns == odd.columns
+        got.collect()
+
+
 def template(n, changed, words=200, seed=1):
     """Pages of one template, each with some words of its own."""
     rng, pages = random.Random(seed), []
