@@ -140,8 +140,9 @@ def _setter(size: int):
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(batch["text"], size)
+                ends, flat = np.cumsum([0, *map(len, sets)]), np.concatenate(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["node"], pa.array([x.view(np.int64).tolist() for x in sets], pa.list_(pa.int64()))],
+                    [batch["node"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))],
                     names=["node", "shingles"],
                 )
 
@@ -188,7 +189,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     while True:
         turn += 1
         ways = both(edges)
-        least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the rows of a hub are dealt to several tasks when they meet its minimum
+        least = written(ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), folder, f"least-{turn}")
         large = ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # large: a > b now, in every row
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -130,7 +130,7 @@ def open_file(uri: str):
     return where.open_input_file(path)
 
 
-def slices(batch, column: str, most: int = 8 << 20):
+def slices(batch, column: str, most: int = 4 << 20):
     """Parts of a record batch with about ``most`` bytes of text each, one row at least."""
     import numpy as np
     import pyarrow.compute as pc
