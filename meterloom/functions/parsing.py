@@ -19,26 +19,20 @@ def whole_number(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
 
 
-def text_attribute(attributes: Column, key: str) -> Column:
-    return first_attribute(attributes, key)["stringValue"]
-
-
-def int_attribute(attributes: Column, key: str) -> Column:
-    """An integer given as number, as string or as a double, which is cut."""
-    value = first_attribute(attributes, key)
+def int_value(value: Column) -> Column:
+    """An integer given as number, as string or as a double, which is cut, from an attribute's value."""
     return F.coalesce(
         whole_number(value["intValue"]), whole_number(value["stringValue"]), value["doubleValue"].try_cast("double").try_cast("bigint")
     )
 
 
-def double_attribute(attributes: Column, key: str) -> Column:
-    value = first_attribute(attributes, key)
+def double_value(value: Column) -> Column:
     return F.coalesce(value["doubleValue"].try_cast("double"), value["stringValue"].try_cast("double"), whole_number(value["intValue"]).cast("double"))
 
 
-def event_name(attributes: Column, body_text: Column) -> Column:
-    """The event's name without one leading ``EVENT_PREFIX``."""
-    name = F.coalesce(text_attribute(attributes, "event.name"), body_text)
+def event_name(name: Column, body_text: Column) -> Column:
+    """The event's name, else the body's text, without one leading ``EVENT_PREFIX``."""
+    name = F.coalesce(name, body_text)
     return F.when(name.startswith(EVENT_PREFIX), F.substring(name, len(EVENT_PREFIX) + 1, 1 << 20)).otherwise(name)
 
 

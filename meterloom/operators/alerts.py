@@ -13,11 +13,12 @@ from ..functions.calendar import is_quiet, local_date, month_key
 from .measures import money
 
 MINUTE_MS = 60_000
+DEFAULT_STEP = 50.0
 
 
 @dataclass(frozen=True)
 class BurstRule:
-    """Values that are not positive fall back to these defaults."""
+    """``checked`` puts these defaults where a value is not positive."""
 
     threshold: float = 10.0
     window_minutes: int = 10
@@ -28,6 +29,11 @@ class BurstRule:
         return cls(*[v if v > 0 else d for v, d in zip((threshold, window_minutes, cooldown_minutes), (10.0, 10, 15), strict=True)])
 
 
+def checked_step(step: float) -> float:
+    """The step of the month's spend, DEFAULT_STEP where it is not positive."""
+    return step if step > 0 else DEFAULT_STEP
+
+
 def rolling_spend(requests: DataFrame, minutes: int, key: str = "model") -> DataFrame:
     """Spend by key of the ``minutes`` before each minute with spend: [minute + 1 - minutes, minute + 1).
 
@@ -43,16 +49,20 @@ def burst_alerts(requests: DataFrame, rule: BurstRule = BurstRule(), key: str =
     """(key, minute, spend) of the alerts: rolling spend at the threshold, outside the cooldown and quiet hours.
 
     Quiet crossings fire nothing and leave the cooldown as it is. The cooldown chains from alert to
-    alert, so the minutes with crossings of a key are folded in order: those, not its requests, are
-    what one row holds.
+    alert, but not over a stretch as long as itself without a crossing: stretches between those are
+    folded each in order, so one row holds the minutes of one stretch.
     """
+    order = Window.partitionBy(key).orderBy("minute")
+    apart = F.coalesce(F.col("minute") - F.lag("minute").over(order) >= rule.cooldown_minutes, F.lit(True))
     crossed = (
         rolling_spend(requests, rule.window_minutes, key)
         .where(F.col("spend") >= rule.threshold)
         .withColumn("quiet", is_quiet(F.col("minute") * MINUTE_MS, F.lit(quiet[0]), F.lit(quiet[1]), zone))
         .where("not quiet")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("minute", "spend"))).alias("crossings"))  # minutes of a key, not its rows
+        .withColumn("apart", apart)
+        .withColumn("stretch", F.count_if("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(key, "stretch")
+        .agg(F.array_sort(F.collect_list(F.struct("minute", "spend"))).alias("crossings"))  # minutes of a stretch, not rows
     )
     fired = F.aggregate(
         "crossings",

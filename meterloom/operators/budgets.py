@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.calendar import minutes_between
 from .measures import money
 
 GREEN, YELLOW, AMBER, RED = range(4)
@@ -23,18 +24,30 @@ def band_name(ordinal: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, BANDS)), ordinal + 1)
 
 
+def checked_budgets(budgets: DataFrame) -> DataFrame:
+    """Amounts of enabled budgets are a dollar at least."""
+    return budgets.withColumn("amount", F.when(F.col("enabled"), F.greatest("amount", F.lit(1.0))).otherwise(F.col("amount")))
+
+
 def budget_status(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """The state of each enabled budget (name, start, end, amount, enabled), over requests of any source.
 
-    Costs are summed by hour before they meet the budgets, whose windows begin and end on hours.
+    Windows are [start, end) and may begin and end at any millisecond. Costs are summed by hour before
+    they meet the budgets; of the two hours at most that a window cuts, its own rows are taken.
     """
-    hour = F.floor(F.col("timestamp_ms") / 3_600_000)
-    hourly = requests.groupBy(hour.alias("hour")).agg(
-        F.sum("cost_usd").alias("cost"), F.count_if((F.col("event_type") == "api_request") & F.col("cost_usd").isNull()).alias("unpriced")
-    )
-    hours = F.explode(F.sequence(F.floor(F.col("start") / 3_600_000), F.floor((F.col("end") - 1) / 3_600_000)))
-    wanted = budgets.where("enabled").select("name", "amount", hours.alias("hour"))
-    spent = wanted.join(hourly, "hour", "left").groupBy("name", "amount").agg(
+    hour_ms = 3_600_000
+    hour = F.floor(F.col("timestamp_ms") / hour_ms)
+    sums = [F.sum("cost_usd").alias("cost"), F.count_if((F.col("event_type") == "api_request") & F.col("cost_usd").isNull()).alias("unpriced")]
+    budget = ["name", "amount", "start", "end"]
+    wanted = budgets.where("enabled").select(*budget).distinct()
+    first, last = F.ceil(F.col("start") / hour_ms), F.floor(F.col("end") / hour_ms) - 1
+    whole = wanted.where(first <= last).select(*budget, F.explode(F.sequence(first, last)).alias("hour"))
+    hourly = requests.groupBy(hour.alias("hour")).agg(*sums)
+    cut = lambda edge: F.when(F.col(edge) % hour_ms != 0, F.floor(F.col(edge) / hour_ms))
+    cuts = wanted.select(*budget, F.explode(F.array_distinct(F.array(cut("start"), cut("end")))).alias("hour")).where("hour is not null")
+    own = requests.withColumn("hour", hour).join(cuts, "hour").where((F.col("timestamp_ms") >= F.col("start")) & (F.col("timestamp_ms") < F.col("end")))
+    parts = whole.join(hourly, "hour").select(*budget, "cost", "unpriced").unionByName(own.groupBy(*budget).agg(*sums))
+    spent = wanted.join(parts, budget, "left").groupBy(*budget).agg(
         money(F.coalesce(F.sum("cost"), F.lit(0.0))).alias("spent"), F.coalesce(F.sum("unpriced"), F.lit(0)).alias("unpriced")
     )
     percent = budget_percent(F.col("spent"), F.col("amount"))
@@ -56,6 +69,16 @@ def quota_status(windows: DataFrame, near: float = 75.0) -> DataFrame:
     )
 
 
+def with_reset_times(windows: DataFrame, now_ms: Column) -> DataFrame:
+    """Add ``minutes_left`` to each window's reset, null once that is past or where there is none."""
+    return windows.withColumn("minutes_left", F.when(F.col("resets_at_ms") > now_ms, minutes_between(now_ms, F.col("resets_at_ms"))))
+
+
+def usage_band(percent: Column) -> Column:
+    """ok below 75, warning up to 90, danger above, unknown without a percentage."""
+    return F.when(percent > 90, "danger").when(percent >= 75, "warning").when(percent.isNotNull(), "ok").otherwise("unknown")
+
+
 def latest_snapshot(windows: DataFrame) -> DataFrame:
     """The windows of the last snapshot."""
     last = windows.agg(F.max("fetched_ms").alias("fetched_ms"))

@@ -57,6 +57,32 @@ def pass_summary(actions: DataFrame) -> DataFrame:
     )
 
 
+def backfill_summary(
+    files: DataFrame, actions: DataFrame, sessions: tuple[DataFrame, DataFrame], messages: tuple[DataFrame, DataFrame]
+) -> DataFrame:
+    """One row on a pass: files and lines read, what happened to its requests, and what it changed in sessions and messages.
+
+    ``files`` has a row (file) for each line read, ``actions`` is of ``reconcile_actions``; sessions and
+    messages are given as they were before and are after the pass. A session is healed where its
+    folder was missing.
+    """
+    read = files.agg(F.countDistinct("file").alias("files"), F.count("*").alias("lines"))
+    done = actions.where(F.col("source") == BACKFILL).agg(
+        F.count("*").alias("requests_seen"),
+        F.count_if(F.col("action") == "inserted").alias("requests_inserted"),
+        F.count_if(F.col("action") != "inserted").alias("requests_deduped"),
+        F.count_if(F.col("action") == "filled").alias("splits_filled"),
+        F.count_if((F.col("action") == "inserted") & F.col("cost_usd").isNull()).alias("unpriced_inserted"),
+    )
+    old, new = (x.select("session_id", F.col("cwd").alias(name), F.lit(True).alias(f"has_{name}")) for x, name in zip(sessions, ("old", "new"), strict=True))
+    changed = new.join(old, "session_id", "left").agg(
+        F.count_if(F.col("has_old").isNull()).alias("sessions_created"),
+        F.count_if(F.col("has_old") & F.col("old").isNull() & F.col("new").isNotNull()).alias("sessions_healed"),
+    )
+    added = messages[1].select("uuid").join(messages[0].select("uuid"), "uuid", "left_anti").agg(F.count("*").alias("messages_inserted"))
+    return read.crossJoin(done).crossJoin(changed).crossJoin(added)  # of one row each
+
+
 def sessions_from_hooks(sightings: DataFrame) -> DataFrame:
     """(session_id, cwd, seen_ms) folded by time: the last folder that was named, first and last sight."""
     return sightings.groupBy("session_id").agg(

@@ -33,24 +33,19 @@ def project_rollups(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     return grouped.withColumn("cost_usd", money(F.col("cost_usd"))).orderBy(F.desc("cost_usd"), F.asc_nulls_first("cwd"))
 
 
+def _by_session(requests: DataFrame) -> DataFrame:
+    grouped = requests.where("session_id is not null").groupBy("session_id").agg(
+        F.min("timestamp_ms").alias("first_ms"),
+        F.max("timestamp_ms").alias("last_ms"),
+        *measures(),
+        F.array_sort(F.collect_set("model")).alias("models"),
+    )
+    return grouped.withColumn("cost_usd", money(F.col("cost_usd"))).withColumn("total_tokens", total_tokens()).withColumn("duration_ms", F.col("last_ms") - F.col("first_ms"))
+
+
 def session_rollups(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Measures, span, models and folder of each session; rows without a session are left out."""
-    grouped = (
-        requests.where("session_id is not null")
-        .groupBy("session_id")
-        .agg(
-            F.min("timestamp_ms").alias("first_ms"),
-            F.max("timestamp_ms").alias("last_ms"),
-            *measures(),
-            F.array_sort(F.collect_set("model")).alias("models"),
-        )
-    )
-    return (
-        grouped.join(sessions.select("session_id", "cwd"), "session_id", "left")
-        .withColumn("cost_usd", money(F.col("cost_usd")))
-        .withColumn("total_tokens", total_tokens())
-        .withColumn("duration_ms", F.col("last_ms") - F.col("first_ms"))
-    )
+    return _by_session(requests).join(sessions.select("session_id", "cwd"), "session_id", "left")
 
 
 SESSION_ORDERS = {"cost": "cost_usd", "tokens": "total_tokens", "duration": "duration_ms", "start": "first_ms"}
@@ -67,6 +62,12 @@ def page(ordered: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0) -> Data
     return ordered.offset(max(offset, 0)).limit(min(max(limit, 1), MOST_PAGE))
 
 
+def session_page(requests: DataFrame, sessions: DataFrame, by: str = "cost", descending: bool = True, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
+    """A page of ``sorted_sessions(session_rollups(...))``: only the page's rows meet the session table."""
+    ranked = page(sorted_sessions(_by_session(requests), by, descending), limit, offset)
+    return sorted_sessions(ranked.join(sessions.select("session_id", "cwd"), "session_id", "left"), by, descending)
+
+
 def session_models(requests: DataFrame, session_id: str) -> DataFrame:
     """The models of one session, the null model included; dearest first."""
     mix = requests.where(F.col("session_id") == session_id).groupBy("model").agg(*measures())
@@ -90,21 +91,29 @@ def session_folder(sessions: DataFrame, session_id: str) -> DataFrame:
     return sessions.where(F.col("session_id") == session_id).select("session_id", "cwd")
 
 
-def _spanned(requests: DataFrame, zone: str, start: int | None, end: int | None, most: int) -> DataFrame:
-    """(day): the days of the series: from the window, or from the oldest to the newest row."""
-    bounds = requests.agg(F.min("timestamp_ms").alias("lo"), F.max("timestamp_ms").alias("hi"))
-    first = local_date(F.lit(start).cast("bigint") if start is not None else F.col("lo"), zone)
-    last = local_date(F.lit(end - 1).cast("bigint") if end is not None else F.col("hi"), zone)
-    spine = bounds.where("lo is not null").select(first.alias("first"), last.alias("last"))
-    return spine.select(F.explode(F.sequence(F.greatest("first", F.date_sub("last", most - 1)), F.col("last"))).alias("day"))
+def usage_series(requests: DataFrame, zone: str = "UTC", start: int | None = None, end: int | None = None, most: int | None = MOST_SERIES_DAYS) -> DataFrame:
+    """Measures of each local day, days without rows included; the last ``most`` days (1830) if not None.
 
-
-def usage_series(requests: DataFrame, zone: str = "UTC", start: int | None = None, end: int | None = None) -> DataFrame:
-    """Measures of each local day, days without rows included; the last 1830 days at most."""
+    The series runs over the window, or from the oldest to the newest row. Rows are read once: each day
+    that has some fills the days up to the next one.
+    """
     days = requests.groupBy(local_date("timestamp_ms", zone).alias("day")).agg(*measures())
-    filled = _spanned(requests, zone, start, end, MOST_SERIES_DAYS).join(days, "day", "left")
+    first = local_date(F.lit(start).cast("bigint"), zone) if start is not None else None
+    last = local_date(F.lit(end - 1).cast("bigint"), zone) if end is not None else None
+    order = Window.orderBy("day")  # a row for each day
+    newest = F.max("day").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    begin = F.when(F.lag("day").over(order).isNull(), F.least("day", first)).otherwise(F.col("day")) if first is not None else F.col("day")
+    until = F.coalesce(F.date_sub(F.lead("day").over(order), 1), F.greatest("day", last) if last is not None else F.col("day"))
+    marked = days.select("*", begin.alias("begin"), until.alias("until"), (newest if last is None else last).alias("last"))
     whole = [c for c in days.columns if c not in ("day", *SPLIT)]
-    return filled.select("day", *[F.coalesce(c, F.lit(0)).alias(c) for c in whole], *SPLIT).withColumn("cost_usd", money(F.col("cost_usd"))).orderBy("day")
+    own = F.col("at") == F.col("day")
+    filled = marked.select("*", F.explode(F.sequence("begin", "until")).alias("at")).where(F.col("at") <= F.col("last"))
+    if first is not None:
+        filled = filled.where(F.col("at") >= first)
+    if most is not None:
+        filled = filled.where(F.col("at") > F.date_sub("last", most))
+    columns = [F.when(own, F.col(c)).otherwise(F.lit(0)).alias(c) for c in whole] + [F.when(own, F.col(c)).alias(c) for c in SPLIT]
+    return filled.select(F.col("at").alias("day"), *columns).withColumn("cost_usd", money(F.col("cost_usd"))).orderBy("day")
 
 
 def usage_series_by_model(requests: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -221,7 +230,7 @@ def reconcile_check(requests: DataFrame, sessions: DataFrame, zone: str = "UTC")
     shared = ["requests", "errors", *TOKENS]
     views = [
         sums(usage_summary(requests), "summary"),
-        sums(usage_series(requests, zone), "series"),
+        sums(usage_series(requests, zone, most=None), "series"),
         sums(usage_series_by_model(requests, zone), "by model"),
         sums(usage_series_by_project(requests, sessions, zone), "by project"),
         sums(session_rollups(requests, sessions).select(*shared).unionByName(sessionless.select(*shared)), "sessions"),

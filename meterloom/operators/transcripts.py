@@ -25,7 +25,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     session, time or usage).
     """
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False))
-    parsed = lines.withColumn("is_object", is_object).withColumn("doc", F.from_json("line", ENVELOPE)).withColumn("ts_ms", rfc3339_ms(F.col("doc.timestamp")))
+    # Generators, so that what follows does not parse a line anew for each field it reads.
+    read = F.struct(is_object.alias("is_object"), F.from_json("line", ENVELOPE).alias("doc"))
+    once = lines.select("*", F.explode(F.array(read)).alias("read")).select(*lines.columns, "read.is_object", "read.doc")
+    parsed = once.select("*", F.explode(F.array(rfc3339_ms(F.col("doc.timestamp")))).alias("ts_ms"))
     kind = F.col("doc.type")
     complete = F.col("doc.sessionId").isNotNull() & F.col("ts_ms").isNotNull() & F.col("doc.message.usage").isNotNull()
     status = (

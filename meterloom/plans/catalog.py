@@ -134,7 +134,7 @@ def _(spark, d):
 
 @query("session_page_by_cost", f"{RS}, {SESSION_SQL} SELECT session_id, cost_usd FROM rollup_rows ORDER BY cost_usd DESC, session_id LIMIT 50 OFFSET 10")
 def _(spark, d):
-    return rollups.page(rollups.sorted_sessions(_session_rollups(spark, d)), 50, 10).select("session_id", "cost_usd")
+    return rollups.session_page(requests(spark, d), sessions(spark, d), limit=50, offset=10).select("session_id", "cost_usd")
 
 
 @query("session_page_by_start", f"{RS}, {SESSION_SQL} SELECT session_id, first_ms FROM rollup_rows ORDER BY first_ms, session_id LIMIT 200")
@@ -144,7 +144,12 @@ def _(spark, d):
 
 @query("session_page_by_tokens", f"{RS}, {SESSION_SQL} SELECT session_id, total_tokens FROM rollup_rows ORDER BY total_tokens DESC, session_id LIMIT 200")
 def _(spark, d):
-    return rollups.page(rollups.sorted_sessions(_session_rollups(spark, d), "tokens")).select("session_id", "total_tokens")
+    return rollups.session_page(requests(spark, d), sessions(spark, d), "tokens").select("session_id", "total_tokens")
+
+
+@query("session_page_by_duration", f"{RS}, {SESSION_SQL} SELECT session_id, duration_ms, cwd FROM rollup_rows ORDER BY duration_ms DESC, session_id LIMIT 100")
+def _(spark, d):
+    return rollups.session_page(requests(spark, d), sessions(spark, d), "duration", limit=100).select("session_id", "duration_ms", "cwd")
 
 
 @query("line_session_rollups", cents_sql(f"WITH {ORDER_REQUESTS_SQL}, {SESSION_SQL}", "SELECT * REPLACE (coalesce(models, '') AS models) FROM rollup_rows"))
@@ -285,7 +290,16 @@ def _(spark, d):
 
 @query(
     "reconcile_check",
-    f"{RS} SELECT CAST(6 AS BIGINT) AS views, true AS requests_agree, true AS errors_agree, true AS tokens_agree, count(*) FILTER (event_type = 'api_request') AS requests, count(*) FILTER (event_type = 'api_error') AS errors, CAST(sum({TOKEN_SUM}) AS BIGINT) AS tokens FROM requests",
+    f"""{RS}, f AS (SELECT *, event_type = 'api_request' AS q, event_type = 'api_error' AS x, {TOKEN_SUM} AS t FROM requests),
+v AS (
+  SELECT count(*) FILTER (q) AS r, count(*) FILTER (x) AS e, sum(t) AS t FROM f
+  UNION ALL SELECT sum(r), sum(e), sum(t) FROM (SELECT {DAY} AS day, count(*) FILTER (q) AS r, count(*) FILTER (x) AS e, sum(t) AS t FROM f GROUP BY 1)
+  UNION ALL SELECT sum(r), sum(e), sum(t) FROM (SELECT {DAY} AS day, model, count(*) FILTER (q) AS r, count(*) FILTER (x) AS e, sum(t) AS t FROM f GROUP BY 1, 2)
+  UNION ALL SELECT sum(r), sum(e), sum(t) FROM (SELECT {DAY} AS day, cwd, count(*) FILTER (q) AS r, count(*) FILTER (x) AS e, sum(t) AS t FROM f LEFT JOIN (SELECT session_id, cwd FROM sessions) USING (session_id) GROUP BY 1, 2)
+  UNION ALL SELECT sum(r), sum(e), sum(t) FROM (SELECT session_id, count(*) FILTER (q) AS r, count(*) FILTER (x) AS e, sum(t) AS t FROM f GROUP BY 1)
+  UNION ALL SELECT sum(r), sum(e), sum(t) FROM (SELECT cwd, count(*) FILTER (q) AS r, count(*) FILTER (x) AS e, sum(t) AS t FROM f LEFT JOIN (SELECT session_id, cwd FROM sessions) USING (session_id) GROUP BY 1)
+)
+SELECT count(*) AS views, min(r) = max(r) AS requests_agree, min(e) = max(e) AS errors_agree, min(t) = max(t) AS tokens_agree, CAST(max(r) AS BIGINT) AS requests, CAST(max(e) AS BIGINT) AS errors, CAST(max(t) AS BIGINT) AS tokens FROM v""",
 )
 def _(spark, d):
     return rollups.reconcile_check(requests(spark, d), sessions(spark, d))
@@ -332,11 +346,17 @@ def _(spark, d):
     return pricing.price_requests(requests(spark, d), _price_list(spark)).select("request_id", F.round("cost_usd", 9).alias("cost_usd"))
 
 
-@query("layered_prices", "SELECT * FROM (VALUES ('m-click', 0.5::DOUBLE), ('m-view-20240101', 3e-6::DOUBLE), ('m-view-20231001', 2e-6::DOUBLE)) t(model, input_rate) WHERE (SELECT count(*) FROM events) > 0")
+@query(
+    "layered_prices",
+    """WITH base AS (SELECT p_brand || '/' || p_size AS model, min(p_retailprice) AS input_rate FROM part GROUP BY 1),
+newer AS (SELECT p_brand || '/' || p_size AS model, max(p_retailprice) AS input_rate FROM part WHERE p_type = 'ECONOMY' GROUP BY 1)
+SELECT model, coalesce(n.input_rate, b.input_rate) AS input_rate FROM base b FULL JOIN newer n USING (model)""",
+)
 def _(spark, d):
-    seen = requests(spark, d).where("model = 'm-click'").select("model").distinct()
-    newer = seen.select("model", *[F.lit(0.5).alias(r) for r in pricing.RATES])
-    return pricing.layer_prices(_price_list(spark), newer).select("model", "input_rate")
+    """The lowest price of each brand and size, and above it the highest of one type."""
+    part = spark.read.parquet(f"{d}/part.parquet").withColumn("model", F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")))
+    layer = lambda rows, rate: rows.groupBy("model").agg(*[rate("p_retailprice").alias(r) for r in pricing.RATES])
+    return pricing.layer_prices(layer(part, F.min), layer(part.where("p_type = 'ECONOMY'"), F.max)).select("model", "input_rate")
 
 
 @query("first_per_request", f"WITH {ARRIVALS_SQL} SELECT request_id, source, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY timestamp_ms, source) AS k FROM arrivals) WHERE k = 1")
@@ -385,6 +405,43 @@ def _(spark, d):
     return reconcile.sessions_from_hooks(starts)
 
 
+FOLDERS_SQL = f"""{RS}, f AS (SELECT session_id, CASE WHEN CAST(substr(request_id, 5) AS BIGINT) % 3 > 0 THEN '/work/' || model END AS cwd, CAST(substr(request_id, 5) AS BIGINT) AS pos FROM requests WHERE source = 'backfill'),
+b AS (SELECT session_id, min(timestamp_ms) AS lo, max(timestamp_ms) AS hi FROM requests WHERE session_id IS NOT NULL AND source = 'backfill' GROUP BY 1),
+c AS (SELECT session_id, arg_min(cwd, pos) AS cwd FROM f WHERE cwd IS NOT NULL GROUP BY 1)"""
+
+
+def _folders(spark, d):
+    """Two transcript lines in three name a folder; ``pos`` is their place in the file."""
+    n = F.substring("request_id", 5, 20).cast("bigint")
+    return requests(spark, d).where("source = 'backfill'").select("session_id", F.when(n % 3 > 0, F.concat(F.lit("/work/"), "model")).alias("cwd"), n.alias("pos"))
+
+
+@query("session_spans", f"{FOLDERS_SQL} SELECT session_id, cwd, lo AS first_seen_ms, hi AS last_seen_ms, 'backfill' AS source FROM b LEFT JOIN c USING (session_id)")
+def _(spark, d):
+    return reconcile.sessions_from_requests(requests(spark, d).where("source = 'backfill'"), _folders(spark, d))
+
+
+@query(
+    "backfill_summary",
+    f"""{FOLDERS_SQL}, ARR, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY arrival, source) AS k, min(arrival) FILTER (source = 'otel') OVER (PARTITION BY request_id) AS lf FROM arrivals),
+a AS (SELECT *, CASE WHEN request_id IS NULL OR k = 1 THEN 'i' WHEN source = 'otel' AND arrival = lf THEN 't' WHEN source = 'backfill' AND cache_creation_5m_tokens IS NOT NULL THEN 'f' ELSE 'u' END AS act FROM r),
+after AS (SELECT coalesce(s.session_id, b.session_id) AS session_id, coalesce(s.cwd, c.cwd) AS cwd FROM sessions s FULL JOIN (b LEFT JOIN c USING (session_id)) ON s.session_id = b.session_id), {MESSAGES_SQL}
+SELECT (SELECT count(DISTINCT session_id) FROM f) AS files, (SELECT count(*) FROM f) AS lines,
+  (SELECT count(*) FROM a WHERE source = 'backfill') AS requests_seen, (SELECT count(*) FROM a WHERE source = 'backfill' AND act = 'i') AS requests_inserted,
+  (SELECT count(*) FROM a WHERE source = 'backfill' AND act <> 'i') AS requests_deduped, (SELECT count(*) FROM a WHERE source = 'backfill' AND act = 'f') AS splits_filled,
+  (SELECT count(*) FROM a WHERE source = 'backfill' AND act = 'i' AND cost_usd IS NULL) AS unpriced_inserted,
+  (SELECT count(*) FROM after WHERE session_id NOT IN (SELECT session_id FROM sessions)) AS sessions_created,
+  (SELECT count(*) FROM after JOIN sessions s USING (session_id) WHERE s.cwd IS NULL AND after.cwd IS NOT NULL) AS sessions_healed,
+  (SELECT count(*) FROM messages WHERE role <> 'user') AS messages_inserted""".replace("ARR", ARRIVALS_SQL.removeprefix(REQUESTS_SQL).lstrip(",\n ")),
+)
+def _(spark, d):
+    """A pass over all arrivals: the hooks' sessions and the users' messages were there before."""
+    before, m = sessions(spark, d), messages(spark, d)
+    backfilled = reconcile.sessions_from_requests(requests(spark, d).where("source = 'backfill'"), _folders(spark, d))
+    files = _folders(spark, d).select(F.col("session_id").alias("file"))
+    return reconcile.backfill_summary(files, reconcile.reconcile_actions(arrivals(spark, d)), (before, reconcile.merge_sessions(before, backfilled)), (m.where("role = 'user'"), m))
+
+
 @query(
     "merged_sessions",
     f"""{RS}, b AS (SELECT session_id, min(timestamp_ms) AS lo, max(timestamp_ms) AS hi FROM requests WHERE session_id IS NOT NULL AND source = 'backfill' GROUP BY 1)
@@ -420,14 +477,14 @@ def _(spark, d):
 
 @query(
     "fuzzy_matches",
-    f"""{RS}, late AS (SELECT * REPLACE ('late_' || request_id AS request_id, timestamp_ms + CAST(substr(request_id, 5) AS BIGINT) % 3000 AS timestamp_ms) FROM requests WHERE CAST(substr(request_id, 5) AS BIGINT) % 10 = 0)
+    f"""{RS}, late AS (SELECT * REPLACE ('late_' || request_id AS request_id, timestamp_ms + CAST(substr(request_id, 5) AS BIGINT) % 3000 AS timestamp_ms) FROM requests)
 SELECT a.request_id AS left_id, b.request_id AS right_id, b.timestamp_ms - a.timestamp_ms AS apart_ms FROM requests a JOIN late b
 ON a.session_id = b.session_id AND a.model = b.model AND a.input_tokens = b.input_tokens AND a.output_tokens = b.output_tokens AND abs(a.timestamp_ms - b.timestamp_ms) <= 2000 AND a.request_id <> b.request_id""",
 )
 def _(spark, d):
     r = requests(spark, d)
     n = F.substring("request_id", 5, 20).cast("bigint")
-    late = r.where(n % 10 == 0).withColumn("timestamp_ms", F.col("timestamp_ms") + n % 3000).withColumn("request_id", F.concat(F.lit("late_"), "request_id"))
+    late = r.withColumn("timestamp_ms", F.col("timestamp_ms") + n % 3000).withColumn("request_id", F.concat(F.lit("late_"), "request_id"))
     return reconcile.fuzzy_matches(r, late)
 
 
@@ -484,7 +541,7 @@ def _transcript_lines(spark, d):
         )
     )
     cut = F.when(F.col("n") % 89 == 0, F.substring(line, 1, 40)).otherwise(line)
-    return r.select("*", chunk).select(F.coalesce("session_id", F.lit("none")).alias("file"), (F.col("n") * 2 + F.col("chunk")).alias("pos"), cut.alias("line"))
+    return r.select("*", chunk).select(F.coalesce("session_id", F.lit("none")).alias("file"), (F.col("n") * 2 + F.col("chunk")).alias("pos"), F.explode(F.array(cut)).alias("line"))
 
 
 @query(
@@ -514,7 +571,7 @@ def _(spark, d):
 
 
 def _otlp_bodies(spark, d):
-    """The requests as export bodies of an hour each, numbers written in turn as numbers and as strings."""
+    """The requests as export bodies of an hour and 2,000 rows at most each, numbers written in turn as numbers and as strings."""
     r = requests(spark, d).withColumn("n", F.substring("request_id", 5, 20).cast("bigint"))
     text = lambda k, v: F.struct(F.lit(k).alias("key"), F.to_json(F.struct(v.cast("string").alias("stringValue"))).alias("value"))
     whole = lambda k, v: F.struct(F.lit(k).alias("key"), F.when(F.col("n") % 2 == 0, F.to_json(F.struct(v.alias("intValue")))).otherwise(F.to_json(F.struct(v.cast("string").alias("intValue")))).alias("value"))
@@ -531,7 +588,7 @@ def _otlp_bodies(spark, d):
     time = F.when(F.col("n") % 5 == 0, F.lit('"observedTimeUnixNano":"')).otherwise(F.lit('"timeUnixNano":"'))
     name = F.when(F.col("n") % 41 == 0, F.lit("user_prompt")).otherwise(F.col("event_type"))
     record = F.concat(F.lit("{"), time, (F.col("timestamp_ms") * 1_000_000 + 999_999).cast("string"), F.lit('","body":{"stringValue":"claude_code.'), name, F.lit('"},"attributes":['), joined, F.lit("]}"))
-    hours = r.select(record.alias("record"), F.expr("timestamp_ms div 3600000").alias("hour")).groupBy("hour").agg(F.array_join(F.collect_list("record"), ",").alias("records"))
+    hours = r.select(record.alias("record"), F.expr("timestamp_ms div 3600000").alias("hour"), F.expr("n div 2000").alias("block")).groupBy("hour", "block").agg(F.array_join(F.collect_list("record"), ",").alias("records"))
     return hours.select(F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":['), "records", F.lit("]}]}]}")).alias("body"))
 
 
@@ -545,6 +602,15 @@ def _(spark, d):
     return events.select("request_id", "session_id", "timestamp_ms", "model", "query_source", "cost_usd", *TOKENS.split(", "), "event_type", "error", "status")
 
 
+@query(
+    "otlp_last_failure",
+    f"""WITH {REQUESTS_SQL} SELECT timestamp_ms, event_type || ' ' || request_id || ': no session' AS failure FROM requests
+WHERE session_id IS NULL AND CAST(substr(request_id, 5) AS BIGINT) % 41 <> 0 ORDER BY timestamp_ms DESC, failure DESC LIMIT 1""",
+)
+def _(spark, d):
+    return telemetry.last_failure(telemetry.parse_otlp_events(telemetry.log_records(_otlp_bodies(spark, d))))
+
+
 @query(
     "otlp_ingest_metrics",
     f"""WITH {REQUESTS_SQL}, r AS (SELECT *, CAST(substr(request_id, 5) AS BIGINT) % 41 = 0 AS other FROM requests)
@@ -601,7 +667,8 @@ def _budget_status(spark, d):
     return budgets.budget_status(requests(spark, d), table)
 
 
-BUDGET_SQL = f"""{RS}, b(name, s, e, amount) AS (VALUES {', '.join(f"('{n}', {s}, {e}, {a}::DOUBLE)" for n, s, e, a, on in BUDGETS if on)}),
+BUDGET_VALUES = ", ".join(f"('{n}', {s}, {e}, {a}::DOUBLE)" for n, s, e, a, on in BUDGETS if on)
+BUDGET_SQL = f"""{RS}, b(name, s, e, amount) AS (VALUES {BUDGET_VALUES}),
 x AS (SELECT name, amount, round(coalesce(sum(cost_usd), 0), 6) AS spent, count(*) FILTER (event_type = 'api_request' AND cost_usd IS NULL) AS unpriced FROM b LEFT JOIN requests ON timestamp_ms >= s AND timestamp_ms < e GROUP BY ALL),
 y AS (SELECT *, CASE WHEN amount > 0 THEN CAST(round(100.0 * spent / amount) AS BIGINT) ELSE 0 END AS percent, spent >= amount AS exceeded FROM x)"""
 
@@ -611,6 +678,22 @@ def _(spark, d):
     return _budget_status(spark, d)
 
 
+IST_MS = 19_800_000
+KOLKATA = [(f"day {k}", MIDNIGHT - k * DAY_MS - IST_MS, MIDNIGHT - (k - 1) * DAY_MS - IST_MS, a, True) for k, a in ((0, 0.25), (1, 5000.0), (2, 5000.0))]
+KOLKATA += [("month", MONTH_START - IST_MS, NOW_MS - IST_MS, 500000.0, True), ("minutes", MIDNIGHT + 600_000, MIDNIGHT + 1_500_001, 50.0, True), ("hours", MIDNIGHT + 1_800_000, MIDNIGHT + 5_400_000, 50.0, True)]
+
+
+@query(
+    "budget_status_kolkata",
+    BUDGET_SQL.replace(BUDGET_VALUES, ", ".join(f"('{n}', {s}, {e}, {max(a, 1.0)}::DOUBLE)" for n, s, e, a, _ in KOLKATA))
+    + " SELECT *, CASE WHEN percent <= 50 THEN 'green' WHEN percent <= 75 THEN 'yellow' WHEN percent <= 90 THEN 'amber' ELSE 'red' END AS band FROM y",
+)
+def _(spark, d):
+    """Days and the month of a zone whose midnight is no whole hour of UTC, and windows within hours."""
+    table = spark.createDataFrame(KOLKATA, "name string, start bigint, `end` bigint, amount double, enabled boolean")
+    return budgets.budget_status(requests(spark, d), budgets.checked_budgets(table))
+
+
 @query("worst_budget_band", f"{BUDGET_SQL} SELECT CASE WHEN max(percent) <= 50 THEN 'green' WHEN max(percent) <= 75 THEN 'yellow' WHEN max(percent) <= 90 THEN 'amber' ELSE 'red' END AS band FROM y")
 def _(spark, d):
     return budgets.worst_band(_budget_status(spark, d))
@@ -646,6 +729,14 @@ def _(spark, d):
     return budgets.latest_snapshot(_quota_windows(spark, d))
 
 
+@query("quota_bands", f"""{QUOTA_SQL} SELECT fetched_ms, "window", CASE WHEN utilization > 90 THEN 'danger' WHEN utilization >= 75 THEN 'warning' WHEN utilization IS NOT NULL THEN 'ok' ELSE 'unknown' END AS band,
+CASE WHEN resets_at_ms > {MIDNIGHT - 5 * DAY_MS} THEN (resets_at_ms - {MIDNIGHT - 5 * DAY_MS}) // 60000 END AS minutes_left
+FROM (SELECT fetched_ms, "window", utilization, resets_at_ms FROM w UNION ALL SELECT fetched_ms, 'seven_day_opus', NULL, NULL FROM q)""")
+def _(spark, d):
+    timed = budgets.with_reset_times(_quota_windows(spark, d), F.lit(MIDNIGHT - 5 * DAY_MS))
+    return timed.select("fetched_ms", "window", budgets.usage_band(F.col("utilization")).alias("band"), "minutes_left")
+
+
 @query("silent_gaps", f"WITH {REQUESTS_SQL}, g AS (SELECT timestamp_ms, lag(timestamp_ms) OVER (ORDER BY timestamp_ms) AS p FROM requests WHERE source = 'otel') SELECT p AS from_ms, timestamp_ms AS to_ms, (timestamp_ms - p) // 60000 AS minutes FROM g WHERE timestamp_ms - p >= 600000")
 def _(spark, d):
     return budgets.silent_gaps(requests(spark, d), 10)

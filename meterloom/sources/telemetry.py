@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.parsing import double_attribute, event_name, event_time_ms, int_attribute, reset_time_ms, text_attribute
+from ..functions.parsing import double_value, event_name, event_time_ms, first_attribute, int_value, reset_time_ms
 
 VALUE = "stringValue:string,intValue:string,doubleValue:string"
 RECORD = f"timeUnixNano:string,observedTimeUnixNano:string,body:struct<stringValue:string>,attributes:array<struct<key:string,value:struct<{VALUE}>>>"
 BODY = f"resourceLogs array<struct<scopeLogs:array<struct<logRecords:array<struct<{RECORD}>>>>>>"
+#: The attributes that are read.
+ATTRIBUTES = (
+    "event.name", "session.id", "request_id", "model", "query_source", "cost_usd", "input_tokens", "output_tokens", "cache_read_tokens",
+    "cache_creation_tokens", "error", "duration_ms",
+)
 KEPT_EVENTS = ("api_request", "api_error")
 QUOTA_WINDOWS = ("five_hour", "seven_day", "seven_day_sonnet", "seven_day_opus")
 
@@ -39,32 +44,49 @@ def parse_otlp_events(records: DataFrame) -> DataFrame:
 
     Only these attributes are read: whatever names a user or an organisation is left behind.
     """
-    a = F.col("record.attributes")
-    name = event_name(a, F.col("record.body.stringValue"))
-    session, time = F.nullif(text_attribute(a, "session.id"), F.lit("")), event_time_ms(F.col("record"))
-    status = F.when(~F.coalesce(name.isin(*KEPT_EVENTS), F.lit(False)), "skipped").when(session.isNull() | time.isNull(), "failed").otherwise("ok")
-    count = lambda key: F.coalesce(int_attribute(a, key), F.lit(0)).alias(key)
-    return records.select(
-        text_attribute(a, "request_id").alias("request_id"),
-        session.alias("session_id"),
-        time.alias("timestamp_ms"),
-        text_attribute(a, "model").alias("model"),
-        text_attribute(a, "query_source").alias("query_source"),
-        double_attribute(a, "cost_usd").alias("cost_usd"),
+    # Generators, so that an attribute is looked for once, however often its value is read.
+    values = [first_attribute(F.col("record.attributes"), key).alias(key.replace(".", "_")) for key in ATTRIBUTES]
+    found = records.select("record", F.explode(F.array(F.struct(*values))).alias("a"))
+    text = lambda key: F.col(f"a.{key}.stringValue")
+    facts = F.struct(
+        event_name(text("event_name"), F.col("record.body.stringValue")).alias("name"),
+        F.nullif(text("session_id"), F.lit("")).alias("session"),
+        event_time_ms(F.col("record")).alias("time"),
+    )
+    found = found.select("a", F.explode(F.array(facts)).alias("f"))
+    missing = F.concat_ws(", ", F.when(F.col("f.session").isNull(), F.lit("no session")), F.when(F.col("f.time").isNull(), F.lit("no time")))
+    status = F.when(~F.coalesce(F.col("f.name").isin(*KEPT_EVENTS), F.lit(False)), "skipped").when(missing != "", "failed").otherwise("ok")
+    count = lambda key: F.coalesce(int_value(F.col(f"a.{key}")), F.lit(0)).alias(key)
+    return found.select(
+        text("request_id").alias("request_id"),
+        F.col("f.session").alias("session_id"),
+        F.col("f.time").alias("timestamp_ms"),
+        text("model").alias("model"),
+        text("query_source").alias("query_source"),
+        double_value(F.col("a.cost_usd")).alias("cost_usd"),
         count("input_tokens"),
         count("output_tokens"),
         count("cache_read_tokens"),
         count("cache_creation_tokens"),
         F.lit(None).cast("bigint").alias("cache_creation_5m_tokens"),
         F.lit(None).cast("bigint").alias("cache_creation_1h_tokens"),
-        name.alias("event_type"),
-        text_attribute(a, "error").alias("error"),
-        int_attribute(a, "duration_ms").alias("duration_ms"),
+        F.col("f.name").alias("event_type"),
+        text("error").alias("error"),
+        int_value(F.col("a.duration_ms")).alias("duration_ms"),
         F.lit("otel").alias("source"),
         status.alias("status"),
     )
 
 
+def last_failure(events: DataFrame) -> DataFrame:
+    """(timestamp_ms, failure): why the newest event that failed did; no row where none did."""
+    failed = events.where("status = 'failed'")
+    missing = F.concat_ws(", ", F.when(F.col("session_id").isNull(), F.lit("no session")), F.when(F.col("timestamp_ms").isNull(), F.lit("no time")))
+    text = F.concat(F.coalesce("event_type", F.lit("")), F.lit(" "), F.coalesce("request_id", F.lit("without id")), F.lit(": "), missing)
+    newest = F.max(F.struct(F.coalesce("timestamp_ms", F.lit(-1)).alias("at"), text.alias("failure"))).alias("last")
+    return failed.agg(newest).where("last is not null").select(F.nullif(F.col("last.at"), F.lit(-1)).alias("timestamp_ms"), "last.failure")
+
+
 def ingest_metrics(events: DataFrame) -> DataFrame:
     """One row: ingested, failed and skipped events, and the newest time that was ingested."""
     return events.agg(

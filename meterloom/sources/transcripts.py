@@ -10,9 +10,11 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 LINES = "file string, pos bigint, line string"
 
 
-def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, root: str, files=None) -> DataFrame:
     """(file, pos, line) of every ``*.jsonl`` below ``root``; no rows where there is no such folder.
 
+    ``files``: a condition on ``_metadata``, which prunes files before they are read.
+
     ``pos`` grows along each file. Files that cannot be read are skipped. The place is taken at the
     scan: the block of the file and the row's number in its partition, which reads blocks in order.
     """
@@ -26,6 +28,7 @@ def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
             raise
         return spark.createDataFrame([], LINES)
     # 33 low bits number the rows of a partition; a block's start alone orders rows of different blocks.
+    lines = lines if files is None else lines.where(files)
     within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     return lines.select(
         F.col("_metadata.file_path").alias("file"),
@@ -34,6 +37,15 @@ def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def read_window(spark: SparkSession, root: str, start_ms: int, slack_ms: int = 3_600_000) -> DataFrame:
+    """(file, pos, line) of the files that may have lines of a window that starts at ``start_ms``.
+
+    A line is written after its time, so files last written ``slack_ms`` before the start have none.
+    """
+    before = F.timestamp_millis(F.lit(start_ms - slack_ms))
+    return read_transcripts(spark, root, F.col("_metadata.file_modification_time") >= before)
+
+
 def changed_since(spark: SparkSession, root: str, iso_time: str) -> DataFrame:
     """The lines of the files that were written after a time (``yyyy-MM-ddTHH:mm:ss``)."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("modifiedAfter", iso_time)

@@ -27,11 +27,12 @@ class AlertRules:
 
 
 class AlertProcessor(StatefulProcessor):
-    """Rows of a key in order of time; state: sums by minute, the end of the cooldown, the month's spend and step.
+    """Rows of a key, summed by minute; state: sums by minute, the end of the cooldown, the month's spend and step.
 
-    The sums that have left the window are dropped with every batch, so a key's state is as long as
-    the window. A quiet crossing fires nothing and leaves the cooldown unarmed; a quiet step counts
-    as passed. A new month starts without an alert.
+    Alerts are evaluated at the last row of each minute, as the batch twins do. The sums that have
+    left the window are dropped with every batch, so a key's state is as long as the window. A quiet
+    crossing fires nothing and leaves the cooldown unarmed; a quiet step counts as passed. A new month
+    starts without an alert.
     """
 
     def __init__(self, rules: AlertRules) -> None:
@@ -50,41 +51,17 @@ class AlertProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rules, fired = self.rules, []
-        burst = rules.burst
-        month, spend, steps = self.month.get() if self.month.exists() else (None, 0.0, 0)
-        until = self.until.get()[0] if self.until.exists() else -1
-        sums = {k[0]: v[0] for k, v in self.minutes.iterator()}
         newest = self.last.get()[0] if self.last.exists() else 0
-        frame = pd.concat(list(rows)).sort_values(["timestamp_ms", "cost_usd"])
-        for row in frame.itertuples():
-            now, minute = int(row.timestamp_ms), int(row.timestamp_ms) // MINUTE_MS
-            newest = max(newest, now)
-            cost = 0.0 if pd.isna(row.cost_usd) else float(row.cost_usd)
-            if row.month != month:
-                if month is None or row.month > month:
-                    month, spend, steps = row.month, 0.0, 0
-            if row.month == month:
-                spend += cost
-                passed = int(spend // rules.step) if rules.step > 0 and spend > 0 else 0
-                if passed > steps:
-                    if not row.quiet and now >= rules.floor_ms:
-                        fired.append((key[0], "step", now, round(spend, 6), passed))
-                    steps = passed
-            if now < rules.floor_ms:
-                continue
-            sums[minute] = sums.get(minute, 0.0) + cost
-            rolling = sum(v for k, v in sums.items() if minute - burst.window_minutes < k <= minute)
-            if rolling >= burst.threshold and now >= until and not row.quiet:
-                fired.append((key[0], "burst", now, round(rolling, 6), None))
-                until = now + burst.cooldown_minutes * MINUTE_MS
-        oldest = newest // MINUTE_MS - burst.window_minutes
-        self.minutes.clear()
-        for minute, cost in sums.items():
-            if minute > oldest:
-                self.minutes.updateValue((minute,), (cost,))
-        if month is not None:
-            self.month.update((month, spend, steps))
-        self.until.update((until,))
+        parts = []
+        for part in rows:  # what is kept of each part is a row for each minute
+            own = part.assign(minute=part.timestamp_ms // MINUTE_MS, cost=part.cost_usd.fillna(0.0).astype(float)).sort_values("timestamp_ms")
+            own["live"] = own.cost.where(own.timestamp_ms >= rules.floor_ms, 0.0)
+            parts.append(own.groupby(["month", "minute"], as_index=False).agg(cost=("cost", "sum"), live=("live", "sum"), at=("timestamp_ms", "last"), quiet=("quiet", "last")))
+        if parts:
+            minutes = pd.concat(parts).sort_values("at").groupby(["month", "minute"], as_index=False).agg({"cost": "sum", "live": "sum", "at": "last", "quiet": "last"})
+            minutes = minutes.sort_values("minute", ignore_index=True)
+            newest = max(newest, int(minutes["at"].max()))
+            fired = self._steps(key[0], minutes) + self._bursts(key[0], minutes, newest)
         self.last.update((newest,))
         if rules.silence_minutes:
             for timer in list(self.handle.listTimers()):
@@ -92,6 +69,46 @@ class AlertProcessor(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + rules.silence_minutes * MINUTE_MS)
         yield pd.DataFrame(fired, columns=["key", "kind", "timestamp_ms", "spend", "steps"]).astype({"steps": "Int64"})
 
+    def _steps(self, key, minutes: pd.DataFrame) -> list[tuple]:
+        """Alerts on new highest steps of the newest month, evaluated at the end of each minute."""
+        rules, fired = self.rules, []
+        month, spend, steps = self.month.get() if self.month.exists() else (None, 0.0, 0)
+        latest = max(minutes["month"].max(), month or "")
+        if latest != month:
+            month, spend, steps = latest, 0.0, 0
+        own = minutes[minutes["month"] == month]
+        total = spend + own["cost"].cumsum()
+        if rules.step > 0 and len(own):
+            passed = (total // rules.step).clip(lower=0).cummax().clip(lower=steps).astype(int)
+            rises = passed > passed.shift(fill_value=steps)
+            alive = rises & ~own["quiet"] & (own["at"] >= rules.floor_ms)
+            fired = [(key, "step", int(at), round(float(s), 6), int(p)) for at, s, p in zip(own["at"][alive], total[alive], passed[alive], strict=True)]
+            steps = int(passed.iloc[-1])
+        self.month.update((month, float(total.iloc[-1]) if len(own) else spend, steps))
+        return fired
+
+    def _bursts(self, key, minutes: pd.DataFrame, newest: int) -> list[tuple]:
+        """Alerts on rolling sums at the threshold, evaluated at the end of each minute that has rows, outside the cooldown."""
+        rules, burst, fired = self.rules, self.rules.burst, []
+        until = self.until.get()[0] if self.until.exists() else -1
+        live = minutes[minutes["at"] >= rules.floor_ms].groupby("minute").agg(live=("live", "sum"), at=("at", "last"), quiet=("quiet", "last"))
+        kept = pd.Series({k[0]: v[0] for k, v in self.minutes.iterator()}, dtype=float)
+        sums = kept.add(live["live"], fill_value=0.0).sort_index()
+        ran, places = sums.cumsum().to_numpy(), sums.index.to_numpy()
+        ends = places.searchsorted(live.index.to_numpy(), "right")
+        starts = places.searchsorted(live.index.to_numpy() - burst.window_minutes, "right")
+        rolling = [float(ran[e - 1] - (ran[b - 1] if b else 0.0)) for b, e in zip(starts, ends, strict=True)]
+        for at, quiet, spend in zip(live["at"], live["quiet"], rolling, strict=True):
+            if round(spend, 6) >= burst.threshold and at >= until and not quiet:
+                fired.append((key, "burst", int(at), round(spend, 6), None))
+                until = int(at) + burst.cooldown_minutes * MINUTE_MS
+        oldest = newest // MINUTE_MS - burst.window_minutes
+        self.minutes.clear()
+        for minute, cost in sums[sums.index > oldest].items():
+            self.minutes.updateValue((int(minute),), (float(cost),))
+        self.until.update((until,))
+        return fired
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else 0
         yield pd.DataFrame([(key[0], "silence", last, None, None)], columns=["key", "kind", "timestamp_ms", "spend", "steps"]).astype({"steps": "Int64", "spend": "float64"})
