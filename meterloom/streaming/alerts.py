@@ -22,7 +22,7 @@ class AlertRules:
 
     burst: BurstRule = BurstRule()
     step: float = 0.0
-    silence_minutes: int = 0
+    silence_minutes: float = 0
     floor_ms: int = 0
 
 
@@ -66,7 +66,7 @@ class AlertProcessor(StatefulProcessor):
         if rules.silence_minutes:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + rules.silence_minutes * MINUTE_MS)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(rules.silence_minutes * MINUTE_MS))
         yield pd.DataFrame(fired, columns=["key", "kind", "timestamp_ms", "spend", "steps"]).astype({"steps": "Int64"})
 
     def _steps(self, key, minutes: pd.DataFrame) -> list[tuple]:

@@ -19,7 +19,7 @@ def value(spark, column):
 
 def test_local_midnights(spark):
     at = lambda day, zone: value(spark, calendar.midnight_ms(F.lit(date.fromisoformat(day)), zone))
-    assert at("2026-06-11", "UTC") == T
+    assert at("2026-01-05", "UTC") == T
     assert at("2018-11-04", "America/Sao_Paulo") == 1541300400000  # midnight is skipped: 01:00
     assert at("2024-11-03", "America/Havana") == 1730606400000  # midnight comes twice: the earlier
     window = value(spark, calendar.day_window(F.lit(date(2024, 3, 31)), "Europe/Berlin"))
@@ -75,12 +75,16 @@ def test_price_list_and_lookup(spark):
 
 
 @pytest.mark.parametrize(
-    ("tokens", "split", "cost"),
-    [((17045, 94, 23661, 31356), (0, 31356), 0.825931), ((2, 453, 55017, 24494), (0, 24494), 0.567567), ((0, 0, 0, 3000), (1000, 2000), 0.0525), ((0, 0, 0, 3000), (None, None), 0.0375), ((0, 0, 0, 3000), (1000, None), 0.0375)],
+    ("tokens", "split"),
+    [((1200, 340, 56_000, 7800), (800, 7000)), ((0, 1, 0, 0), (None, None)), ((10, 0, 5, 900), (900, 0)), ((10, 20, 30, 400), (None, None)), ((10, 20, 30, 400), (100, None))],
 )
-def test_costs(spark, tokens, split, cost):
+def test_costs(spark, tokens, split):
+    """Cache writes of an hour cost their own rate where the split is whole, else all cost that of five minutes."""
+    per = {"input": 1e-5, "output": 5e-5, "read": 1e-6, "five": 1.25e-5, "hour": 2e-5}
+    five, hour = split if None not in split else (tokens[3], 0)
+    want = tokens[0] * per["input"] + tokens[1] * per["output"] + tokens[2] * per["read"] + five * per["five"] + hour * per["hour"]
     r = spark.createDataFrame([row(1, "s", T, "m-a", None, None, tokens, split)], SCHEMA)
-    assert pricing.price_requests(r, prices(spark)).first()["cost_usd"] == pytest.approx(cost, abs=1e-9)
+    assert pricing.price_requests(r, prices(spark)).first()["cost_usd"] == pytest.approx(want, abs=1e-9)
 
 
 def line(kind="assistant", request="q1", out=5, ts="2026-06-11T14:50:03.944Z", **more):
@@ -245,8 +249,8 @@ def test_stream_alerts_after_backfill(spark, tmp_path):
     from meterloom.streaming.alerts import AlertRules, month_baseline, stream_alerts
 
     old = spark.createDataFrame([row(0, "s", T - 60_000, "m", None, 120.0, (0, 0, 0, 0))], SCHEMA)
-    baseline = month_baseline(old, 50.0, "2026-06")
-    assert [tuple(r) for r in baseline.collect()] == [("m", "2026-06", 120.0, 2)]
+    baseline = month_baseline(old, 50.0, "2026-01")
+    assert [tuple(r) for r in baseline.collect()] == [("m", "2026-01", 120.0, 2)]
     rows = [row(i, "s", T + i * 60_000, "m", None, 6.0, (0, 0, 0, 0)) for i in range(6)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
@@ -257,8 +261,139 @@ def test_stream_alerts_after_backfill(spark, tmp_path):
     assert [((r["timestamp_ms"] - T) // 60_000, r["steps"]) for r in spark.table("later").collect()] == [(4, 3)]
 
 
+def test_budgets_of_any_window(spark):
+    """Rows count by their own times in the hours that a window cuts; budgets of one name and amount stay apart."""
+    at = lambda h, m=0: T + h * 3_600_000 + m * 60_000
+    costs = [(at(9, 59), 1.0), (at(10, 10), 5.0), (at(10, 40), 7.0), (at(11, 5), 2.0), (at(12, 29), 4.0), (at(12, 30), 8.0)]
+    r = spark.createDataFrame([row(i, "s", ts, "m", None, c, (0, 0, 0, 0)) for i, (ts, c) in enumerate(costs)], SCHEMA)
+    windows = [("a", at(10, 30), at(12, 30)), ("b", at(10), at(11)), ("c", at(10, 5), at(10, 20)), ("d", at(13), at(14)), ("e", at(9, 30), at(10, 30)), ("e", at(10, 30), at(13))]
+    table = spark.createDataFrame([(n, s, e, 10.0, True) for n, s, e in windows], "name string, start long, end long, amount double, enabled boolean")
+    got = sorted((x["name"], x["spent"]) for x in budgets.budget_status(r, table).collect())
+    assert got == sorted((n, sum(c for ts, c in costs if s <= ts < e)) for n, s, e in windows)
+    small = table.limit(1).withColumn("amount", F.lit(0.2))
+    assert budgets.checked_budgets(small).first()["amount"] == 1.0 and budgets.checked_budgets(small.withColumn("enabled", F.lit(False))).first()["amount"] == 0.2
+
+
+def test_alert_settings():
+    assert alerts.BurstRule.checked(0, 0, -1) == alerts.BurstRule() and alerts.BurstRule.checked(3.0, 5, 7) == alerts.BurstRule(3.0, 5, 7)
+    assert alerts.checked_step(0) == alerts.DEFAULT_STEP and alerts.checked_step(7.5) == 7.5
+
+
+def test_bursts_against_a_loop(spark):
+    """Alerts of a long irregular series, by a plain loop over its minutes."""
+    minutes = [k * k % 997 + 1000 * (k % 3) for k in range(400)]
+    rows = [row(i, "s", T + m * 60_000, "m", None, 1.0 + m % 4, (0, 0, 0, 0)) for i, m in enumerate(minutes)]
+    spend = {}
+    for m in minutes:
+        spend[m] = spend.get(m, 0.0) + 1.0 + m % 4
+    fired, until = [], -1
+    for m in sorted(spend):
+        if m >= until and sum(v for k, v in spend.items() if m - 10 < k <= m) >= 14.0:
+            fired.append(m)
+            until = m + 15
+    got = alerts.burst_alerts(spark.createDataFrame(rows, SCHEMA), alerts.BurstRule(14.0, 10, 15)).collect()
+    assert sorted(x["minute"] - T // 60_000 for x in got) == fired and len(fired) > 5
+
+
+def finished(frame, tmp_path, name, mode="append"):
+    q = frame.writeStream.option("checkpointLocation", str(tmp_path / f"cp-{name}")).format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert not q.isActive
+    return frame.sparkSession.table(name).collect()
+
+
+def test_stream_of_a_day(spark, tmp_path):
+    from meterloom.operators.rollups import usage_summary
+    from meterloom.streaming import requests as live
+
+    rows = [row(i, f"s{i % 7}", T + i * 3_000_000, "m", None, 0.5 * i, (i, 2, 3, 4)) for i in range(60)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    table.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["day"]: r for r in finished(live.stream_today(stream), tmp_path, "today", "complete")}
+    for k, day in enumerate(sorted(got)):
+        want = usage_summary(table.where((F.col("timestamp_ms") >= T + k * 86_400_000) & (F.col("timestamp_ms") < T + (k + 1) * 86_400_000))).first()
+        assert all(got[day][c] == pytest.approx(want[c]) for c in ("cost_usd", "input_tokens", "requests", "sessions"))
+    assert len(got) == 3
+    exports.write_batch(table, str(tmp_path / "stored"), "otel", 0)
+    assert live.today_exactly(spark, str(tmp_path / "stored"), T, T + 86_400_000).first()["requests"] == 29
+
+
+def test_stream_of_sessions(spark, tmp_path):
+    from meterloom.streaming import requests as live
+
+    starts = [("a", "/one", 5), ("a", "", 9), ("b", "/two", 3), ("a", "/three", 7), ("", "/no", 1)]
+    for i, (session, folder, seen) in enumerate(starts):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        payload = json.dumps({"session_id": session, "cwd": folder})
+        spark.createDataFrame([(payload, seen)], "payload string, seen_ms long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("payload string, seen_ms long").parquet(str(tmp_path / "in"))
+    live.stream_sessions(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = {r["session_id"]: (r["cwd"], r["first_seen_ms"], r["last_seen_ms"]) for r in live.stored_sessions(spark, str(tmp_path / "out")).collect()}
+    assert got == {"a": ("/three", 5, 9), "b": ("/two", 3, 3)}
+
+
+def test_stream_of_transcripts(spark, tmp_path):
+    """A growing file, read in two runs, gives what reading it whole does; the summary is written as CSV."""
+    from meterloom.operators.rollups import usage_series
+    from meterloom.streaming import requests as live
+
+    root, lines = tmp_path / "in", [line(request=f"q{i}", out=10 + k) for i in range(4) for k in (1, 2)]
+    root.mkdir()
+
+    def run():
+        live.stream_transcripts(tail_transcripts(spark, str(root)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+
+    (root / "a.jsonl").write_text("\n".join(lines[:3]) + "\n" + lines[3][:20])
+    run()
+    (root / "a.jsonl").write_text("\n".join(lines) + "\n")
+    run()
+    stored, found = live.stored_transcripts(spark, str(tmp_path / "out"))
+    assert {r["request_id"]: r["output_tokens"] for r in stored.collect()} == {f"q{i}": 12 for i in range(4)}
+    assert found.count() == 4
+    exports.export_summary(usage_series(stored.drop("arrival")).select("day", "requests", "output_tokens"), str(tmp_path / "csv"))
+    assert next((tmp_path / "csv").glob("part-*")).read_bytes() == b"day,requests,output_tokens\r\n2026-06-11,4,48\r\n"
+
+
+def test_files_of_a_window(spark, tmp_path):
+    import os
+
+    from meterloom.sources.transcripts import read_window
+
+    for name, at in (("old", T - 3_700_000), ("near", T - 3_500_000), ("new", T + 5)):
+        (tmp_path / f"{name}.jsonl").write_text(name + "\n")
+        os.utime(tmp_path / f"{name}.jsonl", (at / 1000, at / 1000))
+    assert sorted(r["line"] for r in read_window(spark, str(tmp_path), T).collect()) == ["near", "new"]
+
+
+def test_folders_in_file_order(spark):
+    r = spark.createDataFrame([row(i, s, T + i, "m", None, None, (0, 0, 0, 0)) for i, s in enumerate(["a", "a", "b", None])], SCHEMA)
+    folders = spark.createDataFrame([("a", None, 1), ("a", "/second", 7), ("a", "/first", 4), ("c", "/other", 1)], "session_id string, cwd string, pos long")
+    got = {x["session_id"]: (x["cwd"], x["first_seen_ms"] - T, x["last_seen_ms"] - T) for x in reconcile.sessions_from_requests(r, folders).collect()}
+    assert got == {"a": ("/first", 0, 1), "b": (None, 2, 2)}
+
+
+def test_silence(spark, tmp_path):
+    """A key that goes quiet raises one alert once the processing time has passed."""
+    import time
+
+    from meterloom.streaming.alerts import AlertRules, stream_alerts
+
+    spark.createDataFrame([row(1, "s", T, "m", None, 1.0, (0, 0, 0, 0))], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rules = AlertRules(alerts.BurstRule(1000.0, 10, 15), silence_minutes=0.02)
+    fired = stream_alerts(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), rules)
+    q = fired.writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("memory").queryName("silence").trigger(processingTime="1 second").start()
+    try:
+        ends = time.time() + 90
+        while time.time() < ends and not spark.table("silence").where("kind = 'silence'").count():
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [(r["key"], r["timestamp_ms"]) for r in spark.table("silence").where("kind = 'silence'").collect()] == [("m", T)]
+
+
 def test_csv(spark, tmp_path):
-    frame = spark.createDataFrame([("a,b", 'say "x"', None)], "a string, b string, c string")
+    frame = spark.createDataFrame([("a,b", 'say "x"', None)], "a string, b string, c string").coalesce(1)
     exports.write_csv(frame, str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("part-*")).read_bytes()
     assert text == b'a,b,c\r\n"a,b","say ""x""",\r\n'
