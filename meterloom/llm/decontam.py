@@ -2,7 +2,7 @@
 
 The index stores postings (term, document, position) of the training texts for the terms of the
 test items. It is partitioned by document: each task writes a segment of its own documents' postings,
-sorted by term, document and position, so building it shuffles nothing. A window of a test item is
+sorted by term, so building it shuffles nothing. A window of a test item is
 looked up by its two rarest terms, whose postings are taken out of the segments once: those of the
 rarest give alignments (item, document, shift), which those of the second rarest, adjusted by
 their offset, must confirm. The alignments left are intersected with the postings of all the
@@ -51,16 +51,19 @@ def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
             "copies",
             F.array_remove(pieces(F.col("text")), "").alias("words"),
         )
-        .select("item", "item_id", "copies", F.size("words").alias("n"), F.posexplode("words").alias("ipos", "word"))
+        .withColumn("n", F.size("words"))
+        .select("item", "item_id", "copies", "n", F.posexplode("words").alias("ipos", "word"))
         .withColumn("word", ascii_lower(F.col("word")))
     )
 
 
 def store_postings(docs: DataFrame, terms: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the postings (term, doc, pos) of all ``docs`` for the words in ``terms`` (term, word), a sorted segment for each task."""
-    words = docs.select(document_key(key, text).alias("doc"), F.posexplode(pieces(F.col(text))).alias("pos", "word"))
+    # the key in a step of its own, or it would be hashed from the whole text for each word
+    split = docs.select(document_key(key, text).alias("doc"), pieces(F.col(text)).alias("words"))
+    words = split.select("doc", F.posexplode("words").alias("pos", "word"))
     found = words.withColumn("word", ascii_lower(F.col("word"))).join(small(terms, BROADCAST_ROWS), "word")
-    return written(found.select("term", "doc", "pos").sortWithinPartitions("term", "doc", "pos"), folder, "postings")
+    return written(found.select("term", "doc", "pos").sortWithinPartitions("term"), folder, "postings")
 
 
 def numbered_terms(items: DataFrame, folder: str) -> DataFrame:
