@@ -259,8 +259,9 @@ def pairs_by_difference(info: DataFrame, sets: DataFrame, percent: int, folder:
         joined(shingles, written(shared, folder, "shared"), ["cluster", "shingle"], "df")
         .groupBy("node", "s", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))  # of one document
-        .select("node", F.posexplode("own").alias("at", "own"), (F.col("s") - F.size("own")).alias("alone"), most.alias("most"))
-        .select("node", (F.col("alone") + F.col("at")).alias("at"), F.col("own.shingle").alias("shingle"), "most")
+        .select("node", "own", (F.col("s") - F.size("own")).alias("alone"), most.alias("most"))
+        .select("node", "alone", "most", F.posexplode("own").alias("at", "one"))
+        .select("node", (F.col("alone") + F.col("at")).alias("at"), F.col("one.shingle").alias("shingle"), "most")
         .where("at <= most")
     )
     prefixes = written(ordered.join(apart.drop("diff", "centre", "core_n", "near"), "node"), folder, "prefixes")
