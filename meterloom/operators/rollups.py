@@ -63,9 +63,12 @@ def page(ordered: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0) -> Data
 
 
 def session_page(requests: DataFrame, sessions: DataFrame, by: str = "cost", descending: bool = True, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
-    """A page of ``sorted_sessions(session_rollups(...))``: only the page's rows meet the session table."""
-    ranked = page(sorted_sessions(_by_session(requests), by, descending), limit, offset)
-    return sorted_sessions(ranked.join(sessions.select("session_id", "cwd"), "session_id", "left"), by, descending)
+    """A page of the sorted rollups.
+
+    Sessions meet their folders before they are ranked: a page that is joined afterwards has to be
+    sorted again, and adaptive execution was seen to leave that sort out.
+    """
+    return page(sorted_sessions(session_rollups(requests, sessions), by, descending), limit, offset)
 
 
 def session_models(requests: DataFrame, session_id: str) -> DataFrame:
