@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 LINES = "file string, pos bigint, line string"
+#: What one task of a stream reads of a file.
+SPAN_BYTES = 64 << 20
 
 
 def read_transcripts(spark: SparkSession, root: str, files=None) -> DataFrame:
@@ -61,11 +63,14 @@ class GrowingFilesReader(DataSourceStreamReader):
     """Reads what files gained since the last batch; the offset maps each path to bytes read.
 
     An unterminated last line waits for the next batch; a file shorter than its offset is read from
-    its start; a file that did not change is not opened.
+    its start; a file that did not change is not opened. What a file gained is read by a task for
+    every ``span`` bytes, each of which reads the lines that begin in its span. Files that cannot be
+    opened when they are looked for are left for the next batch; one that fails in a task fails it,
+    so that no line is passed over.
     """
 
-    def __init__(self, root: str) -> None:
-        self.root = root
+    def __init__(self, root: str, span: int = SPAN_BYTES) -> None:
+        self.root, self.span = root, span
 
     def initialOffset(self) -> dict:
         return {}
@@ -76,7 +81,10 @@ class GrowingFilesReader(DataSourceStreamReader):
             for name in names:
                 if name.endswith(".jsonl"):
                     path = os.path.join(folder, name)
-                    ends[path] = os.path.getsize(path)
+                    try:
+                        ends[path] = os.path.getsize(path)
+                    except OSError:  # gone since the folder was listed
+                        continue
         return ends
 
     def latestOffset(self) -> dict:
@@ -86,7 +94,12 @@ class GrowingFilesReader(DataSourceStreamReader):
             if path in known and known[path][0] == size:
                 offset[path] = known[path][1]
                 continue
-            offset[path] = _last_line_end(path, size)
+            try:
+                offset[path] = _last_line_end(path, size)
+            except OSError:
+                if path in known:
+                    offset[path] = known[path][1]
+                continue
             known[path] = (size, offset[path])
         self.known = known
         return offset
@@ -96,14 +109,15 @@ class GrowingFilesReader(DataSourceStreamReader):
         for path, stop in sorted(end.items()):
             begin = start.get(path, 0)
             begin = 0 if stop < begin else begin
-            if stop > begin:
-                spans.append(_Span(path, begin, stop))
+            spans += [_Span(path, at, min(at + self.span, stop)) for at in range(begin, stop, self.span)]
         return spans
 
     def read(self, partition: _Span):
         with open(partition.path, "rb") as f:
-            f.seek(partition.start)
             at = partition.start
+            if at:  # a line that began before is the span's before; at the end of a line this reads its newline alone
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
             while at < partition.end:
                 line = f.readline()
                 if not line:
@@ -127,7 +141,10 @@ def _last_line_end(path: str, size: int, step: int = 1 << 16) -> int:
 
 
 class GrowingFiles(DataSource):
-    """``spark.readStream.format("growing_files").option("path", folder)``: the folder is one that driver and executors share."""
+    """``spark.readStream.format("growing_files").option("path", folder)``: the folder is one that driver and executors share.
+
+    The option ``span`` says how many bytes of a file one task reads.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -137,7 +154,7 @@ class GrowingFiles(DataSource):
         return LINES
 
     def streamReader(self, schema) -> GrowingFilesReader:
-        return GrowingFilesReader(self.options["path"])
+        return GrowingFilesReader(self.options["path"], int(self.options.get("span", SPAN_BYTES)))
 
 
 def tail_transcripts(spark: SparkSession, root: str) -> DataFrame:

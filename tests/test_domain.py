@@ -217,6 +217,29 @@ def test_growing_files(spark, tmp_path):
     assert step() == ["four", "one", "three", "two"]
 
 
+@pytest.mark.parametrize("span", [1, 3, 4, 7, 1000])
+def test_spans_of_growing_files(tmp_path, span):
+    from meterloom.sources.transcripts import GrowingFilesReader
+
+    lines = ["", "one", "", "a longer line", "ünï", "x" * 20, ""]
+    path = tmp_path / "a.jsonl"
+    path.write_bytes("".join(f"{x}\n" for x in lines).encode() + b"unterminated")
+    (tmp_path / "gone.jsonl").symlink_to(tmp_path / "nowhere")
+    reader = GrowingFilesReader(str(tmp_path), span)
+    places, at = [], 0
+    for x in lines:
+        places.append((str(path), at, x))
+        at += len(x.encode()) + 1
+    end = reader.latestOffset()
+    assert end == {str(path): at}
+    read = lambda start: [r for s in reader.partitions(start, end) for r in reader.read(s)]
+    assert read({}) == places
+    assert len(reader.partitions({}, end)) == -(-at // span)
+    assert read({str(path): places[3][1]}) == places[3:]
+    assert read(end) == []
+    assert read({str(path): at + 5}) == places  # shorter than its offset
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from meterloom.streaming import requests as live
 
