@@ -54,6 +54,25 @@ def changed_since(spark: SparkSession, root: str, iso_time: str) -> DataFrame:
     return reader.text(root).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
+def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
+    """(file, length) of the transcripts below ``root`` that have bytes and of which no line can be read.
+
+    Files are listed without being opened, then read as ``read_transcripts`` does; empty files are
+    readable, and a missing folder has none.
+    """
+    from pyspark.errors import AnalysisException
+
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    try:
+        listed = reader.load(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file string, length bigint")
+    read = read_transcripts(spark, root).select("file").distinct()
+    return listed.select(F.col("_metadata.file_path").alias("file"), "length").where("length > 0").join(read, "file", "left_anti")
+
+
 class _Span(InputPartition):
     def __init__(self, path: str, start: int, end: int) -> None:
         self.path, self.start, self.end = path, start, end

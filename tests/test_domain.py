@@ -217,6 +217,21 @@ def test_growing_files(spark, tmp_path):
     assert step() == ["four", "one", "three", "two"]
 
 
+def test_unreadable_files(spark, tmp_path):
+    from meterloom.sources.transcripts import unreadable_files
+
+    assert unreadable_files(spark, str(tmp_path / "none")).count() == 0
+    root = tmp_path / "deep" / "er"
+    root.mkdir(parents=True)
+    (root / "good.jsonl").write_text("one\ntwo\n")
+    (root / "empty.jsonl").write_text("")
+    (root / "bad.jsonl").write_text("three\n")
+    (root / ".bad.jsonl.crc").write_bytes(b"crc\0\0\0\2\0\1\2\3\4")  # a checksum that is not the file's
+    assert sorted(r["line"] for r in read_transcripts(spark, str(tmp_path)).collect()) == ["one", "two"]
+    got = unreadable_files(spark, str(tmp_path)).collect()
+    assert [(r["file"].rpartition("/")[2], r["length"]) for r in got] == [("bad.jsonl", 6)]
+
+
 @pytest.mark.parametrize("span", [1, 3, 4, 7, 1000])
 def test_spans_of_growing_files(tmp_path, span):
     from meterloom.sources.transcripts import GrowingFilesReader
