@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, mixing, neardup, periodic, pii, quality, sharding, tokens, urlfilter, warc
+from . import decontam, divergence, linededup, mixing, neardup, periodic, pii, quality, sharding, tokens, urlfilter, warc
 
 QUERIES = {
     "op2_tensored_minhash": neardup.grouped_documents,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_positional_index": decontam.judged_documents,
     "op9_two_pass_shuffle": sharding.sharded_documents,
     "op10_seekable_bundles": warc.archived_pages,
+    "op11_pattern_tree": divergence.audited_sources,
     "op13_block_convolution": periodic.collapsed_documents,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op6_levelled_runs": linededup.DEDUPLICATED_SQL,
     "op8_positional_index": decontam.JUDGED_SQL,
     "op10_seekable_bundles": warc.ARCHIVED_SQL,
+    "op11_pattern_tree": divergence.AUDITED_SQL,
 }

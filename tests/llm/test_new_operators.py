@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterloom.llm import periodic
+from meterloom.llm import divergence, periodic
 
 from .test_operators import SCHEMA, docs, none, rows, words  # noqa: F401
 
@@ -111,3 +111,48 @@ def test_collapsed_documents(spark, sf):
         listed = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
         assert (r["n_runs"], r["runs_sha256"], r["collapsed_sha256"]) == (len(runs), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(collapsed(w, runs).encode()).hexdigest())
         assert (r["start"], r["length"], r["period"], r["exponent_milli"]) == ((*best, 1000 * best[1] // best[2]) if best else (None,) * 4)
+
+
+def plain_audit(every, least, smoothing=5, top=50):
+    """(lang, source, text) -> the rows of the audit, each pair over each term."""
+    groups, lists, docs = {}, {}, Counter()
+    for lang, source, text in every:
+        lang, source = lang or "", source or ""
+        found = [t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        groups.setdefault(lang, set()).add(source)
+        lists.setdefault((lang, source), Counter()).update(found)
+        docs.update({(lang, t) for t in found})
+    out = []
+    for lang, sources in groups.items():
+        kept = sorted(t for x, t in docs if x == lang and docs[x, t] >= least)
+        counts = {s: {t: lists[lang, s][t] for t in kept} for s in sources}
+        counts[None] = {t: sum(lists[lang, s][t] for s in sources) for t in kept}
+        p = {s: {t: 1 + 10**9 * (c + smoothing) // (sum(own.values()) + smoothing * len(kept)) for t, c in own.items()} for s, own in counts.items()}
+        for s in sources:
+            pairs = [(other, sum(abs(p[s][t] - p[other][t]) for t in kept)) for other in sources if other != s]
+            terms = [(t, p[s][t] - p[None][t]) for t in kept if counts[s][t] and p[s][t] > p[None][t]]
+            for part, found in (("pair", pairs), ("term", terms)):
+                ranked = sorted(found, key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, value, k + 1) for k, (item, value) in enumerate(ranked) if part == "pair" or k < top]
+    return Counter(out)
+
+
+def test_divergence(spark, docs, none):  # noqa: F811
+    rng = np.random.default_rng(4)
+    every = [(r[2], r[3], r[1]) for r in rows()]
+    vocabulary = [f"{a}{b}" for a in ("Ab", "ab", "é", "É", "x_", "zz1") for b in "abcdefghijk"] + ["\0", "1 2", "[\\]^`{|}~"]
+    for i in range(400):
+        picked = rng.choice(vocabulary, size=int(rng.integers(0, 30)), p=np.arange(len(vocabulary), 0, -1) / (len(vocabulary) * (len(vocabulary) + 1) / 2))
+        every.append((("en", "fr", None, "")[i % 4], ("hot", "b", None, "é", "Z", "a")[min(int(rng.integers(0, 9)), 5)], rng.choice([" ", "\n", "-9-"]).join(picked)))
+    every += [("rare", "only", "seldom words"), ("rare", "other", None), ("lone", "one", "word")] * 2
+    frame = spark.createDataFrame([(i, t, lang, s, 0, "r", 1, 2, "k", 3, 4, 5, "d") for i, (lang, s, t) in enumerate(every)], SCHEMA).repartition(3)
+    for least in (1, 4):
+        got = Counter(tuple(r) for r in divergence.divergence_audit(frame, least=least, top=7).select("lang", "source", "part", "item", "value", "rank").collect())
+        assert got == plain_audit(every, least, top=7)
+    assert divergence.divergence_audit(none).count() == 0
+
+
+def test_divergence_of_many_groups(spark, docs, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(divergence, "FEW_GROUPS", 1)
+    got = Counter(tuple(r) for r in divergence.divergence_audit(docs, least=1).collect())
+    assert got == plain_audit([(r[2], r[3], r[1]) for r in rows()], 1)
