@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, divergence, linededup, mixing, neardup, periodic, pii, quality, sharding, tokens, urlfilter, warc
+from . import attention, decontam, divergence, linededup, mixing, neardup, periodic, pii, quality, sharding, tokens, urlfilter, warc
 
 QUERIES = {
     "op2_tensored_minhash": neardup.grouped_documents,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_two_pass_shuffle": sharding.sharded_documents,
     "op10_seekable_bundles": warc.archived_pages,
     "op11_pattern_tree": divergence.audited_sources,
+    "op12_attention_passages": attention.classified_documents,
     "op13_block_convolution": periodic.collapsed_documents,
 }
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterloom.llm import divergence, periodic
+from meterloom.llm import attention, divergence, periodic
 
 from .test_operators import SCHEMA, docs, none, rows, words  # noqa: F401
 
@@ -156,3 +156,83 @@ def test_divergence_of_many_groups(spark, docs, monkeypatch):  # noqa: F811
     monkeypatch.setattr(divergence, "FEW_GROUPS", 1)
     got = Counter(tuple(r) for r in divergence.divergence_audit(docs, least=1).collect())
     assert got == plain_audit([(r[2], r[3], r[1]) for r in rows()], 1)
+
+
+def plain_features(w):
+    """The features of one passage, word by word."""
+    n, out = max(len(w), 1), np.zeros(attention.N_FEATURES)
+    kinds = [str.isalpha, str.isupper, lambda c: c.isnumeric(), "#*$%&|<>".__contains__, "!".__contains__]
+    for x in w:
+        out[zlib.crc32(x.encode()) % attention.BUCKETS] += 1 / n
+        for k, kind in enumerate(kinds):
+            out[attention.BUCKETS + k] += sum(map(kind, x)) / len(x) / n
+        out[attention.BUCKETS + 5] += bool(re.search("[.!?…]$", x)) / n
+        out[attention.BUCKETS + 6] += (not any(c.isalpha() or c.isnumeric() for c in x)) / n
+        out[attention.BUCKETS + 7] += np.log1p(len(x)) / n
+    out[-4:] = len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, np.log1p(len(w)), not w
+    return out
+
+
+def plain_score(model, text, size=64):
+    w = words(text)
+    codes, logits = [], []
+    for k in range(0, max(len(w), 1), size):
+        h = np.maximum((plain_features(w[k : k + size]) - model["mean"]) / model["spread"] @ model["W"] + model["b"], 0)
+        codes.append(h)
+        logits.append((np.tanh(h @ model["V"]) / (1 + np.exp(-(h @ model["U"])))) @ model["w"])
+    weight = np.exp(np.array(logits) - max(logits))
+    weight /= weight.sum()
+    return 1 / (1 + np.exp(-(weight @ np.array(codes) @ model["c"] + model["d"][0]))), int(np.argmax(weight)), weight.max()
+
+
+def test_gradients():
+    """Against differences of the loss, for every kind of weight."""
+    rng = np.random.default_rng(5)
+    model = attention.new_model(attention.Settings(hidden=5, gates=3))
+    features, bag, labels = rng.random((9, attention.N_FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3]), np.array([1.0, 0, 1, 0])
+    _, gradients = attention.loss_and_gradients(model, features, bag, labels, 0.01)
+    for name, gradient in gradients.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, k) for k in gradient.shape)
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = {k: v.copy() for k, v in model.items()}
+                moved[name][at] += step
+                ends.append(attention.loss_and_gradients(moved, features, bag, labels, 0.01)[0])
+            assert abs((ends[0] - ends[1]) / 2e-6 - gradient[at]) < 1e-6, name
+
+
+def test_scores(spark, docs, none, monkeypatch):  # noqa: F811
+    """Each row by its own whole text, passages in several blocks, against one passage at a time."""
+    monkeypatch.setattr(attention, "BLOCK", 100)
+    rng = np.random.default_rng(6)
+    model = attention.new_model(attention.Settings()) | {"mean": rng.random(attention.N_FEATURES), "b": rng.random(32)}
+    got = Counter((r["doc_id"], round(r["score"], 9), r["n_passages"], r["top_passage"], round(r["top_weight"], 9)) for r in attention.score_documents(docs, model).collect())
+    want = Counter()
+    for i, text, *_ in rows():
+        score, top, weight = plain_score(model, text)
+        want[i, round(score, 9), max(1, -(-len(words(text)) // 64)), top, round(weight, 9)] += 1
+    assert got == want
+    assert attention.score_documents(none, model).count() == 0
+
+
+def test_fit(spark, docs, none):  # noqa: F811
+    """What is learned: no null labels or ids, a mean of several labels, the sample's bound, and nothing without both labels."""
+    labels = lambda pairs: spark.createDataFrame(pairs, "doc_id long, quality int, text string")
+    few = attention.Settings(sample=5, bag=2, epochs=2)
+    same = attention.fit_classifier(docs, labels([(1, 1, "x"), (2, 1, "x"), (None, 0, "x"), (3, None, "x"), (99, 0, "x")]), few)
+    assert not same["c"].any() and abs(same["d"][0] - np.log(3)) < 1e-12  # two labels, both 1
+    again = [attention.fit_classifier(docs, labels([(i, i % 2, "x") for i in range(1, 20)] + [(7, 0, "x"), (7, 0, "x")]), few) for _ in range(2)]
+    assert all((again[0][k] == again[1][k]).all() for k in again[0]) and again[0]["c"].any()
+    assert not attention.fit_classifier(none, labels([]), few)["c"].any()
+    assert not attention.fit_classifier(docs, labels([]), few)["c"].any()
+
+
+def test_held_out_accuracy(spark):
+    """On the fifth of the labels that was not learned from."""
+    sf = "/root/testdata/sf0.01"
+    scored = attention.classified_documents(spark, sf)
+    assert scored.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    judged = scored.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    assert len(judged) > 50 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in judged)
+    assert np.mean([r["predicted"] == r["quality"] for r in judged]) > 0.95
