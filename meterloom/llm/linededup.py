@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import joined, new_folder, open_file, put_file, slices, written
+from .shared import joined, new_folder, open_file, put_file, remove_folders, slices, written
 
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 HASH = ["h1", "h2"]
@@ -58,8 +58,8 @@ def _hasher(least: int):
             # A line is named once for each document.
             distinct = np.unique(np.column_stack([row, hashes]), axis=0) if len(kept) else np.empty((0, 3), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(distinct[:, 0])), pa.array(distinct[:, 1]), pa.array(distinct[:, 2])],
-                names=["doc_id", *HASH],
+                [batch["doc_id"].take(pa.array(distinct[:, 0])), batch["own"].take(pa.array(distinct[:, 0])), pa.array(distinct[:, 1]), pa.array(distinct[:, 2])],
+                names=["doc_id", "own", *HASH],
             )
 
     return hash_lines
@@ -95,7 +95,8 @@ class LineRuns:
     """The levelled runs below ``folder``; ``add`` takes batches in the order of precedence of their documents.
 
     Runs that a manifest in ``folder`` names are opened again, with the number of buckets they were
-    written with. One writer at a time.
+    written with. A run's rows name the call (a number from 1 on) that added them, so that what an
+    earlier call knows is told from this one's own ids. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, folder: str, fanout: int = 2) -> None:
@@ -104,18 +105,24 @@ class LineRuns:
             with open_file(f"{folder}/manifest.json") as f:
                 manifest = json.loads(f.read())
         except FileNotFoundError:
-            manifest = {"buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "levels": []}
-        self.buckets, self.levels = manifest["buckets"], manifest["levels"]
+            manifest = {"buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "levels": [], "calls": 0}
+        self.buckets, self.levels, self.call = manifest["buckets"], manifest["levels"], manifest["calls"] + 1
+        self.merged: list[str] = []
         for name in self._names():
-            columns = f"h1 bigint, h2 bigint, holder bigint) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS"
+            columns = f"h1 bigint, h2 bigint, holder bigint, call int) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS"
             spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns} LOCATION '{folder}/{name}'")
 
     def _names(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
     def save(self) -> None:
-        """Write the manifest: what was added up to here is there when the runs are opened again."""
-        put_file(f"{self.folder}/manifest.json", [json.dumps({"buckets": self.buckets, "levels": self.levels}).encode()])
+        """Write the manifest: what was added up to here is there when the runs are opened again.
+
+        Then the files of runs that were merged into others are removed, as no manifest names them any more.
+        """
+        put_file(f"{self.folder}/manifest.json", [json.dumps({"buckets": self.buckets, "levels": self.levels, "calls": self.call}).encode()])
+        remove_folders({f"{self.folder}/{name}" for name in self.merged})
+        self.merged = []
 
     def _write(self, run: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -130,23 +137,29 @@ class LineRuns:
                 merged = merged.unionByName(self.spark.table(other))
             self._write(merged.repartition(self.buckets, *HASH), level + 1)
             self._forget(full)
+            self.merged += full
 
     def _forget(self, names: list[str]) -> None:
-        for name in names:  # the tables are external: their files stay, for results still to be read
+        for name in names:  # the tables are external: their files stay
             self.spark.sql(f"DROP TABLE {name}")
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """(doc_id, h1, h2): the lines of the batch to drop. The batch's new lines become a run."""
+        """(doc_id, own, h1, h2): the lines of the batch to drop, from ``lines`` of these columns. The batch's new lines become a run.
+
+        A line that an earlier call knows goes whatever the ids; one of this call stays where its holder has it.
+        """
         firsts = lines.groupBy(*HASH).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
         for i, run in enumerate(self._names()):
-            older = self.spark.table(run).withColumnRenamed("holder", f"holder{i}")
+            older = self.spark.table(run).select(*HASH, F.struct("call", "holder").alias(f"known{i}"))
             firsts = firsts.join(older, HASH, "left")
         n_runs = sum(map(len, self.levels))
-        known = F.coalesce(*[F.col(f"holder{i}") for i in range(n_runs)], F.lit(None)).cast("long").alias("known")
+        known = F.coalesce(*[F.col(f"known{i}") for i in range(n_runs)], F.lit(None).cast("struct<call:int,holder:bigint>")).alias("known")
         looked = written(firsts.select(*HASH, "first", "n", known), new_folder(self.spark, "lines-looked"), "looked")
-        self._write(looked.where("known is null").select(*HASH, F.col("first").alias("holder")).repartition(self.buckets, *HASH), 0)
-        holders = looked.where("known is not null or n > 1").select(*HASH, F.coalesce("known", "first").alias("holder"), "n")
-        return joined(lines, holders, HASH, "n").where("doc_id != holder").select("doc_id", *HASH)
+        new = looked.where("known is null").select(*HASH, F.col("first").alias("holder"), F.lit(self.call).alias("call"))
+        self._write(new.repartition(self.buckets, *HASH), 0)
+        earlier = F.coalesce(F.col("known.call") < self.call, F.lit(False)).alias("earlier")
+        holders = looked.where("known is not null or n > 1").select(*HASH, F.coalesce("known.holder", "first").alias("holder"), earlier, "n")
+        return joined(lines, holders, HASH, "n").where("earlier or doc_id != holder").select("doc_id", "own", *HASH)
 
     def close(self) -> None:
         """Forget the tables' names; their files and the manifest stay."""
@@ -160,8 +173,9 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, ke
     ``least`` code points or more are kept in the smallest id that has them and dropped elsewhere.
     Null and empty texts are one empty line, and a null text comes out null. A null id is smaller
     than no other: its row drops lines that others have, and holds none. Rows that share an id are
-    one document to others and each loses what the other rows' ids hold, nothing to each other. An
-    empty table gives no rows. All batches together give what one would.
+    one document to others and each loses what the other rows' ids hold, nothing to each other; null ids
+    are such rows too, and each is worked on by itself, however many there are. An empty table gives no
+    rows. All batches together give what one would.
 
     With ``runs_folder``, lines of earlier calls with that folder are dropped too, whatever the ids, and
     the lines of this one are there for the next. Without, the runs serve this call alone.
@@ -176,8 +190,9 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, ke
         batch = batch + F.when(F.col("doc_id") > cut, 1).otherwise(0)
     # A null id is no holder; the largest id stands for it.
     last = (1 << 63) - 1
-    slim = slim.withColumn("doc_id", F.coalesce("doc_id", F.lit(last)))
-    hashed = slim.mapInArrow(_hasher(least), "doc_id long, h1 long, h2 long").withColumn("batch", batch)
+    # Rows of one id and equal hashes of the text lose the same lines, should the texts differ too.
+    slim = slim.select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), F.xxhash64("text").alias("own"), "text")
+    hashed = slim.mapInArrow(_hasher(least), "doc_id long, own long, h1 long, h2 long").withColumn("batch", batch)
     path = f"{folder}/hashed"
     hashed.write.partitionBy("batch").parquet(path)
     hashed = spark.read.schema(hashed.schema).parquet(path)
@@ -190,9 +205,10 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, ke
     every = drops[0]
     for more in drops[1:]:
         every = every.unionByName(more)
-    lists = every.groupBy("doc_id").agg(F.collect_list(F.struct(*HASH)).alias("drops"))
-    joined = slim.join(lists, "doc_id", "left").select("doc_id", "text", "drops")
-    out = joined.mapInArrow(_rewriter(least), "doc_id long, n_lines long, n_dropped long, text string")
+    row = ["doc_id", "own"]
+    lists = every.groupBy(*row, *HASH).agg(F.count("*").alias("n")).groupBy(*row).agg(F.collect_list(F.struct(*HASH)).alias("drops"), F.max("n").alias("n"))  # of one text
+    found = joined(slim, written(lists, folder, "lists"), row, "n", "left").select("doc_id", "text", "drops")
+    out = found.mapInArrow(_rewriter(least), "doc_id long, n_lines long, n_dropped long, text string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(last)))
 
 
