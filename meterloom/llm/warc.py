@@ -18,19 +18,25 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2026-01-01T00:00:00Z"
 
 
-def record_id(page_id) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}"
+def record_id(name: str) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}"
 
 
-def warc_record(page_id, url, kind: str, payload: bytes, n_bytes: int, digest: str, refers_to) -> bytes:
-    """One record; a revisit has no block, and names the payload's digest and the record that has it.
+def holder_name(page_id, digest: str) -> str:
+    """The name that gives a record its id which others refer to: one row alone has this page id and payload."""
+    return f"page:{page_id}:{digest}"
 
+
+def warc_record(page_id, url, kind: str, payload: bytes, n_bytes: int, digest: str, refers_to, name: str | None = None, sole: bool = True) -> bytes:
+    """One record, whose id comes from ``name`` (``holder_name`` if not given); a revisit has no block, and names the payload's digest and the record that has it.
+
+    Where the page that a revisit refers to has that payload in several rows (not ``sole``), only the page is named.
     Of a URL only what may not stand in a header is percent-encoded: white space, controls, and what is beyond ASCII.
     """
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{record_id(page_id)}>",
+        f"WARC-Record-ID: <{record_id(name or holder_name(page_id, digest))}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {n_bytes}",
@@ -41,7 +47,8 @@ def warc_record(page_id, url, kind: str, payload: bytes, n_bytes: int, digest: s
         head.append("WARC-Target-URI: " + "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <{record_id(refers_to)}>")
+        if sole:
+            head.append(f"WARC-Refers-To: <{record_id(holder_name(refers_to, digest))}>")
         head.append(f"X-Refers-To-Page-Id: {refers_to}")
     block = b""
     if kind != "revisit":
@@ -89,7 +96,7 @@ def read_seek_table(f) -> list[tuple[int, int, int]]:
     return table
 
 
-INDEX = "row long, page_id long, path string, frame int, frame_at long, frame_bytes int, offset int, length int"
+INDEX = "row long, page_id long, path string, frame int, frame_at long, frame_bytes long, offset long, length long"
 
 
 def _bundler(folder: str, frame_bytes: int, level: int):
@@ -103,7 +110,7 @@ def _bundler(folder: str, frame_bytes: int, level: int):
 
         def chunks():
             compressor = zstandard.ZstdCompressor(level=level, write_content_size=True)
-            waiting, places, at, done = [], [], 0, 0
+            waiting, places, at, done, n = [], [], 0, 0, 0
 
             def frame():
                 nonlocal waiting, places, at, done
@@ -117,9 +124,10 @@ def _bundler(folder: str, frame_bytes: int, level: int):
 
             for batch in batches:
                 for k in range(batch.num_rows):  # one page at a time
-                    row, page_id, url, html, n_bytes, digest, refers_to = (column[k].as_py() for column in batch.columns)
-                    kind = "response" if refers_to is None else "revisit"
-                    record = warc_record(page_id, url, kind, (html or "").encode(), n_bytes, digest, refers_to)
+                    row, page_id, url, html, n_bytes, digest, refers_to, sole = (column[k].as_py() for column in batch.columns)
+                    kind, n = ("response" if refers_to is None else "revisit"), n + 1
+                    name = holder_name(page_id, digest) if kind == "response" and sole else f"{path}:{n}"
+                    record = warc_record(page_id, url, kind, (html or "").encode(), n_bytes, digest, refers_to, name, sole)
                     places.append((row, page_id, at, len(record)))
                     waiting.append(record)
                     at += len(record)
@@ -131,7 +139,7 @@ def _bundler(folder: str, frame_bytes: int, level: int):
 
         put_file(path, chunks())
         columns = list(zip(*index, strict=True)) or [[]] * 8
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 4)
         names = [x.split()[0] for x in INDEX.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -139,7 +147,9 @@ def _bundler(folder: str, frame_bytes: int, level: int):
 
 
 def with_revisits(pages: DataFrame, least: int) -> DataFrame:
-    """Add n_bytes, digest and refers_to: of equal payloads of ``least`` bytes the largest id is kept.
+    """Add n_bytes, digest, refers_to and sole: of equal payloads of ``least`` bytes the largest id is kept.
+
+    ``sole`` says of payloads that several rows have that one row alone has the largest id.
 
     The digests are counted before the join, so a payload that a third of all pages share is one row,
     and pages that have it are dealt to several tasks. Smaller payloads take no part in the join.
@@ -148,13 +158,15 @@ def with_revisits(pages: DataFrame, least: int) -> DataFrame:
         "digest", F.sha1(F.coalesce("html", F.lit("")))
     )
     large, rest = sized.where(F.col("n_bytes") >= least), sized.where(F.col("n_bytes") < least)
-    copies = (
-        large.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("holder"), F.count("*").alias("n_copies")).where("n_copies > 1 and holder is not null")
-    )
+    by_page = large.groupBy("digest", "n_bytes", "page_id").agg(F.count("*").alias("n_rows"))
+    last = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n_rows"))).alias("last")
+    copies = by_page.groupBy("digest", "n_bytes").agg(last, F.sum("n_rows").alias("n_copies")).where("n_copies > 1 and last is not null")
+    copies = copies.select("digest", "n_bytes", F.col("last.page_id").alias("holder"), (F.col("last.n_rows") == 1).alias("sole"), "n_copies")
     copies = written(copies, new_folder(pages.sparkSession, "copies"), "copies")
     refers = F.when(F.col("holder").eqNullSafe(F.col("page_id")), None).otherwise(F.col("holder"))
     found = joined(large, copies, ["digest", "n_bytes"], "n_copies", "left").withColumn("refers_to", refers).drop("holder", "n_copies")
-    return found.unionByName(rest.withColumn("refers_to", F.lit(None).cast("long")))
+    found = found.withColumn("sole", F.coalesce("sole", F.lit(False)))
+    return found.unionByName(rest.withColumn("refers_to", F.lit(None).cast("long")).withColumn("sole", F.lit(False)))
 
 
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 1 << 18, least: int = 1000, level: int = 3) -> DataFrame:
@@ -163,11 +175,12 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 1 << 18, lea
     Columns of the index: page_id, path, frame, frame_at and frame_bytes (the frame's place in the
     bundle), offset and length (the record's place in the decompressed frame), row (a number of the
     input row). Null html is an empty payload, a null id or url leaves out its header; of rows that
-    share a page id and payload each is the response; an empty table gives no record. A record longer
-    than ``frame_bytes`` has a frame of its own.
+    share a page id and payload each is the response, and revisits name their page alone; all records
+    have ids of their own, those of null and repeated pages too; an empty table gives no record. A
+    record longer than ``frame_bytes`` has a frame of its own.
     """
     slim = pages.select("page_id", "url", "html").withColumn("row", F.xxhash64("page_id", "url"))
-    ready = with_revisits(slim, least).select("row", "page_id", "url", "html", "n_bytes", "digest", "refers_to")
+    ready = with_revisits(slim, least).select("row", "page_id", "url", "html", "n_bytes", "digest", "refers_to", "sole")
     return written(ready.mapInArrow(_bundler(folder, frame_bytes, level), INDEX), folder, "index")
 
 
