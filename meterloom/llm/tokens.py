@@ -274,13 +274,16 @@ def write_token_files(
 
     Columns: part, path, bytes, n_docs, n_ids, start (ids in the files before). A file per range of
     keys appears under its name when whole, and a task that runs again writes the same file. A null
-    text has the end id alone; null keys come first; rows that share a key stand in order of text;
+    text has the end id alone; null keys come first; rows that share a key stand in the order of a hash of the text;
     an empty table gives files without documents, or none. Long texts are encoded whole.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text") if in_order else slim
+    if in_order:
+        # Rows of one id are told apart by their texts, and equal rows by their places, or one file would hold them all.
+        slim = slim.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+        slim = slim.repartitionByRange("doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "place").drop("hash", "place")
     files = written(
-        ordered.mapInArrow(_writer(folder, tokenizer, end_id, slice_bytes), "part int, path string, bytes long, n_docs long, n_ids long"), folder, "files"
+        slim.mapInArrow(_writer(folder, tokenizer, end_id, slice_bytes), "part int, path string, bytes long, n_docs long, n_ids long"), folder, "files"
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
