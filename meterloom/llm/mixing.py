@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import first_positions, shared_folder, small
+from .shared import first_positions, joined, new_folder, shared_folder, small, written
 
 #: A Poisson variable of a larger mean is drawn as a sum of several, so that exp(-mean) stays normal.
 LARGEST_MEAN = 500.0
@@ -33,7 +33,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, source:
     mixture has as many bytes as the input, on average. Sources without bytes keep rate 1.
     """
     sizes = docs.groupBy(F.col(source).alias("mix_source")).agg(
-        F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("mix_bytes")
+        F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("mix_bytes"), F.count("*").alias("mix_rows")
     )
     if weights is None:
         weight = F.lit(1.0)
@@ -44,7 +44,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, source:
     whole = sizes.where("mix_bytes > 0").agg(F.sum("mix_bytes").alias("all_bytes"), F.sum(weight).alias("all_weights"))
     rate = weight / F.col("all_weights") * F.col("all_bytes") / F.col("mix_bytes")
     return sizes.crossJoin(F.broadcast(whole)).select(  # whole: one row
-        "mix_source", "mix_bytes", F.when(F.col("mix_bytes") > 0, rate).otherwise(F.lit(1.0)).alias("mix_rate")
+        "mix_source", "mix_bytes", "mix_rows", F.when(F.col("mix_bytes") > 0, rate).otherwise(F.lit(1.0)).alias("mix_rate")
     )
 
 
@@ -77,6 +77,29 @@ def bucket_digits(n_bytes: int) -> int:
     return digits
 
 
+def with_draws(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(record, draw, place) of each row: the names by which its copies are drawn and ordered.
+
+    Both are the key, or a digest of the text where that is null. Rows that share such a name get
+    their number beside it in ``place``, so that their copies are dealt out, and rows that are equal in
+    text as well also in ``draw``. They are written with it, so a task that runs again finds the same.
+    """
+    folder = new_folder(docs.sparkSession, "mixing")
+    digest = lambda column: F.concat(F.lit("null:"), F.md5(F.coalesce(column, F.lit(""))))
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("draw")).unionByName(docs.where(F.col(key).isNull()).select(digest(F.col(text)).alias("draw")))
+    shared = written(named.groupBy("draw").agg(F.count("*").alias("mix_n")).where("mix_n > 1"), folder, "shared")
+    rows = docs.select(F.struct("*").alias("record")).withColumn("draw", F.coalesce(F.col(f"record.{key}").cast("string"), digest(F.col(f"record.{text}"))))
+    if shared.isEmpty():
+        return rows.withColumn("place", F.col("draw"))
+    shared = small(shared, BROADCAST_ROWS)
+    again = joined(rows, shared, ["draw"], "mix_n").select("record", "draw", F.xxhash64(f"record.{text}").alias("same"), F.monotonically_increasing_id().cast("string").alias("turn"))
+    again = written(again, folder, "again")
+    equal = small(written(again.groupBy("draw", "same").agg(F.count("*").alias("mix_n")).where("mix_n > 1"), folder, "equal"), BROADCAST_ROWS)
+    place = F.concat_ws("#", "draw", "turn")
+    again = joined(again, equal, ["draw", "same"], "mix_n", "left").select("record", F.when(F.col("mix_n").isNull(), F.col("draw")).otherwise(place).alias("draw"), place.alias("place"))
+    return rows.join(shared.select("draw"), "draw", "left_anti").select("record", "draw", F.col("draw").alias("place")).unionByName(again)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -91,32 +114,33 @@ def mix_sources(
     ``position`` (0, 1 ... over all copies, a random order; rows are laid out by it).
 
     Nulls: a null source is a source of its own; a null key is replaced by a digest of the text; a null
-    text has no bytes. Rows that repeat a key draw the same number and each get so many copies; copies
-    of one number stand in the order of a hash of all their columns. An empty table gives no rows.
+    text has no bytes. Rows that repeat a key with other texts draw the same number and each get so many
+    copies; rows that repeat key and text draw a number each, which depends on their place in ``docs``.
+    Copies of either stand apart in the order. An empty table gives no rows.
     """
     shared_folder(docs.sparkSession)  # sets the checkpoint folder where there is none
     found = with_steps(repetition_rates(docs, weights, source, text)).checkpoint()
     digits = bucket_digits(found.agg(F.sum("mix_bytes").alias("n")).first()["n"] or 0)
-    rates = small(found, 10_000)
-    ident = F.coalesce(F.col(f"record.{key}").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(f"record.{text}"), F.lit("")))))
+    rates = small(found.withColumn("mix_key", F.coalesce(F.concat(F.lit("="), F.col("mix_source")), F.lit(""))).drop("mix_source", "mix_bytes"), 10_000)
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("mix_parts") - 1),
         F.lit(0),
         lambda n, part: n
         + F.aggregate(
-            F.array(uniform(F.lit(str(seed)), F.lit("draw"), part.cast("string"), ident)),
+            F.array(uniform(F.lit(str(seed)), F.lit("draw"), part.cast("string"), F.col("draw"))),
             F.lit(0),
             lambda _, u: F.size(F.filter("mix_steps", lambda c: c <= u)),
         ),
     )
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string"), ident))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string"), F.col("place")))
+    sourced = with_draws(docs, key, text).withColumn("mix_key", F.coalesce(F.concat(F.lit("="), F.col(f"record.{source}")), F.lit("")))
     copies = (
-        docs.select(F.struct("*").alias("record"))
-        .join(rates, F.col(f"record.{source}").eqNullSafe(F.col("mix_source")))
-        .select("record", drawn.alias("n"))
+        joined(sourced, rates, ["mix_key"], "mix_rows")
+        .select("record", "place", drawn.alias("n"))
         .where("n > 0")
-        .select("record", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+        .select("record", "place", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
         .withColumn("order_key", order)
+        .drop("place")
         .withColumn("bucket", F.conv(F.substring("order_key", 1, digits), 16, 10).cast("long"))
     )
     firsts = first_positions(copies.groupBy("bucket").agg(F.count("*").alias("n")))
