@@ -1,0 +1,106 @@
+"""Many rows that share a null id or one value: results as for any others, and no task with all of them."""
+
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from meterloom.llm import linededup, mixing, tokens, warc
+from meterloom.llm.shared import new_folder, open_file
+
+from .test_operators import lines_left, tokenizer
+
+
+def test_lines_of_repeated_ids_over_crawls(spark):
+    """What an earlier call knows goes, though the later row has the holder's id, or neither has one."""
+    folder = new_folder(spark, "t")
+    crawls = [
+        [(5, "held by document five\nshort"), (None, "held by no document\nbut this one")],
+        [(5, "Held by document five\nnew of the second five"), (7, "held by document five\nits own line"), (None, "held by no document\nnew of the second crawl")],
+        [(None, "new of the second crawl"), (5, "new of the second five\nits OWN line\nlast")],
+    ]
+    left = []
+    for crawl in crawls:
+        out = linededup.drop_repeated_lines(spark.createDataFrame(crawl, "doc_id long, text string"), n_batches=2, runs_folder=folder)
+        left.append({(r["doc_id"], r["text"]) for r in out.collect()})
+    assert left == [set(crawls[0]), {(5, "new of the second five"), (7, "its own line"), (None, "new of the second crawl")}, {(None, ""), (5, "last")}]
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(folder)
+    runs = [f.base_name for f in where.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("line_run_")]
+    with open_file(f"{folder}/manifest.json") as f:
+        assert all(name in f.read().decode() for name in runs[:1]) and len(runs) <= 4
+
+
+def test_lines_of_many_null_ids(spark):
+    """A third of the rows without an id, some equal: each is worked on by itself."""
+    rows = [(i if i % 3 else None, f"line of all the documents\nline of number {i // 2}\nx{i % 7} is repeated too") for i in range(1500)]
+    rows += [(None, "the same text in many rows\nline of number 3")] * 300
+    got = linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == Counter(lines_left(rows))
+
+
+def test_token_files_of_null_ids(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(None, "")] * 1500 + [(None, f"text {i}") for i in range(500)] + [(i, "a b") for i in range(1000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        files = tokens.write_token_files(docs, new_folder(spark, "t"), tokenizer()[0]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [f["n_docs"] for f in files]
+    assert sum(sizes) == 3000 and max(sizes) < 1500
+
+
+def test_mixing_equal_rows(spark):
+    """Equal rows draw a number each and are dealt out; rows of one id with other texts draw the same."""
+    equal = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"), F.lit("s").alias("source"))
+    other = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("text of ten").alias("text"), F.lit("t").alias("source"))
+    one_id = spark.range(500).select(F.lit(-1).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix_sources(equal.unionByName(other).unionByName(one_id), {"s": 1.0, "t": 2.0})
+    rows = got.select("record.*", "copy", "position").collect()
+    assert sorted(r["position"] for r in rows) == list(range(len(rows)))
+    nulls = sorted(r["position"] for r in rows if r["doc_id"] is None)
+    drawn = Counter(r["copy"] for r in rows if r["doc_id"] is None)
+    assert len(nulls) > 10_000 and len(set(drawn.values())) > 5  # copy k has as many rows as drew more than k
+    apart = [b - a for a, b in zip(nulls, nulls[1:], strict=False)]
+    assert max(nulls) - min(nulls) > 0.95 * len(rows) and max(apart) < 60
+    assert len(set(Counter(r["text"] for r in rows if r["doc_id"] == -1).values())) <= 1
+    many = equal.limit(10).unionByName(spark.range(40).select((F.col("id") % 20).alias("doc_id"), F.lit("text").alias("text"), F.concat(F.lit("source"), F.col("id")).alias("source")))
+    counts = Counter(r["record"]["source"] for r in mixing.mix_sources(many).collect())
+    assert set(counts) - {"s"} <= {f"source{i}" for i in range(40)}
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Rates that are not broadcast give the same copies."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("ten bytes.").alias("text"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 40)).alias("source"))
+    want = sorted((r["record"]["doc_id"], r["copy"], r["position"]) for r in mixing.mix_sources(docs).collect())
+    monkeypatch.setattr(mixing, "small", lambda frame, rows: frame)
+    assert sorted((r["record"]["doc_id"], r["copy"], r["position"]) for r in mixing.mix_sources(docs).collect()) == want
+
+
+def test_record_ids(spark):
+    """Every record has its own id; a revisit names the one record that has its payload, or the page alone."""
+    big, twice = "<p>" + "x" * 2000, "<p>" + "y" * 2000
+    pages = [(None, "u", big), (None, "u", big), (1, "u", big), (2, "u", big), (3, "u", twice), (4, "u", twice), (4, "u", twice), (4, "u", "other"), (5, None, None), (5, None, None), (6, "u", "z" * 3000)]
+    folder = new_folder(spark, "t")
+    index = warc.write_bundles(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), folder)
+    import zstandard
+
+    found = []
+    for path in {r["path"] for r in index.collect()}:
+        with open_file(path) as f:
+            for at, packed, size in warc.read_seek_table(f):
+                f.seek(at)
+                data, k = zstandard.ZstdDecompressor().decompress(f.read(packed), max_output_size=size), 0
+                while k < len(data):
+                    headers, _, k = warc.parse_record(data, k)
+                    found.append(headers)
+    ids = {h["WARC-Record-ID"]: h for h in found}
+    assert len(ids) == len(found) == len(pages)
+    revisits = [h for h in found if h["WARC-Type"] == "revisit"]
+    assert Counter((h.get("X-Page-Id"), h["X-Refers-To-Page-Id"]) for h in revisits) == Counter({(None, "2"): 2, ("1", "2"): 1, ("3", "4"): 1})
+    for h in revisits:
+        target = ids.get(h.get("WARC-Refers-To"))
+        assert (target is None) == (h["X-Refers-To-Page-Id"] == "4")
+        assert target is None or (target["X-Page-Id"], target["WARC-Type"], target["WARC-Payload-Digest"]) == ("2", "response", h["WARC-Payload-Digest"])
+    assert warc.read_records(index).count() == len(pages)
