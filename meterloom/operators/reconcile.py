@@ -12,40 +12,60 @@ NEAR_MS = 600_000
 FILLED = ("cache_creation_5m_tokens", "cache_creation_1h_tokens")
 
 
-def reconcile_requests(arrivals: DataFrame) -> DataFrame:
-    """One row for each request id; rows without an id all stay.
+def fold_arrivals(arrivals: DataFrame) -> DataFrame:
+    """The state of each request: (request_id, live, live_at, old, old_at), the first live row and the first backfilled one with their arrivals.
 
-    ``arrivals`` has the columns of requests and ``arrival``, a number that orders rows of one
-    source. The first live row wins; the first backfilled row gives the 5m/1h split and a missing
-    query source, and the whole row where nothing is live.
+    A row without an id is a state of its own.
     """
     columns = [c for c in arrivals.columns if c != "arrival"]
-    keyed = arrivals.where("request_id is not null")
-    row = F.struct(*columns)
-    first = lambda source: F.min_by(F.when(F.col("source") == source, row), F.when(F.col("source") == source, F.col("arrival")))
-    grouped = keyed.groupBy("request_id").agg(first(LIVE).alias("live"), first(BACKFILL).alias("old"))
+    of = lambda source, value: F.when(F.col("source") == source, value)
+    sides = {"live": of(LIVE, F.struct(*columns)), "live_at": of(LIVE, F.col("arrival")), "old": of(BACKFILL, F.struct(*columns)), "old_at": of(BACKFILL, F.col("arrival"))}
+    return merge_states(arrivals.select("request_id", *[value.alias(name) for name, value in sides.items()]))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state for each id from several; the result does not depend on their order or on how they were merged before."""
+    firsts = [x for side in ("live", "old") for x in (F.min_by(side, f"{side}_at").alias(side), F.min(f"{side}_at").alias(f"{side}_at"))]
+    return states.where("request_id is not null").groupBy("request_id").agg(*firsts).unionByName(states.where("request_id is null"))
+
+
+def requests_of(states: DataFrame) -> DataFrame:
+    """The requests of states: the live row, with what only the backfilled one has, or else that one."""
 
     def pick(name: str) -> Column:
         if name in FILLED or name == "query_source":
             return F.coalesce(F.col("live")[name], F.col("old")[name])
         return F.when(F.col("live").isNotNull(), F.col("live")[name]).otherwise(F.col("old")[name])
 
-    merged = grouped.select(*[pick(c).alias(c) for c in columns])
-    return merged.unionByName(arrivals.where("request_id is null").select(*columns))
+    return states.select(*[pick(f.name).alias(f.name) for f in states.schema["live"].dataType])
+
+
+def reconcile_requests(arrivals: DataFrame) -> DataFrame:
+    """One row for each request id; rows without an id all stay.
+
+    ``arrivals`` has the columns of requests and ``arrival``, a number that orders rows of one
+    source. The first live row wins; the first backfilled row gives the 5m/1h split and a missing
+    query source, and the whole row where nothing is live.
+    """
+    return requests_of(fold_arrivals(arrivals))
 
 
 def reconcile_actions(arrivals: DataFrame) -> DataFrame:
-    """What each arrival did: inserted, took over a backfilled row, filled fields in, or changed nothing."""
+    """What each arrival did: inserted, took over a backfilled row, filled fields in, or changed nothing.
+
+    Rows without an id, which are all inserted, stay out of the windows.
+    """
     order = Window.partitionBy("request_id").orderBy("arrival", "source")
     live_first = F.min(F.when(F.col("source") == LIVE, F.col("arrival"))).over(Window.partitionBy("request_id"))
-    ranked = arrivals.withColumn("k", F.row_number().over(order)).withColumn("live_first", live_first)
+    ranked = arrivals.where("request_id is not null").withColumn("k", F.row_number().over(order)).withColumn("live_first", live_first)
     action = (
-        F.when(F.col("request_id").isNull() | (F.col("k") == 1), "inserted")
+        F.when(F.col("k") == 1, "inserted")
         .when((F.col("source") == LIVE) & (F.col("arrival") == F.col("live_first")), "took over")
         .when((F.col("source") == BACKFILL) & F.col("cache_creation_5m_tokens").isNotNull(), "filled")
         .otherwise("unchanged")
     )
-    return ranked.withColumn("action", action).drop("k", "live_first")
+    known = ranked.withColumn("action", action).drop("k", "live_first")
+    return known.unionByName(arrivals.where("request_id is null").withColumn("action", F.lit("inserted")))
 
 
 def pass_summary(actions: DataFrame) -> DataFrame:

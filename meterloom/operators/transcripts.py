@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.parsing import rfc3339_ms, whole_number
+from ..sources.files import work_folder
 
 USAGE = "input_tokens string, output_tokens string, cache_read_input_tokens string, cache_creation_input_tokens string, cache_creation struct<ephemeral_5m_input_tokens:string,ephemeral_1h_input_tokens:string>"
 ENVELOPE = (
@@ -177,7 +178,7 @@ def request_chains(requests: DataFrame, messages: DataFrame, hops: int = 64) ->
     Each round is checkpointed. A request without a message has no turns.
     """
     spark = requests.sparkSession
-    _checkpoint_folder(spark)
+    work_folder(spark, "chains")  # sets the checkpoint folder where there is none
     nodes = messages.select("uuid", "parent_uuid")
     parents = nodes.select(F.col("uuid").alias("parent"), F.lit(True).alias("known"))
     up = nodes.join(parents, F.col("parent_uuid") == F.col("parent"), "left").select(
@@ -209,13 +210,3 @@ def request_chains(requests: DataFrame, messages: DataFrame, hops: int = 64) ->
         (F.col("path").isNotNull() & ~F.coalesce("lost", F.lit(False)) & F.col("next").isNull() & ~long).alias("chain_complete"),
         F.reverse(kept).alias("uuids"),
     )
-
-
-def _checkpoint_folder(spark: SparkSession) -> None:
-    """The folder of ``spark.checkpoint.dir``; in local mode one of our own where that is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))

@@ -11,7 +11,8 @@ from ..functions.calendar import DAY_MS, EPOCH, clamped_days, is_quiet, local_da
 from ..functions.parsing import iso_ms, project_name
 from ..operators import alerts, budgets, pricing, reconcile, rollups, transcripts
 from ..operators.facets import Facets, apply_facets, date_bounds
-from ..sources import exports, telemetry
+from ..sources import exports, tables, telemetry
+from ..sources.files import work_folder
 from .testbed import (
     ARRIVALS_SQL, MESSAGES_SQL, NOW_MS, ORDER_REQUESTS_SQL, REQUESTS_SQL, SESSIONS_SQL, arrivals, messages, order_requests, requests, sessions,
 )
@@ -74,6 +75,15 @@ faceted("usage_summary_unknown_project", Facets.preset("month", MIDNIGHT, unknow
 faceted("usage_summary_with_session", Facets(sessionless=False), "session_id IS NOT NULL")
 
 
+@query("stored_month_summary", SQL["usage_summary_project"])
+def _(spark, d):
+    """A month of a project from the table by day, of which only the month's folders are read."""
+    days = tables.DayTable(spark, work_folder(spark, "days"))
+    days.replace(requests(spark, d))
+    facets = Facets.preset("month", MIDNIGHT, project="/home/dev/NATION_3")
+    return rollups.usage_summary(apply_facets(days.read(facets), sessions(spark, d), facets))
+
+
 @query("line_usage_summary", cents_sql(f"WITH {ORDER_REQUESTS_SQL}", f"SELECT {SUMS}, count(DISTINCT session_id) AS sessions FROM requests WHERE query_source IS DISTINCT FROM 'subagent'"))
 def _(spark, d):
     r, s = order_requests(spark, d)
@@ -381,6 +391,18 @@ def _(spark, d):
     return merged.select("request_id", "output_tokens", "source", "query_source", "cache_creation_5m_tokens")
 
 
+@query("stored_requests", SQL["reconcile_requests"])
+def _(spark, d):
+    """The reconciled requests from the store, into which the arrivals went in three batches of each source."""
+    a, store = arrivals(spark, d), tables.RequestStore(spark, work_folder(spark, "requests"))
+    last = F.lit(a.agg(F.max("arrival")).first()[0] or 0)
+    for i in range(3):
+        for source in (reconcile.LIVE, reconcile.BACKFILL):
+            batch = a.where((F.col("source") == source) & (F.floor(F.greatest("arrival", F.lit(0)) * 3 / (last + 1)) == i))
+            store.upsert(batch, source, i)
+    return store.requests().select("request_id", "output_tokens", "source", "query_source", "cache_creation_5m_tokens")
+
+
 @query(
     "reconcile_pass_summary",
     f"""WITH {ARRIVALS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY arrival, source) AS k, min(arrival) FILTER (source = 'otel') OVER (PARTITION BY request_id) AS lf FROM arrivals),

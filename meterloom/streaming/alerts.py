@@ -121,10 +121,10 @@ def stream_alerts(requests: DataFrame, rules: AlertRules, key: str = "model", zo
     """Alerts (key, kind, timestamp_ms, spend, steps) of a stream of requests with a key.
 
     ``initial`` (key, month, spend, steps) sets the month's steps after a backfill, so what was
-    recovered raises nothing. The state store must be RocksDB. With the silence alert there is
+    recovered raises nothing. Rows without a key are a key of their own. The state store must be RocksDB. With the silence alert there is
     always another batch to come, so run that with a trigger interval, not with ``availableNow``.
     """
-    slim = requests.where(F.col(key).isNotNull()).select(
+    slim = requests.select(
         F.col(key).alias("key"), "timestamp_ms", "cost_usd", month_key("timestamp_ms", zone).alias("month"), is_quiet(F.col("timestamp_ms"), F.lit(quiet[0]), F.lit(quiet[1]), zone).alias("quiet")
     )
     return slim.groupBy("key").transformWithStateInPandas(
@@ -138,7 +138,7 @@ def stream_alerts(requests: DataFrame, rules: AlertRules, key: str = "model", zo
 
 def month_baseline(requests: DataFrame, step: float, month: str, key: str = "model", zone: str = "UTC") -> DataFrame:
     """(key, month, spend, steps) of a month so far, as the initial state of ``stream_alerts``."""
-    own = requests.where(month_key("timestamp_ms", zone) == month).where(F.col(key).isNotNull())
+    own = requests.where(month_key("timestamp_ms", zone) == month)
     spent = own.groupBy(F.col(key).alias("key")).agg(F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("spend"))
     steps = F.when((F.lit(step) > 0) & (F.col("spend") > 0), F.floor(F.col("spend") / F.lit(step or 1.0))).otherwise(0).cast("long")
     return spent.select("key", F.lit(month).alias("month"), "spend", steps.alias("steps"))
