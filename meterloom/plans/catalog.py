@@ -802,6 +802,26 @@ def _(spark, d):
     return alerts.burst_alerts(requests(spark, d), alerts.BurstRule(250.0, 30, 15))
 
 
+@query("spend_before_requests", f"WITH {REQUESTS_SQL} SELECT DISTINCT model, timestamp_ms AS now_ms, round(coalesce(sum(cost_usd) OVER (PARTITION BY model ORDER BY timestamp_ms RANGE BETWEEN 1800000 PRECEDING AND 1 PRECEDING), 0), 6) AS spend FROM requests")
+def _(spark, d):
+    """What each model spent in the half hour before each of its requests, the request itself left out."""
+    r = requests(spark, d)
+    return alerts.spend_before(r, r.select("model", F.col("timestamp_ms").alias("now_ms")), 1_800_000)
+
+
+@query(
+    "burst_alerts_by_second",
+    f"""WITH RECURSIVE {REQUESTS_SQL}, t AS (SELECT model, (timestamp_ms // 1000 + 1) * 1000 AS now_ms, sum(cost_usd) AS cost FROM requests WHERE cost_usd IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT * FROM (SELECT model, now_ms, round(sum(cost) OVER (PARTITION BY model ORDER BY now_ms RANGE BETWEEN 1799000 PRECEDING AND CURRENT ROW), 6) AS spend FROM t) WHERE spend >= 250), fired AS (
+  SELECT model, min(now_ms) AS now_ms FROM x GROUP BY model
+  UNION ALL
+  SELECT f.model, (SELECT min(now_ms) FROM x WHERE x.model = f.model AND x.now_ms >= f.now_ms + 900000) FROM fired f WHERE EXISTS (SELECT 1 FROM x WHERE x.model = f.model AND x.now_ms >= f.now_ms + 900000)
+) SELECT model, now_ms, spend FROM fired JOIN x USING (model, now_ms)""",
+)
+def _(spark, d):
+    return alerts.bursts(requests(spark, d), alerts.BurstRule(250.0, 30, 15), tick_ms=1000)
+
+
 @query("above_alert_floor", f"WITH {REQUESTS_SQL} SELECT request_id FROM requests WHERE timestamp_ms >= {NOW_MS - 6 * 3600000}")
 def _(spark, d):
     return alerts.above_floor(requests(spark, d), NOW_MS, DAY_MS, NOW_MS - 6 * 3_600_000).select("request_id")

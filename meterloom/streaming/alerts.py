@@ -18,18 +18,22 @@ ALERTS = "key string, kind string, timestamp_ms long, spend double, steps long"
 
 @dataclass(frozen=True)
 class AlertRules:
-    """``step`` of 0 turns steps off; ``silence_minutes`` of 0 the silence alert; rows before ``floor_ms`` raise nothing."""
+    """``step`` of 0 turns steps off; ``silence_minutes`` of 0 the silence alert; rows before ``floor_ms`` raise nothing.
+
+    Windows are whole ticks of ``tick_ms`` and end with the tick of the row that is evaluated.
+    """
 
     burst: BurstRule = BurstRule()
     step: float = 0.0
     silence_minutes: float = 0
     floor_ms: int = 0
+    tick_ms: int = MINUTE_MS
 
 
 class AlertProcessor(StatefulProcessor):
-    """Rows of a key, summed by minute; state: sums by minute, the end of the cooldown, the month's spend and step.
+    """Rows of a key, summed by tick (a minute by default); state: sums by tick, the end of the cooldown, the month's spend and step.
 
-    Alerts are evaluated at the last row of each minute, as the batch twins do. The sums that have
+    Alerts are evaluated at the last row of each tick, as the batch twins do. The sums that have
     left the window are dropped with every batch, so a key's state is as long as the window. A quiet
     crossing fires nothing and leaves the cooldown unarmed; a quiet step counts as passed. A new month
     starts without an alert.
@@ -54,7 +58,7 @@ class AlertProcessor(StatefulProcessor):
         newest = self.last.get()[0] if self.last.exists() else 0
         parts = []
         for part in rows:  # what is kept of each part is a row for each minute
-            own = part.assign(minute=part.timestamp_ms // MINUTE_MS, cost=part.cost_usd.fillna(0.0).astype(float)).sort_values("timestamp_ms")
+            own = part.assign(minute=part.timestamp_ms // self.rules.tick_ms, cost=part.cost_usd.fillna(0.0).astype(float)).sort_values("timestamp_ms")
             own["live"] = own.cost.where(own.timestamp_ms >= rules.floor_ms, 0.0)
             parts.append(own.groupby(["month", "minute"], as_index=False).agg(cost=("cost", "sum"), live=("live", "sum"), at=("timestamp_ms", "last"), quiet=("quiet", "last")))
         if parts:
@@ -96,13 +100,14 @@ class AlertProcessor(StatefulProcessor):
         sums = kept.add(live["live"], fill_value=0.0).sort_index()
         ran, places = sums.cumsum().to_numpy(), sums.index.to_numpy()
         ends = places.searchsorted(live.index.to_numpy(), "right")
-        starts = places.searchsorted(live.index.to_numpy() - burst.window_minutes, "right")
+        span = burst.window_minutes * MINUTE_MS // rules.tick_ms
+        starts = places.searchsorted(live.index.to_numpy() - span, "right")
         rolling = [float(ran[e - 1] - (ran[b - 1] if b else 0.0)) for b, e in zip(starts, ends, strict=True)]
         for at, quiet, spend in zip(live["at"], live["quiet"], rolling, strict=True):
             if round(spend, 6) >= burst.threshold and at >= until and not quiet:
                 fired.append((key, "burst", int(at), round(spend, 6), None))
                 until = int(at) + burst.cooldown_minutes * MINUTE_MS
-        oldest = newest // MINUTE_MS - burst.window_minutes
+        oldest = newest // rules.tick_ms - span
         self.minutes.clear()
         for minute, cost in sums[sums.index > oldest].items():
             self.minutes.updateValue((int(minute),), (float(cost),))
