@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.files import work_folder
+
 LIVE, BACKFILL = "otel", "backfill"
 NEAR_MS = 600_000
 FILLED = ("cache_creation_5m_tokens", "cache_creation_1h_tokens")
@@ -185,3 +187,70 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, within_ms: int = 2000) -> D
     r_rows = right.select(F.col("request_id").alias("right_id"), F.col("timestamp_ms").alias("right_ms"), *keys, cell.alias("cell"))
     near = F.abs(F.col("left_ms") - F.col("right_ms")) <= within_ms
     return l_rows.join(r_rows, [*keys, "cell"]).where(near & (F.col("left_id") != F.col("right_id"))).select("left_id", "right_id", (F.col("right_ms") - F.col("left_ms")).alias("apart_ms"))
+
+
+SIGNATURE = ("session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
+SALTS = 64
+
+
+def nearest_matches(left: DataFrame, right: DataFrame, within_ms: int = 2000, keys: tuple[str, ...] = SIGNATURE) -> DataFrame:
+    """(left_id, right_id, apart_ms): rows of equal ``keys`` at most ``within_ms`` apart, each row in one match at most.
+
+    Nearest rows first: of all pairs that are left, the one of the smallest distance, and of equal ones the
+    earliest, is matched next, until no pair is near enough. ``left`` and ``right`` have ``id`` and
+    ``timestamp_ms``. A null key or time matches nothing; rows that are equal in keys and time are matched in
+    order of a hash of their id, so n of each side give n matches.
+
+    No pairs are made. Rows are counted by keys and millisecond; each round matches the neighbours that are
+    nearest to each other, all at once, with as many rows as the fewer of them has. Rounds are few, as
+    each removes one side of every mutual pair; each is written.
+    """
+    spark = left.sparkSession
+    folder, given, keys = work_folder(spark, "nearest"), keys, [f"key{i}" for i in range(len(keys))]
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        slim = rows.select("id", F.col("timestamp_ms").alias("at"), *[F.col(g).alias(k) for g, k in zip(given, keys, strict=True)]).dropna(subset=["at", *keys])
+        return slim.withColumn("side", F.lit(name)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+
+    # A number for each row among its equals: within a salt, after the salts before.
+    rows = side(left, "l").unionByName(side(right, "r"))
+    equal = [*keys, "side", "at"]
+    salts = rows.groupBy(*equal, "salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*equal).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    salts = salts.withColumn("before", before)
+    numbered = rows.withColumn("own", F.row_number().over(Window.partitionBy(*equal, "salt").orderBy("id"))).join(salts, [*equal, "salt"])
+    numbered = numbered.select(*equal, "id", (F.col("before") + F.col("own") - 1).alias("k"))
+    open_rows = salts.groupBy(*equal).agg(F.sum("n").alias("n")).withColumn("used", F.lit(0).cast("bigint"))
+    matched, turn = None, 0
+    while True:
+        order = Window.partitionBy(*keys).orderBy("at", "side")
+        earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+        other = {"l": F.when(F.col("side") == "r", F.col("at")), "r": F.when(F.col("side") == "l", F.col("at"))}
+        facing = lambda pick, window: F.when(F.col("side") == "l", pick(other["l"], True).over(window)).otherwise(pick(other["r"], True).over(window))
+        near = open_rows.withColumn("back", F.col("at") - facing(F.last, earlier)).withColumn("ahead", facing(F.first, later) - F.col("at"))
+        # The nearer of both neighbours, the earlier of two as near.
+        to_next = F.col("ahead").isNotNull() & (F.col("back").isNull() | (F.col("ahead") < F.col("back"))) & (F.col("ahead") <= within_ms)
+        to_last = F.col("back").isNotNull() & (F.col("ahead").isNull() | (F.col("back") <= F.col("ahead"))) & (F.col("back") <= within_ms)
+        # What is nearest to each other stands side by side.
+        near = near.withColumn("next", to_next).withColumn("last", to_last).withColumns(
+            {"pair_next": F.col("next") & F.lead("last").over(order) & (F.lead("at").over(order) - F.col("at") == F.col("ahead")),
+             "pair_last": F.col("last") & F.lag("next").over(order) & (F.col("at") - F.lag("at").over(order) == F.col("back"))}
+        )
+        mate = lambda name: F.when(F.col("pair_next"), F.lead(name).over(order)).when(F.col("pair_last"), F.lag(name).over(order))
+        near = near.withColumns({"mate_at": mate("at"), "mate_n": mate("n"), "mate_used": mate("used")}).withColumn("taken", F.when(F.col("mate_n").isNotNull(), F.least("n", "mate_n")).otherwise(0))
+        near.select(*equal, "n", "used", "taken", "mate_at", "mate_used").write.parquet(f"{folder}/{turn}")
+        done = spark.read.parquet(f"{folder}/{turn}")
+        pairs = done.where("side = 'l' and taken > 0").select(*keys, F.col("at").alias("l_at"), F.col("used").alias("l_used"), F.col("mate_at").alias("r_at"), F.col("mate_used").alias("r_used"), "taken")
+        if pairs.isEmpty():
+            break
+        matched = pairs if matched is None else matched.unionByName(pairs)
+        open_rows = done.select(*equal, (F.col("n") - F.col("taken")).alias("n"), (F.col("used") + F.col("taken")).alias("used")).where("n > 0")
+        turn += 1
+    if matched is None:
+        matched = pairs
+    # Rows of either side by their numbers: each of the rounds took the next ones.
+    row = lambda name: numbered.where(F.col("side") == name).select(*keys, F.col("at").alias(f"{name}_at"), F.col("k").alias(f"{name}_k"), F.col("id").alias(f"{name}_id"))
+    each = matched.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("taken") - 1)).alias("i"))
+    each = each.withColumn("l_k", F.col("l_used") + F.col("i")).withColumn("r_k", F.col("r_used") + F.col("i"))
+    found = each.join(row("l"), [*keys, "l_at", "l_k"]).join(row("r"), [*keys, "r_at", "r_k"])
+    return found.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), (F.col("r_at") - F.col("l_at")).alias("apart_ms"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.parsing import double_value, event_name, event_time_ms, first_attribute, int_value, reset_time_ms
 
@@ -39,21 +39,37 @@ def log_records(bodies: DataFrame) -> DataFrame:
     )
 
 
-def parse_otlp_events(records: DataFrame) -> DataFrame:
-    """Request columns with ``status``: ok, skipped (another event) or failed (no session or no time).
+def parse_bodies(bodies: DataFrame) -> DataFrame:
+    """All that became of export bodies, in one pass: the columns of ``parse_otlp_events``, and ``body`` and ``failure``.
+
+    A body that is no JSON is a row of the status ``rejected`` with its ``body``, which all other rows leave
+    null; ``failure`` says why an event failed. A body without records has no row.
+    """
+    top = bodies.select("body", F.from_json("body", BODY).alias("b"))
+    # Only what has no records is parsed a second time.
+    rejected = F.col("b.resourceLogs").isNull() & F.try_parse_json("body").isNull()
+    logs = top.select(F.when(rejected, F.coalesce("body", F.lit(""))).alias("body"), F.explode_outer("b.resourceLogs").alias("r"))
+    records = logs.select("body", F.explode_outer("r.scopeLogs").alias("s")).select("body", F.explode_outer("s.logRecords").alias("record"))
+    events = parse_otlp_events(records.where("body is not null or record is not null"), "body")
+    events = events.withColumn("status", F.when(F.col("body").isNotNull(), "rejected").otherwise(F.col("status")))
+    return events.withColumn("failure", F.when(F.col("status") == "failed", failure_text()))
+
+
+def parse_otlp_events(records: DataFrame, *more: str) -> DataFrame:
+    """Request columns with ``status``: ok, skipped (another event) or failed (no session or no time), and the columns ``more`` of the records.
 
     Only these attributes are read: whatever names a user or an organisation is left behind.
     """
     # Generators, so that an attribute is looked for once, however often its value is read.
     values = [first_attribute(F.col("record.attributes"), key).alias(key.replace(".", "_")) for key in ATTRIBUTES]
-    found = records.select("record", F.explode(F.array(F.struct(*values))).alias("a"))
+    found = records.select("record", *more, F.explode(F.array(F.struct(*values))).alias("a"))
     text = lambda key: F.col(f"a.{key}.stringValue")
     facts = F.struct(
         event_name(text("event_name"), F.col("record.body.stringValue")).alias("name"),
         F.nullif(text("session_id"), F.lit("")).alias("session"),
         event_time_ms(F.col("record")).alias("time"),
     )
-    found = found.select("a", F.explode(F.array(facts)).alias("f"))
+    found = found.select("a", *more, F.explode(F.array(facts)).alias("f"))
     missing = F.concat_ws(", ", F.when(F.col("f.session").isNull(), F.lit("no session")), F.when(F.col("f.time").isNull(), F.lit("no time")))
     status = F.when(~F.coalesce(F.col("f.name").isin(*KEPT_EVENTS), F.lit(False)), "skipped").when(missing != "", "failed").otherwise("ok")
     count = lambda key: F.coalesce(int_value(F.col(f"a.{key}")), F.lit(0)).alias(key)
@@ -75,24 +91,34 @@ def parse_otlp_events(records: DataFrame) -> DataFrame:
         int_value(F.col("a.duration_ms")).alias("duration_ms"),
         F.lit("otel").alias("source"),
         status.alias("status"),
+        *more,
     )
 
 
+def failure_text() -> Column:
+    """Why an event failed: its kind, its request and what it lacks."""
+    missing = F.concat_ws(", ", F.when(F.col("session_id").isNull(), F.lit("no session")), F.when(F.col("timestamp_ms").isNull(), F.lit("no time")))
+    return F.concat(F.coalesce("event_type", F.lit("")), F.lit(" "), F.coalesce("request_id", F.lit("without id")), F.lit(": "), missing)
+
+
 def last_failure(events: DataFrame) -> DataFrame:
     """(timestamp_ms, failure): why the newest event that failed did; no row where none did."""
     failed = events.where("status = 'failed'")
-    missing = F.concat_ws(", ", F.when(F.col("session_id").isNull(), F.lit("no session")), F.when(F.col("timestamp_ms").isNull(), F.lit("no time")))
-    text = F.concat(F.coalesce("event_type", F.lit("")), F.lit(" "), F.coalesce("request_id", F.lit("without id")), F.lit(": "), missing)
-    newest = F.max(F.struct(F.coalesce("timestamp_ms", F.lit(-1)).alias("at"), text.alias("failure"))).alias("last")
+    newest = F.max(F.struct(F.coalesce("timestamp_ms", F.lit(-1)).alias("at"), failure_text().alias("failure"))).alias("last")
     return failed.agg(newest).where("last is not null").select(F.nullif(F.col("last.at"), F.lit(-1)).alias("timestamp_ms"), "last.failure")
 
 
 def ingest_metrics(events: DataFrame) -> DataFrame:
     """One row: ingested, failed and skipped events, and the newest time that was ingested."""
-    return events.agg(
+    return events.agg(*metrics())
+
+
+def metrics() -> list[Column]:
+    """The columns of ``ingest_metrics``, for an aggregate or for ``observe``."""
+    return [
         *[F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "ingested"), ("failed", "failed"), ("skipped", "skipped"))],
         F.max(F.when(F.col("status") == "ok", F.col("timestamp_ms"))).alias("newest_ms"),
-    )
+    ]
 
 
 def parse_session_starts(payloads: DataFrame) -> DataFrame:

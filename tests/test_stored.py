@@ -155,3 +155,40 @@ def test_actions_of_rows_without_an_id(spark):
     assert Counter(r["action"] for r in actions.collect()) == {"inserted": 21, "took over": 1, "unchanged": 1}
     window = actions._jdf.queryExecution().optimizedPlan().toString().partition("Window")[2]
     assert "isnotnull(request_id" in window
+
+
+def test_health_of_a_stream(spark, tmp_path):
+    """Counters and the last failure of a live stream are those of the batch query; bad bodies are set aside; a rerun counts nothing."""
+    import time
+
+    from meterloom.streaming.health import IngestHealth, ingest_stream
+
+    good = [body([record(request_id=f"a{i}", cost_usd=1.0, nano=str((T + i) * 1_000_000)), record("user_prompt"), record(request_id=f"f{i}", session=None, nano=str((T + 50 - i) * 1_000_000))]) for i in range(5)]
+    texts = [*good, "no JSON", "{}", "[1", body([record("api_error", nano=str((T + 99) * 1_000_000), error="x")])]
+    (tmp_path / "in").mkdir()
+    for i, text in enumerate(texts):
+        (tmp_path / "in" / f"{i}.json").write_text(text + "\n")
+    health = IngestHealth()
+    spark.streams.addListener(health)
+    try:
+        bodies = spark.readStream.format("text").option("maxFilesPerTrigger", 4).load(str(tmp_path / "in")).withColumnRenamed("value", "body")
+        for _ in range(2):
+            ingest_stream(bodies, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination(120)
+        until = time.time() + 30
+        while health.snapshot()["ingested"] < 6 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(health)
+    batch = spark.createDataFrame([(t,) for t in texts], "body string")
+    events = telemetry.parse_otlp_events(telemetry.log_records(batch))
+    want, last = telemetry.ingest_metrics(events).first().asDict(), telemetry.last_failure(events).first()
+    got = health.snapshot()
+    assert got == {**want, "rejected": 2, "failed_ms": last["timestamp_ms"], "last_failure": last["failure"]}
+    assert want == {"ingested": 6, "failed": 5, "skipped": 5, "newest_ms": T + 99}
+    bad = spark.read.parquet(str(tmp_path / "bad"))
+    assert Counter(r["status"] for r in bad.collect()) == {"rejected": 2, "failed": 5}
+    assert {r["body"] for r in bad.where("status = 'rejected'").collect()} == {"no JSON", "[1"}
+    assert all(r["failure"].endswith(": no session") for r in bad.where("status = 'failed'").collect())
+    assert live.stored_requests(spark, str(tmp_path / "out")).count() == 6
+    again = IngestHealth(got)
+    assert again.snapshot() == got

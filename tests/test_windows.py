@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from meterloom.operators import alerts
+from meterloom.operators import alerts, reconcile
 
 from .test_domain import finished
 from .test_stored import KIND, T, request
@@ -76,3 +76,36 @@ def test_alerts_of_the_null_key(spark, tmp_path):
     got = finished(stream_alerts(spark.readStream.schema(KIND).parquet(str(tmp_path / "in")), AlertRules(alerts.BurstRule(10.0, 10, 15))), tmp_path, "nulls")
     assert Counter((r["key"], r["kind"]) for r in got) == {(None, "burst"): 2}
     assert [tuple(r) for r in month_baseline(rows, 50.0, "2026-01").collect()] == [(None, "2026-01", 120.0, 2)]
+
+
+def plain_matches(left, right, within):
+    """The nearest pair next, of equal distances the earliest; counts of (key, left time, right time)."""
+    out, left, right = Counter(), list(left), list(right)
+    while True:
+        pairs = [(abs(a[1] - b[1]), min(a[1], b[1]), i, j) for i, a in enumerate(left) for j, b in enumerate(right) if a[0] == b[0] is not None and abs(a[1] - b[1]) <= within]
+        if not pairs:
+            return out
+        _, _, i, j = min(pairs)
+        out[left[i][0], left[i][1], right[j][1]] += 1
+        del left[i], right[j]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_matches(spark, seed):
+    rng = random.Random(seed)
+    draw = lambda n: [(rng.choice(["a", "b", None]), T + rng.randrange(400 if seed % 2 else 60)) for _ in range(n)]
+    left, right = draw(60) + [("same", T)] * 30, draw(50) + [("same", T + 7)] * 40 + [("same", T - 7)] * 3
+    frame = lambda rows: spark.createDataFrame([(f"{i:03d}", ms, k, 1) for i, (k, ms) in enumerate(rows)], "id string, timestamp_ms long, k string, n int")
+    got = reconcile.nearest_matches(frame(left), frame(right), 9, ("k", "n")).collect()
+    assert len({r["left_id"] for r in got}) == len({r["right_id"] for r in got}) == len(got)
+    found = Counter((left[int(r["left_id"])][0], left[int(r["left_id"])][1], right[int(r["right_id"])][1]) for r in got)
+    assert all(left[int(r["left_id"])][0] == right[int(r["right_id"])][0] for r in got)
+    assert found == plain_matches(left, right, 9)
+    assert reconcile.nearest_matches(frame(left).where("false"), frame(right), 9, ("k", "n")).count() == 0
+
+
+def test_equal_rows_match_once(spark):
+    """A thousand equal rows on both sides: a thousand matches in one round."""
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit(T).alias("timestamp_ms"), F.lit("s").alias("k"))
+    got = reconcile.nearest_matches(rows, rows, 2000, ("k",))
+    assert got.count() == got.select("left_id").distinct().count() == got.select("right_id").distinct().count() == 1000
