@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.calendar import DAY_MS, EPOCH, clamped_days, is_quiet, local_date, minutes_between, month_key, month_window, trailing_days
 from ..functions.parsing import iso_ms, project_name
-from ..operators import alerts, budgets, pricing, reconcile, rollups, transcripts
+from ..operators import alerts, budgets, partials, pricing, reconcile, rollups, transcripts
 from ..operators.facets import Facets, apply_facets, date_bounds
 from ..sources import exports, tables, telemetry
 from ..sources.files import work_folder
@@ -84,6 +84,16 @@ def _(spark, d):
     return rollups.usage_summary(apply_facets(days.read(facets), sessions(spark, d), facets))
 
 
+@query("partials_month_subagent", SQL["usage_summary_month_subagent"])
+def _(spark, d):
+    """A month of subagents from daily partials alone, numbered and written before."""
+    r, folder = requests(spark, d), work_folder(spark, "partials")
+    partials.number_sessions(r).write.parquet(f"{folder}/numbers")
+    partials.daily_partials(r, spark.read.parquet(f"{folder}/numbers")).write.partitionBy("day").parquet(f"{folder}/daily")
+    month = F.col("day").between(F.date_sub(F.lit(TODAY).cast("date"), 29), F.lit(TODAY).cast("date"))
+    return partials.summary_of_partials(spark.read.parquet(f"{folder}/daily").where(month & ~F.col("main")))
+
+
 @query("line_usage_summary", cents_sql(f"WITH {ORDER_REQUESTS_SQL}", f"SELECT {SUMS}, count(DISTINCT session_id) AS sessions FROM requests WHERE query_source IS DISTINCT FROM 'subagent'"))
 def _(spark, d):
     r, s = order_requests(spark, d)
@@ -510,6 +520,14 @@ def _(spark, d):
     return reconcile.fuzzy_matches(r, late)
 
 
+@query("nearest_matches")
+def _(spark, d):
+    """Each request and the late copy that is nearest to it, each in one match at most."""
+    r = requests(spark, d).withColumnRenamed("request_id", "id")
+    late = r.withColumn("timestamp_ms", F.col("timestamp_ms") + F.substring("id", 5, 20).cast("bigint") % 3000).withColumn("id", F.concat(F.lit("late_"), "id"))
+    return reconcile.nearest_matches(r, late)
+
+
 # Conversations
 
 CHAT_SQL = f"{MESSAGES_SQL}, creq AS (SELECT session_id, request_id, timestamp_ms, length(text) / 1000 AS cost_usd FROM messages WHERE request_id IS NOT NULL)"

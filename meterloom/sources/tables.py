@@ -9,11 +9,13 @@ applied already changes nothing. One writer at a time; readers keep to the manif
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.calendar import DAY_MS
-from ..operators import reconcile
+from ..operators import reconcile, transcripts
 from ..operators.facets import Facets
 from .files import matching, put_text, read_text, remove
 
@@ -80,28 +82,30 @@ class Parts:
             remove(self.spark, path)
 
 
-class RequestStore:
-    """What has arrived, folded by request id in hash buckets.
+class FoldedStore:
+    """States by ``keys`` in hash buckets, folded by ``merge``: a function of states that gives one for each key, in whatever order they come.
 
     A batch adds a run to each bucket that it touches. A bucket's newest runs are folded into one when
     they are together as large as half the run before them, so runs grow by a factor: a bucket has a
     logarithmic number of them, and a row is written again as often. What is written follows the batch.
+    States with a null key are kept beside the buckets; ``merge`` passes them on.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
-        self.parts, self.buckets = Parts(spark, path, "bucket", "int"), buckets
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], buckets: int = 64) -> None:
+        self.parts, self.keys, self.merge, self.buckets = Parts(spark, path, "bucket", "int"), keys, merge, buckets
 
     def _bucketed(self, states: DataFrame) -> DataFrame:
-        bucket = F.when(F.col("request_id").isNull(), int(NO_ID)).otherwise(F.pmod(F.xxhash64("request_id"), F.lit(self.buckets)))
+        keyless = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in self.keys))
+        bucket = F.when(keyless, int(NO_ID)).otherwise(F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)))
         return states.withColumn("bucket", bucket.cast("int"))
 
-    def upsert(self, arrivals: DataFrame, source: str, batch_id: int) -> bool:
-        """Add a batch of ``arrivals`` (see ``reconcile.reconcile_requests``); false if that batch of the source was there already."""
+    def add(self, states: DataFrame, source: str, batch_id: int) -> bool:
+        """Add a batch of states, one for each key; false if that batch of the source was there already."""
         parts = self.parts
         if parts.applied(source, batch_id):
             return False
         version = parts.manifest["version"] + 1
-        added = parts.write(self._bucketed(reconcile.fold_arrivals(arrivals)), version)
+        added = parts.write(self._bucketed(states), version)
         runs = {value: [*parts.runs(value), [version, n]] for value, n in added.items()}
         due = {}
         for value, own in runs.items():
@@ -114,23 +118,64 @@ class RequestStore:
         if due:
             version += 1
             read = parts.read({value: [v for v, _ in runs[value][at:]] for value, at in due.items()}, parts.columns)
-            folded = parts.write(self._bucketed(reconcile.merge_states(read.drop("bucket"))), version)
+            folded = parts.write(self._bucketed(self.merge(read.drop("bucket"))), version)
             runs |= {value: [*runs[value][:at], [version, folded[value]]] for value, at in due.items()}
         parts.commit(version, runs, source, batch_id)
         return True
 
     def states(self) -> DataFrame:
-        """A row for each id, from all runs; buckets of a single run are read as they are."""
+        """A state for each key, from all runs; buckets of a single run are read as they are."""
         parts = self.parts
         one = {v: [r[0] for r in runs] for v, runs in parts.manifest["parts"].items() if len(runs) == 1 or v == NO_ID}
         more = {v: [r[0] for r in runs] for v, runs in parts.manifest["parts"].items() if v not in one}
-        return parts.read(one).drop("bucket").unionByName(reconcile.merge_states(parts.read(more).drop("bucket")))
+        return parts.read(one).drop("bucket").unionByName(self.merge(parts.read(more).drop("bucket")))
+
+
+class RequestStore(FoldedStore):
+    """What has arrived, folded by request id."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        super().__init__(spark, path, ["request_id"], reconcile.merge_states, buckets)
+
+    def upsert(self, arrivals: DataFrame, source: str, batch_id: int) -> bool:
+        """Add a batch of ``arrivals`` (see ``reconcile.reconcile_requests``); false if that batch of the source was there already."""
+        return self.add(reconcile.fold_arrivals(arrivals), source, batch_id)
 
     def requests(self) -> DataFrame:
         """The reconciled requests, as ``reconcile.reconcile_requests`` gives them for all batches together."""
         return reconcile.requests_of(self.states())
 
 
+class TranscriptStore:
+    """Requests and messages of transcript lines that come batch by batch; a line is parsed when it comes and not again.
+
+    Kept are the last line of each request of a file, as ``transcripts.collapse_requests`` and
+    ``collapse_messages`` choose it, and all messages of users.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        keys = ["file", "request_id"]
+        self.usage = FoldedStore(spark, f"{path}/usage", keys, transcripts.collapse_requests, buckets)
+        self.said = FoldedStore(spark, f"{path}/messages", keys, transcripts.collapse_messages, buckets)
+
+    def add(self, lines: DataFrame, source: str, batch_id: int) -> None:
+        """Add a batch of lines (file, pos, line); a batch that was there already changes nothing."""
+        if self.usage.parts.applied(source, batch_id) and self.said.parts.applied(source, batch_id):
+            return
+        parsed = transcripts.parse_lines(lines.select("file", "pos", "line")).persist()
+        self.usage.add(transcripts.collapse_requests(transcripts.extract_usage(parsed)), source, batch_id)
+        self.said.add(transcripts.collapse_messages(transcripts.extract_messages(parsed)), source, batch_id)
+        parsed.unpersist()
+
+    def requests(self) -> DataFrame:
+        """Backfill requests, as the batch operators give them for all lines."""
+        return transcripts.transcript_requests(self.usage.states())
+
+    def messages(self) -> DataFrame:
+        """Messages, as the batch operators give them for all lines."""
+        return self.said.states()
+
+
 def day_of(timestamp_ms: Column) -> Column:
     """The UTC day of epoch milliseconds."""
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(timestamp_ms / DAY_MS).cast("int"))

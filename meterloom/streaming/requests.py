@@ -105,8 +105,17 @@ def stream_transcripts(lines: DataFrame, path: str, checkpoint: str) -> Streamin
     return write_stream(lines, path, checkpoint, "transcript")
 
 
+def store_transcripts(lines: DataFrame, folder: str, checkpoint: str, source: str = "transcript") -> StreamingQuery:
+    """Transcript lines collapsed as they come into the store below ``folder`` (see ``tables.TranscriptStore``); each line is parsed once."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        tables.TranscriptStore(batch.sparkSession, folder).add(batch, source, batch_id)
+
+    return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
+
+
 def stored_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Requests and messages collapsed from all stored lines."""
+    """Requests and messages collapsed from all stored lines, which are parsed for it; ``store_transcripts`` keeps them collapsed."""
     parsed = transcripts.parse_lines(spark.read.parquet(path).select("file", "pos", "line"))
     return (
         transcripts.transcript_requests(transcripts.collapse_requests(transcripts.extract_usage(parsed))),

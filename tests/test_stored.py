@@ -192,3 +192,35 @@ def test_health_of_a_stream(spark, tmp_path):
     assert live.stored_requests(spark, str(tmp_path / "out")).count() == 6
     again = IngestHealth(got)
     assert again.snapshot() == got
+
+
+def test_transcripts_are_collapsed_as_they_come(spark, tmp_path):
+    """Requests whose lines are split over batches and files, and messages, against the batch operators over all lines."""
+    import json
+
+    from meterloom.operators import transcripts
+    from meterloom.sources.tail import Tail
+
+    rng, root = random.Random(5), tmp_path / "in"
+    root.mkdir()
+    usage = lambda n: {"input_tokens": n, "output_tokens": n}
+    store, every = tables.TranscriptStore(spark, str(tmp_path / "store"), 3), 0
+    for batch in range(5):
+        for k in range(12):
+            kind = rng.choice(["assistant", "assistant", "user"])
+            line = {"type": kind, "uuid": f"u{every}", "sessionId": "s", "timestamp": "2026-01-15T00:00:01.500Z", "message": {"model": "m", "content": [{"type": "text"}]}}
+            if kind == "assistant":
+                line |= {"requestId": rng.choice([f"r{rng.randrange(6)}", None])}
+                line["message"]["usage"] = usage(rng.choice([0, rng.randrange(50)]))
+            with open(root / f"f{k % 2}.jsonl", "a") as f:
+                f.write(json.dumps(line) + "\n")
+            every += 1
+        tail = Tail(spark, str(root), str(tmp_path / "tail"))
+        assert tail.step()
+        for _ in range(2):
+            tables.TranscriptStore(spark, str(tmp_path / "store"), 3).add(tail.lines(batch), "t", batch)
+    tail, store = Tail(spark, str(root), str(tmp_path / "tail")), tables.TranscriptStore(spark, str(tmp_path / "store"), 3)
+    parsed = transcripts.parse_lines(tail.lines().drop("batch"))
+    assert parsed.count() == every
+    assert rows_of(store.requests()) == rows_of(transcripts.transcript_requests(transcripts.collapse_requests(transcripts.extract_usage(parsed))))
+    assert rows_of(store.messages()) == rows_of(transcripts.collapse_messages(transcripts.extract_messages(parsed)))

@@ -6,10 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from meterloom.operators import alerts, reconcile
+from meterloom.operators import alerts, partials, reconcile, rollups
 
 from .test_domain import finished
-from .test_stored import KIND, T, request
+from .test_stored import DAY, KIND, T, request
 
 MINUTE = 60_000
 
@@ -109,3 +109,19 @@ def test_equal_rows_match_once(spark):
     rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit(T).alias("timestamp_ms"), F.lit("s").alias("k"))
     got = reconcile.nearest_matches(rows, rows, 2000, ("k",))
     assert got.count() == got.select("left_id").distinct().count() == got.select("right_id").distinct().count() == 1000
+
+
+def test_partials_add_up(spark):
+    """Any days and facets from partials, sessions over midnights once; numbers that are known stay; more than one bucket of numbers."""
+    rows = [request(i, T + (i * 7_919_000) % (4 * DAY), session=None if i % 13 == 0 else f"s{i % 400}", cost=None if i % 9 == 0 else i / 4) for i in range(1200)]
+    frame = spark.createDataFrame(rows, KIND).withColumn("query_source", F.when(F.col("timestamp_ms") % 3 == 0, "subagent")).withColumn("model", F.when(F.col("timestamp_ms") % 5 > 0, "m"))
+    early, late = frame.where(f"timestamp_ms < {T + 2 * DAY}"), frame.where(f"timestamp_ms >= {T + 2 * DAY}")
+    first = partials.number_sessions(early).checkpoint()
+    numbers = partials.number_sessions(frame, first).checkpoint()
+    assert sorted(r["number"] for r in numbers.collect()) == list(range(400)) and first.exceptAll(numbers).isEmpty()
+    spread = numbers.withColumn("number", F.col("number") * 200)  # buckets of 32,768
+    daily = partials.daily_partials(early, spread).unionByName(partials.daily_partials(late, spread)).checkpoint()
+    days = F.col("day") >= F.date_add(F.lit("1970-01-01").cast("date"), T // DAY + 1)
+    for facet, plain in ((F.lit(True), F.lit(True)), (days & ~F.col("main"), (F.col("timestamp_ms") >= (T // DAY + 1) * DAY) & (F.col("query_source") == "subagent")), (F.col("model") == "m", F.col("model") == "m"), (F.lit(False), F.lit(False))):
+        got, want = partials.summary_of_partials(daily.where(facet)).first().asDict(), rollups.usage_summary(frame.where(plain)).first().asDict()
+        assert got == want
