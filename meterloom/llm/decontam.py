@@ -114,7 +114,7 @@ def phrase_matches(postings: DataFrame, items: DataFrame, folder: str, size: int
     looked_up = written(postings.join(small(written(rarest, folder, "rarest"), BROADCAST_ROWS), "term", "left_semi"), folder, "looked_up")
     firsts = (
         looked_up.withColumnRenamed("term", "t1")
-        .join(small(windows, BROADCAST_ROWS), "t1")
+        .join(small(windows, BROADCAST_ROWS), "t1")  # beyond the bound AQE splits the rows of a frequent term
         .select("item", "n", "doc", (F.col("pos") - F.col("p1")).alias("shift"), "p2", "t2")
         .distinct()
     )
@@ -146,22 +146,30 @@ def proximity_matches(postings: DataFrame, items: DataFrame, within: int) -> Dat
     """(item, item_id, doc, first, last): a row for each place where all words of an item lie in ``within`` consecutive words.
 
     A place is a shortest one: no other place of the item lies inside it. It has an occurrence of the
-    item's rarest word, around which the others are looked for. A word that an item repeats counts
-    once; a place may serve several items, and places may overlap. An item without words, or with a
-    word that no document has, has no place; null texts have no words and so no place either. Meant
-    for items of a few words; ``contamination`` does not use it.
+    item's rarest word, around which the others are looked for, in the stretches of ``within`` words next to it. A
+    word that an item repeats counts once; a place may serve several items, and places may overlap. An item
+    without words, or with a word that no document has, has no place; null texts have no words and so no place either.
     """
+    folder = new_folder(postings.sparkSession, "proximity")
     frequency = postings.groupBy("term").agg(F.count("*").alias("tf"))
     words = items.select("item", "item_id", F.xxhash64("word").alias("term")).distinct().join(frequency, "term", "left")
     listed = words.groupBy("item", "item_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term"))).alias("ws"))
+    listed = listed.where(F.size("ws") <= within)  # more different words than that lie nowhere so near
     wanted = listed.where("ws[0].tf > 0").select("item", "item_id", F.col("ws")[0]["term"].alias("rarest"), F.transform("ws", lambda w: w["term"]).alias("terms"))
-    anchors = wanted.join(postings.select(F.col("term").alias("rarest"), "doc", F.col("pos").alias("anchor")), "rarest")
+    wanted = small(written(wanted, folder, "wanted"), BROADCAST_ROWS // 16)
+    anchors = postings.select(F.col("term").alias("rarest"), "doc", F.col("pos").alias("anchor")).join(wanted, "rarest")
+    anchors = written(anchors.distinct(), folder, "anchors")
+    there = small(written(anchors.select("doc").distinct(), folder, "anchored"), BROADCAST_ROWS)
+    cell = lambda pos: F.floor(F.col(pos) / within)
+    held = postings.join(there, "doc", "left_semi").distinct().withColumn("cell", cell("pos"))
     near = (
         anchors.select("item", "item_id", "terms", "doc", "anchor", F.explode("terms").alias("term"))
-        .join(postings.distinct(), ["doc", "term"])
+        .withColumn("cell", F.explode(F.array(cell("anchor") - 1, cell("anchor"), cell("anchor") + 1)))
+        .join(held, ["doc", "term", "cell"])
         .where(F.abs(F.col("pos") - F.col("anchor")) < within)
         .groupBy("item", "item_id", "doc", "anchor", "terms")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("at"))  # 2 * within at most
+        .where(F.size(F.array_distinct(F.transform("at", lambda b: b["term"]))) == F.size("terms"))
     )
     # From each start, the places where the words come first; the last of these ends the span.
     firsts = lambda a: F.transform(
@@ -178,9 +186,13 @@ def proximity_matches(postings: DataFrame, items: DataFrame, within: int) -> Dat
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, size: int = 13, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, size: int = 13, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    within: int | None = None,
 ) -> DataFrame:
-    """(doc, n_hit, item_ids): documents with matches, the number of their words inside one, and the items.
+    """(doc, n_hit, n_items, item_ids): documents with matches, the number of their words inside one, and the items.
+
+    With ``within`` also ``n_near``, the number of items all of whose words lie within so many consecutive words,
+    in whatever order; documents with such items alone are there then, with nulls before it.
 
     ``doc`` is ``document_key``. Null and empty texts have no words and no matches; null keys are
     keys like others; rows of equal key and text are one document here. Rows of the benchmark that are
@@ -203,7 +215,15 @@ def contamination(
         .groupBy("doc")
         .agg(F.sum("copies").alias("n_items"), F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(item_id, copies)")))).alias("item_ids"))
     )
-    return written(hits.join(which, "doc"), folder, "contamination")
+    exact = hits.join(which, "doc")
+    if within is not None:
+        places = proximity_matches(postings, items, within).select("doc", "item").distinct().join(items.select("item", "copies").distinct(), "item")
+        exact = exact.join(places.groupBy("doc").agg(F.sum("copies").alias("n_near")), "doc", "full")
+    return written(exact, folder, "contamination")
+
+
+#: The query's distance for proximity matches: about twice an item's length.
+NEAR_WORDS = 100
 
 
 def is_contaminated(n_hit: Column, words: Column) -> Column:
@@ -212,9 +232,9 @@ def is_contaminated(n_hit: Column, words: Column) -> Column:
 
 
 def judged_documents(spark, sf_dir: str) -> DataFrame:
-    """Query ``op8_positional_index``: how much of each document matches the benchmark."""
+    """Query ``op8_positional_index``: how much of each document matches the benchmark, and how many items have all their words close together."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), within=NEAR_WORDS)
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
         docs.select("doc_id", document_key("doc_id", "text").alias("doc"), n_words(F.col("text")).alias("n_words"))
@@ -226,6 +246,7 @@ def judged_documents(spark, sf_dir: str) -> DataFrame:
             F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
             F.sha2(F.coalesce(F.array_join("item_ids", ","), F.lit("")), 256).alias("items_sha256"),
             is_contaminated(hit, F.col("n_words")).alias("contaminated"),
+            F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         )
     )
 
@@ -262,8 +283,19 @@ hit AS (
 it AS (
   SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
   FROM (SELECT DISTINCT rid, bid, item_id FROM hit) GROUP BY rid
+), occ AS (
+  SELECT dw.rid, bw.bid, dw.p, dw.word FROM (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM d) dw
+  JOIN (SELECT DISTINCT bid, unnest(ws) AS word FROM b) bw USING (word)
+), whole AS (
+  SELECT rid, bid, any_value(k) AS k FROM occ JOIN (SELECT bid, len(list_distinct(ws)) AS k FROM b) USING (bid) GROUP BY rid, bid HAVING count(DISTINCT word) = any_value(k)
+), near AS (
+  SELECT rid, count(DISTINCT bid) AS n_near FROM (
+    SELECT x.rid, x.bid FROM occ x JOIN whole USING (rid, bid) JOIN occ y ON y.rid = x.rid AND y.bid = x.bid AND y.p BETWEEN x.p AND x.p + 99
+    GROUP BY x.rid, x.bid, x.p HAVING count(DISTINCT y.word) = any_value(whole.k)
+  ) GROUP BY rid
 )
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN pos USING (rid) LEFT JOIN it USING (rid)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN near USING (rid) LEFT JOIN pos USING (rid) LEFT JOIN it USING (rid)
 """
