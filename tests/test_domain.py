@@ -37,7 +37,7 @@ def test_quiet_hours(spark):
 
 @pytest.mark.parametrize(
     ("text", "ms"),
-    [("2026-06-11T14:50:03.944Z", 1781189403944), ("2026-06-11T14:50:03Z", 1781189403000), ("2026-06-11T14:50:03.9449Z", 1781189403944), ("2026-06-11T14:50:03.9Z", 1781189403900), ("2026-02-30T00:00:00Z", None), ("2026-06-11T14:50:03+00:00", None), ("", None)],
+    [("2026-03-02T08:15:27.944Z", 1772439327944), ("2026-03-02T08:15:27Z", 1772439327000), ("2026-03-02T08:15:27.9449Z", 1772439327944), ("2026-03-02T08:15:27.9Z", 1772439327900), ("2026-02-30T00:00:00Z", None), ("2026-03-02T08:15:27+00:00", None), ("", None)],
 )
 def test_times(spark, text, ms):
     assert value(spark, parsing.rfc3339_ms(F.lit(text))) == ms
@@ -87,7 +87,7 @@ def test_costs(spark, tokens, split):
     assert pricing.price_requests(r, prices(spark)).first()["cost_usd"] == pytest.approx(want, abs=1e-9)
 
 
-def line(kind="assistant", request="q1", out=5, ts="2026-06-11T14:50:03.944Z", **more):
+def line(kind="assistant", request="q1", out=5, ts="2026-03-02T08:15:27.944Z", **more):
     usage = {"input_tokens": "3", "output_tokens": out, "cache_read_input_tokens": 0, "cache_creation_input_tokens": 0}
     doc = {"type": kind, "uuid": f"{request}-{out}", "parentUuid": None, "requestId": request, "sessionId": "s", "timestamp": ts, "isSidechain": False, "message": {"model": "m", "content": [{"type": "text", "text": "x"}], "usage": usage}}
     return json.dumps(doc | more)
@@ -132,11 +132,11 @@ def body(records):
     return json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": records}]}]})
 
 
-def record(name="api_request", session="s", nano="1781189403944000000", **attributes):
+def record(name="api_request", session="s", nano="1772439327944000000", **attributes):
     kinds = {int: "intValue", float: "doubleValue", str: "stringValue"}
     pairs = [{"key": k.replace("__", "."), "value": {kinds[type(v)]: v}} for k, v in attributes.items()]
     pairs += [{"key": "session.id", "value": {"stringValue": session}}] if session else []
-    return {"timeUnixNano": nano, "observedTimeUnixNano": "1781189403000000000", "body": {"stringValue": f"claude_code.{name}"}, "attributes": pairs}
+    return {"timeUnixNano": nano, "observedTimeUnixNano": "1772439327000000000", "body": {"stringValue": f"claude_code.{name}"}, "attributes": pairs}
 
 
 def test_otlp(spark):
@@ -145,10 +145,10 @@ def test_otlp(spark):
     assert telemetry.rejected_bodies(bodies).count() == 1
     events = telemetry.parse_otlp_events(telemetry.log_records(bodies))
     got = telemetry.ingest_metrics(events).first()
-    assert (got["ingested"], got["failed"], got["skipped"], got["newest_ms"]) == (2, 1, 1, 1781189403944)
+    assert (got["ingested"], got["failed"], got["skipped"], got["newest_ms"]) == (2, 1, 1, 1772439327944)
     a = events.where("request_id = 'a'").first()
     assert (a["cost_usd"], a["input_tokens"], a["output_tokens"], a["cache_read_tokens"], a["event_type"]) == (0.5, 41, 7, 3, "api_request")
-    assert events.where("event_type = 'api_error'").first()["timestamp_ms"] == 1781189403000
+    assert events.where("event_type = 'api_error'").first()["timestamp_ms"] == 1772439327000
 
 
 def test_reconcile_in_any_order(spark):
@@ -390,7 +390,7 @@ def test_stream_of_transcripts(spark, tmp_path):
     assert {r["request_id"]: r["output_tokens"] for r in stored.collect()} == {f"q{i}": 12 for i in range(4)}
     assert found.count() == 4
     exports.export_summary(usage_series(stored.drop("arrival")).select("day", "requests", "output_tokens"), str(tmp_path / "csv"))
-    assert next((tmp_path / "csv").glob("part-*")).read_bytes() == b"day,requests,output_tokens\r\n2026-06-11,4,48\r\n"
+    assert next((tmp_path / "csv").glob("part-*")).read_bytes() == b"day,requests,output_tokens\r\n2026-03-02,4,48\r\n"
 
 
 def test_files_of_a_window(spark, tmp_path):
