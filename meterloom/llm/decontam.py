@@ -146,21 +146,32 @@ def proximity_matches(postings: DataFrame, items: DataFrame, within: int) -> Dat
     """(item, item_id, doc, first, last): a row for each place where all words of an item lie in ``within`` consecutive words.
 
     A place is a shortest one: no other place of the item lies inside it. It has an occurrence of the
-    item's rarest word, around which the others are looked for, in the stretches of ``within`` words next to it. A
-    word that an item repeats counts once; a place may serve several items, and places may overlap. An item
-    without words, or with a word that no document has, has no place; null texts have no words and so no place either.
+    item's rarest word, near which its next rarest ones are looked for first, and around what that leaves
+    all the others, in the stretches of ``within`` words next to it. A word that an item repeats counts
+    once; a place may serve several items, and places may overlap. An item without words, or with a word
+    that no document has, has no place; null texts have no words and so no place either.
     """
     folder = new_folder(postings.sparkSession, "proximity")
     frequency = postings.groupBy("term").agg(F.count("*").alias("tf"))
     words = items.select("item", "item_id", F.xxhash64("word").alias("term")).distinct().join(frequency, "term", "left")
     listed = words.groupBy("item", "item_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term"))).alias("ws"))
     listed = listed.where(F.size("ws") <= within)  # more different words than that lie nowhere so near
-    wanted = listed.where("ws[0].tf > 0").select("item", "item_id", F.col("ws")[0]["term"].alias("rarest"), F.transform("ws", lambda w: w["term"]).alias("terms"))
-    wanted = small(written(wanted, folder, "wanted"), BROADCAST_ROWS // 16)
-    anchors = postings.select(F.col("term").alias("rarest"), "doc", F.col("pos").alias("anchor")).join(wanted, "rarest")
-    anchors = written(anchors.distinct(), folder, "anchors")
-    there = small(written(anchors.select("doc").distinct(), folder, "anchored"), BROADCAST_ROWS)
+    wanted = listed.where("ws[0].tf > 0").select("item", "item_id", F.transform("ws", lambda w: w["term"]).alias("terms"))
+    wanted = written(wanted, folder, "wanted")
+    # The places of each item's rarest words, in one scan; a place of the rarest stays if the next ones have one near it.
+    rarest = wanted.select("item", F.posexplode(F.slice("terms", 1, RAREST)).alias("rank", "term"))
+    rarest = small(written(rarest, folder, "rarest"), BROADCAST_ROWS)
+    places = written(postings.join(rarest, "term").select("item", "rank", "doc", "pos").distinct(), folder, "places")
     cell = lambda pos: F.floor(F.col(pos) / within)
+    anchors = places.where("rank = 0").select("item", "doc", F.col("pos").alias("anchor")).join(small(wanted, BROADCAST_ROWS // 16), "item")
+    for rank in range(1, RAREST):
+        other = places.where(F.col("rank") == rank).select("item", "doc", "pos", cell("pos").alias("cell"))
+        around = anchors.where(F.size("terms") > rank).select("item", "doc", "anchor", F.explode(F.array(cell("anchor") - 1, cell("anchor"), cell("anchor") + 1)).alias("cell"))
+        met = around.join(other, ["item", "doc", "cell"]).where(F.abs(F.col("pos") - F.col("anchor")) < within).select("item", "doc", "anchor").distinct()
+        kept = anchors.where(F.size("terms") > rank).join(met, ["item", "doc", "anchor"], "left_semi")
+        anchors = kept.unionByName(anchors.where(F.size("terms") <= rank))
+    anchors = written(anchors, folder, "anchors")
+    there = small(written(anchors.select("doc").distinct(), folder, "anchored"), BROADCAST_ROWS)
     held = postings.join(there, "doc", "left_semi").distinct().withColumn("cell", cell("pos"))
     near = (
         anchors.select("item", "item_id", "terms", "doc", "anchor", F.explode("terms").alias("term"))
@@ -222,6 +233,8 @@ def contamination(
     return written(exact, folder, "contamination")
 
 
+#: So many of an item's rarest words are looked up before all others.
+RAREST = 3
 #: The query's distance for proximity matches: about twice an item's length.
 NEAR_WORDS = 100
 
