@@ -167,19 +167,20 @@ def proximity_matches(postings: DataFrame, items: DataFrame, within: int) -> Dat
     for rank in range(1, RAREST):
         other = places.where(F.col("rank") == rank).select("item", "doc", "pos", cell("pos").alias("cell"))
         around = anchors.where(F.size("terms") > rank).select("item", "doc", "anchor", F.explode(F.array(cell("anchor") - 1, cell("anchor"), cell("anchor") + 1)).alias("cell"))
-        met = around.join(other, ["item", "doc", "cell"]).where(F.abs(F.col("pos") - F.col("anchor")) < within).select("item", "doc", "anchor").distinct()
+        met = around.join(other.hint("merge"), ["item", "doc", "cell"]).where(F.abs(F.col("pos") - F.col("anchor")) < within).select("item", "doc", "anchor").distinct()
         kept = anchors.where(F.size("terms") > rank).join(met, ["item", "doc", "anchor"], "left_semi")
         anchors = kept.unionByName(anchors.where(F.size("terms") <= rank))
     anchors = written(anchors, folder, "anchors")
     there = small(written(anchors.select("doc").distinct(), folder, "anchored"), BROADCAST_ROWS)
     held = postings.join(there, "doc", "left_semi").distinct().withColumn("cell", cell("pos"))
     near = (
-        anchors.select("item", "item_id", "terms", "doc", "anchor", F.explode("terms").alias("term"))
+        anchors.select("item", "doc", "anchor", F.explode("terms").alias("term"))
         .withColumn("cell", F.explode(F.array(cell("anchor") - 1, cell("anchor"), cell("anchor") + 1)))
-        .join(held, ["doc", "term", "cell"])
+        .join(held.hint("merge"), ["doc", "term", "cell"])  # both sides grow with the corpus
         .where(F.abs(F.col("pos") - F.col("anchor")) < within)
-        .groupBy("item", "item_id", "doc", "anchor", "terms")
+        .groupBy("item", "doc", "anchor")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("at"))  # 2 * within at most
+        .join(small(wanted, BROADCAST_ROWS // 16), "item")
         .where(F.size(F.array_distinct(F.transform("at", lambda b: b["term"]))) == F.size("terms"))
     )
     # From each start, the places where the words come first; the last of these ends the span.
