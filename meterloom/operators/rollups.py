@@ -34,10 +34,14 @@ def project_rollups(requests: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def _by_session(requests: DataFrame) -> DataFrame:
-    grouped = requests.where("session_id is not null").groupBy("session_id").agg(
-        F.min("timestamp_ms").alias("first_ms"),
-        F.max("timestamp_ms").alias("last_ms"),
-        *measures(),
+    # by model first: rows are then summed in hash tables of plain values, and only sums meet the collected models
+    by_model = requests.where("session_id is not null").groupBy("session_id", "model").agg(
+        F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"), *measures()
+    )
+    grouped = by_model.groupBy("session_id").agg(
+        F.min("first_ms").alias("first_ms"),
+        F.max("last_ms").alias("last_ms"),
+        *summed(),
         F.array_sort(F.collect_set("model")).alias("models"),
     )
     return grouped.withColumn("cost_usd", money(F.col("cost_usd"))).withColumn("total_tokens", total_tokens()).withColumn("duration_ms", F.col("last_ms") - F.col("first_ms"))
