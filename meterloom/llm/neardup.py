@@ -20,6 +20,8 @@ from .shared import joined, new_folder, slices, small, written
 BROADCAST_ROWS = 2_000_000
 #: Bands of difference sizes in a factor of e.
 BANDS = 8
+#: A shingle's rows meet in cells of about so many by so many.
+CELL = 1024
 #: Bits of a set's parity sketch, in words of 64.
 SKETCH_WORDS = 8
 #: Pivots' sets of more bytes together are not broadcast.
@@ -278,11 +280,11 @@ def pairs_by_difference(info: DataFrame, sets: DataFrame, percent: int, folder:
         .withColumn("band", band(F.col("s")))
         .withColumn("to", F.explode(F.sequence(band(low), band(high))))
         .withColumn("minor", F.col("component") != F.col("largest"))
-        .drop("rows", "largest")
+        .drop("largest")
     )
-    banded = written(banded, folder, "banded")
-    x, y = banded.where("minor").alias("x"), banded.alias("y")
-    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("cluster", "shingle")] + [F.col("x.band") == F.col("y.to"), F.col("x.to") == F.col("y.band")]
+    x, y = in_cells(written(banded, folder, "banded"), folder)
+    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("cluster", "shingle", "row", "column")]
+    on += [F.col("x.band") == F.col("y.to"), F.col("x.to") == F.col("y.band")]
     differ = (F.col("x.component") != F.col("y.component")) & (~F.col("y.minor") | (F.col("x.node") > F.col("y.node")))
     both_at = F.least(F.col("x.s") - F.col("x.at"), F.col("y.s") - F.col("y.at"))
     sizes = F.col("x.n") + F.col("y.n")
@@ -295,6 +297,38 @@ def pairs_by_difference(info: DataFrame, sets: DataFrame, percent: int, folder:
     return links, found
 
 
+def in_cells(banded: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The rows ``x`` that are to meet others and all rows ``y``, with the ``row`` and ``column`` of the cell where they meet.
+
+    What shares a key (cluster, shingle, band, to) is dealt to a grid of cells by hashes of the nodes, so
+    that a key of any number of rows makes cells of about CELL by CELL pairs for as many tasks.
+    """
+    keys = ["cluster", "shingle", "band", "to"]
+    sizes = banded.where(F.col("rows") > CELL).groupBy(*keys).agg(F.count("*").alias("n_y"), F.count_if("minor").alias("n_x"))
+    sizes = written(sizes, folder, "key-sizes")
+    met = sizes.select("cluster", "shingle", F.col("to").alias("band"), F.col("band").alias("to"), F.col("n_y").alias("met"))
+    parts = lambda n: F.ceil(F.col(n) / CELL)
+    large = sizes.join(met, keys).where("n_x > 0").where(F.greatest("n_x", "met") > CELL)
+    large = written(large.select(*keys, "n_x", parts("n_x").alias("down"), parts("met").alias("across")), folder, "large-keys")
+    banded = banded.drop("rows")
+    own = F.xxhash64("node")
+    if large.isEmpty():
+        whole = banded.withColumns({"row": F.lit(0), "column": F.lit(0)})
+        return whole.where("minor").alias("x"), whole.alias("y")
+    size = lambda n: F.coalesce(F.col(n), F.lit(1))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), (size(n) - 1).cast("int")))
+    one_of = lambda n: F.pmod(own, size(n)).cast("int")
+    x = joined(banded.where("minor"), large.select(*keys, "n_x", "down", "across"), keys, "n_x", "left")
+    x = x.withColumn("row", one_of("down")).withColumn("column", all_of("across"))
+    # seen from y, the key of x is the one with its bands exchanged
+    facing = sizes.select(*keys, F.col("n_y").alias("own_y")).join(
+        large.select("cluster", "shingle", F.col("to").alias("band"), F.col("band").alias("to"), "down", "across"), keys
+    )
+    y = joined(banded, written(facing, folder, "facing-keys"), keys, "own_y", "left")
+    y = y.withColumn("column", one_of("across")).withColumn("row", all_of("down"))
+    return x.alias("x"), y.alias("y")
+
+
 def near_duplicates(docs: DataFrame, banding: Banding = Banding(), size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
