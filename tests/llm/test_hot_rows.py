@@ -1,10 +1,11 @@
 """Many rows that share a null id or one value: results as for any others, and no task with all of them."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from meterloom.llm import linededup, mixing, tokens, warc
+from meterloom.llm import linededup, mixing, neardup, tokens, warc
 from meterloom.llm.shared import new_folder, open_file
 
 from .test_operators import lines_left, tokenizer
@@ -104,3 +105,37 @@ def test_record_ids(spark):
         assert (target is None) == (h["X-Refers-To-Page-Id"] == "4")
         assert target is None or (target["X-Page-Id"], target["WARC-Type"], target["WARC-Payload-Digest"]) == ("2", "response", h["WARC-Payload-Digest"])
     assert warc.read_records(index).count() == len(pages)
+
+
+def test_pages_of_a_template_in_cells(spark, monkeypatch):
+    """What shares a shingle meets in cells of a few rows; the groups are those of all pairs."""
+    monkeypatch.setattr(neardup, "CELL", 2)
+    dealt, in_cells = [], neardup.in_cells
+
+    def counted(banded, folder):
+        x, y = in_cells(banded, folder)
+        cells = ["cluster", "shingle", "band", "to", "row", "column"]
+        facing = y.select("cluster", "shingle", F.col("y.to").alias("band"), F.col("y.band").alias("to"), "row", "column").groupBy(*cells).agg(F.count("*").alias("n_y"))
+        met = x.groupBy(*cells).agg(F.count("*").alias("n_x")).join(facing, cells)
+        dealt.append(met.agg(F.max("row"), F.max("column"), F.max(F.col("n_x") * F.col("n_y"))).first())
+        return x, y
+
+    monkeypatch.setattr(neardup, "in_cells", counted)
+    rng = random.Random(5)
+    template, pool = [f"t{i}" for i in range(200)], [f"own{i}" for i in range(6)]
+    pages = []
+    for i in range(240):
+        page = list(pages[i - 120] if i % 40 == 0 and i >= 120 else template)
+        for at in rng.sample(range(4, 196, 8), 1 if i % 40 == 0 and i >= 120 else 10):
+            page[at] = rng.choice(pool)
+        pages.append(page)
+    sets = [{tuple(p[k : k + 5]) for k in range(196)} for p in pages]
+    low = list(range(len(pages)))
+    for a in range(len(pages)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low = [min(low[a], low[b]) if c in (low[a], low[b]) else c for c in low]
+    found = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(pages)], "doc_id long, text string"))
+    assert [r["component_id"] for r in found.orderBy("doc_id").collect()] == low
+    rows, columns, most = dealt[0]
+    assert rows > 1 and columns > 1 and most < 25 * neardup.CELL**2  # hashes deal unevenly
