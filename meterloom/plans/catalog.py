@@ -404,12 +404,15 @@ def _(spark, d):
 @query("stored_requests", SQL["reconcile_requests"])
 def _(spark, d):
     """The reconciled requests from the store, into which the arrivals went in three batches of each source."""
-    a, store = arrivals(spark, d), tables.RequestStore(spark, work_folder(spark, "requests"))
+    a, store, given = arrivals(spark, d), tables.RequestStore(spark, work_folder(spark, "requests")), work_folder(spark, "deliveries")
     last = F.lit(a.agg(F.max("arrival")).first()[0] or 0)
+    # The batches are written as they would come, in one pass; a batch then reads its own rows alone.
+    dealt = a.withColumns({"from": F.col("source"), "i": F.floor(F.greatest("arrival", F.lit(0)) * 3 / (last + 1)).cast("int")})
+    dealt.write.partitionBy("from", "i").parquet(given)
+    batches = spark.read.schema(dealt.schema).parquet(given)
     for i in range(3):
         for source in (reconcile.LIVE, reconcile.BACKFILL):
-            batch = a.where((F.col("source") == source) & (F.floor(F.greatest("arrival", F.lit(0)) * 3 / (last + 1)) == i))
-            store.upsert(batch, source, i)
+            store.upsert(batches.where((F.col("from") == source) & (F.col("i") == i)).drop("from", "i"), source, i)
     return store.requests().select("request_id", "output_tokens", "source", "query_source", "cache_creation_5m_tokens")
 
 

@@ -85,6 +85,22 @@ def test_what_is_written_follows_the_batch(spark, tmp_path):
     assert len(left) == tables.KEPT_VERSIONS + 1
 
 
+def test_batches_read_their_own_rows(spark, sf, monkeypatch):
+    """The query's batches go into the store from what was delivered, of which each reads its own folders alone; none reads the events."""
+    from meterloom.plans.catalog import QUERIES
+
+    read, upsert = [], tables.RequestStore.upsert
+
+    def noted(store, batch, *of):
+        read.append(batch._jdf.queryExecution().executedPlan().toString().partition("PartitionFilters: [")[2].partition("]")[0])
+        assert not any("events" in f for f in batch.inputFiles())
+        return upsert(store, batch, *of)
+
+    monkeypatch.setattr(tables.RequestStore, "upsert", noted)
+    assert QUERIES["stored_requests"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert len(set(read)) == 6 and all("(from#" in x and "(i#" in x for x in read)
+
+
 def test_days_are_pruned(spark, sf, tmp_path):
     """A week reads its folders alone, and facets over it give what they give over everything."""
     requests, sessions = testbed.requests(spark, sf), testbed.sessions(spark, sf)
