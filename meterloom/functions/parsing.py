@@ -47,11 +47,12 @@ def rfc3339_ms(text: Column) -> Column:
 
     A second of 60 gives null.
     """
-    shape = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.([0-9]{1,3})[0-9]*)?Z$"
-    part = lambda k: F.regexp_extract(text, shape, k)
-    whole = F.concat(part(1), F.lit(" "), part(2)).try_cast("timestamp_ntz")
-    ms = F.timestamp_diff("MILLISECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), whole)
-    return F.when(text.rlike(shape), ms + F.rpad(part(3), 3, "0").cast("bigint"))
+    shape = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?Z$"
+    number = lambda at: F.substring(text, at, 2).try_cast("bigint")
+    seconds = ((F.unix_date(F.substring(text, 1, 10).try_cast("date")) * 24 + number(12)) * 60 + number(15)) * 60 + number(18)
+    # What follows the point, up to three digits; the pattern lets one end of line follow.
+    fraction = F.translate(F.substring(text, 21, 3), "Z\n\r\u0085\u2028\u2029", "")
+    return F.when(text.rlike(shape), seconds * 1000 + F.rpad(fraction, 3, "0").try_cast("bigint"))
 
 
 def iso_ms(ms: Column) -> Column:

@@ -19,13 +19,18 @@ def _count(text: Column) -> Column:
     return F.coalesce(whole_number(text), F.lit(0))
 
 
+def _is_json(column: str, opening: str) -> Column:
+    """Whether the text is JSON that begins with ``opening``, which tells an object or array without looking at what it holds; false for null."""
+    return F.coalesce(F.ltrim(F.col(column), F.lit(" \t\r\n")).startswith(opening) & F.try_parse_json(column).isNotNull(), F.lit(False))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Add ``doc`` (the parsed envelope), ``ts_ms`` and ``status`` to (file, pos, line).
 
     Statuses: malformed (no JSON object), other, user, assistant, invalid (an assistant line without
     session, time or usage).
     """
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False))
+    is_object = _is_json("line", "{")
     # Generators, so that what follows does not parse a line anew for each field it reads.
     read = F.struct(is_object.alias("is_object"), F.from_json("line", ENVELOPE).alias("doc"))
     once = lines.select("*", F.explode(F.array(read)).alias("read")).select(*lines.columns, "read.is_object", "read.doc")
@@ -127,15 +132,17 @@ def extract_messages(parsed: DataFrame) -> DataFrame:
             F.nullif(result, F.lit("null")).alias("tool_use_result"),
         )
         .where("uuid is not null and session_id is not null and timestamp_ms is not null")
-        .where(F.coalesce(F.schema_of_variant(F.try_parse_json("content")).startswith("ARRAY"), F.lit(False)))
+        .where(_is_json("content", "["))
     )
 
 
 def collapse_messages(messages: DataFrame) -> DataFrame:
     """All user messages, and the last line of each assistant request; assistants without an id are dropped."""
-    order = Window.partitionBy("file", "request_id").orderBy(F.desc("pos"))
-    last = messages.where("role = 'assistant' and request_id is not null").withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
-    return last.unionByName(messages.where("role = 'user'"))
+    # One window over both roles, so that the lines are read and parsed once; a user's line is a group of its own.
+    user = F.col("role") == "user"
+    order = Window.partitionBy("file", "request_id", F.when(user, F.col("pos"))).orderBy(F.desc("pos"))
+    kept = messages.where(user | ((F.col("role") == "assistant") & F.col("request_id").isNotNull()))
+    return kept.withColumn("k", F.row_number().over(order)).where(user | (F.col("k") == 1)).drop("k")
 
 
 def content_blocks(messages: DataFrame) -> DataFrame:

@@ -563,7 +563,7 @@ def _(spark, d):
 
 def _transcript_lines(spark, d):
     """Every request as two transcript lines of a file for each session: a first chunk and the whole."""
-    r = requests(spark, d).withColumn("n", F.substring("request_id", 5, 20).cast("bigint"))
+    r = requests(spark, d, deal=True).withColumn("n", F.substring("request_id", 5, 20).cast("bigint"))
     chunk = F.explode(F.array(F.lit(1), F.lit(2))).alias("chunk")
     usage = F.struct(
         F.col("input_tokens").cast("string").alias("input_tokens"),

@@ -15,9 +15,19 @@ REQUEST_COLUMNS = (
 )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a request."""
+#: Tasks for each core of rows that are dealt out.
+SHARES = 4
+
+
+def dealt(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The rows in turn to a few tasks for each core, before work that is large against what is read: files may have fewer splits than there are cores."""
+    return rows.repartition(max(SHARES * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def requests(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """Every event as a request; ``deal``: see ``dealt``."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = dealt(spark, e) if deal else e
     i, k = F.col("event_id"), F.col("k")
     failed = F.col("event_type") == "error"
     split = ~failed & (i % 4 == 0)
