@@ -213,7 +213,9 @@ def nearest_matches(left: DataFrame, right: DataFrame, within_ms: int = 2000, ke
         return slim.withColumn("side", F.lit(name)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
 
     # A number for each row among its equals: within a salt, after the salts before.
-    rows = side(left, "l").unionByName(side(right, "r"))
+    # Both sides are written first, as they are read for the counts and again for each side's numbers.
+    side(left, "l").unionByName(side(right, "r")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
     equal = [*keys, "side", "at"]
     salts = rows.groupBy(*equal, "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*equal).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

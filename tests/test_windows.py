@@ -111,6 +111,14 @@ def test_equal_rows_match_once(spark):
     assert got.count() == got.select("left_id").distinct().count() == got.select("right_id").distinct().count() == 1000
 
 
+def test_matches_read_their_sides_once(spark, tmp_path):
+    """Both sides are written as they come; what is found is put together from that and not from them."""
+    spark.range(40).select(F.col("id").cast("string").alias("id"), (T + F.col("id") * 5).alias("timestamp_ms"), F.lit("s").alias("k")).write.parquet(str(tmp_path / "given"))
+    rows = spark.read.parquet(str(tmp_path / "given"))
+    got = reconcile.nearest_matches(rows, rows, 2000, ("k",))
+    assert got.count() == 40 and got.inputFiles() and not any("/given/" in f for f in got.inputFiles())
+
+
 def test_partials_add_up(spark):
     """Any days and facets from partials, sessions over midnights once; numbers that are known stay; more than one bucket of numbers."""
     rows = [request(i, T + (i * 7_919_000) % (4 * DAY), session=None if i % 13 == 0 else f"s{i % 400}", cost=None if i % 9 == 0 else i / 4) for i in range(1200)]
