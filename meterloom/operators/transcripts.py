@@ -12,6 +12,8 @@ ENVELOPE = (
     "type string, uuid string, parentUuid string, requestId string, sessionId string, timestamp string, cwd string, "
     f"isSidechain boolean, message struct<model:string,content:string,usage:struct<{', '.join(x.replace(' ', ':', 1) for x in USAGE.split(', '))}>>"
 )
+#: What a line's status depends on, as types to cast a parsed line to. The side chain's flag stays as it is, since a text cast to boolean may be true.
+HEAD = "struct<type:string,sessionId:string,timestamp:string,isSidechain:variant,message:struct<usage:struct<input_tokens:variant>>>"
 SYNTHETIC = "<synthetic>"
 
 
@@ -24,31 +26,44 @@ def _is_json(column: str, opening: str) -> Column:
     return F.coalesce(F.ltrim(F.col(column), F.lit(" \t\r\n")).startswith(opening) & F.try_parse_json(column).isNotNull(), F.lit(False))
 
 
+def _status(is_object: Column, head: str, ts_ms: Column) -> Column:
+    """The status of a line of which ``head`` holds type, session and usage."""
+    kind = F.col(f"{head}.type")
+    complete = F.col(f"{head}.sessionId").isNotNull() & ts_ms.isNotNull() & F.col(f"{head}.message.usage").isNotNull()
+    return (
+        F.when(~is_object, "malformed")
+        .when(kind == "user", "user")
+        .when((kind == "assistant") & complete, "assistant")
+        .when(kind == "assistant", "invalid")
+        .otherwise("other")
+    )
+
+
+def line_statuses(lines: DataFrame) -> DataFrame:
+    """Add ``status`` and ``is_sidechain`` to (file, pos, line), as ``parse_lines`` does, by one parse of each line and without its other fields."""
+    head = F.try_variant_get(F.try_parse_json("line"), "$", HEAD)  # null for what is no object
+    once = lines.select("*", F.explode(F.array(head)).alias("head"))
+    status = _status(F.col("head").isNotNull(), "head", rfc3339_ms(F.col("head.timestamp")))
+    return once.select(*lines.columns, status.alias("status"), F.coalesce(F.to_json("head.isSidechain") == "true", F.lit(False)).alias("is_sidechain"))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Add ``doc`` (the parsed envelope), ``ts_ms`` and ``status`` to (file, pos, line).
+    """Add ``doc`` (the parsed envelope), ``ts_ms``, ``status`` and ``is_sidechain`` to (file, pos, line).
 
     Statuses: malformed (no JSON object), other, user, assistant, invalid (an assistant line without
-    session, time or usage).
+    session, time or usage). Where they are all that is asked for, ``line_statuses`` costs less.
     """
     is_object = _is_json("line", "{")
     # Generators, so that what follows does not parse a line anew for each field it reads.
     read = F.struct(is_object.alias("is_object"), F.from_json("line", ENVELOPE).alias("doc"))
     once = lines.select("*", F.explode(F.array(read)).alias("read")).select(*lines.columns, "read.is_object", "read.doc")
     parsed = once.select("*", F.explode(F.array(rfc3339_ms(F.col("doc.timestamp")))).alias("ts_ms"))
-    kind = F.col("doc.type")
-    complete = F.col("doc.sessionId").isNotNull() & F.col("ts_ms").isNotNull() & F.col("doc.message.usage").isNotNull()
-    status = (
-        F.when(~F.col("is_object"), "malformed")
-        .when(kind == "user", "user")
-        .when((kind == "assistant") & complete, "assistant")
-        .when(kind == "assistant", "invalid")
-        .otherwise("other")
-    )
-    return parsed.withColumn("status", status).drop("is_object")
+    flag = F.coalesce("doc.isSidechain", F.lit(False))
+    return parsed.select("*", _status(F.col("is_object"), "doc", F.col("ts_ms")).alias("status"), flag.alias("is_sidechain")).drop("is_object")
 
 
 def parse_stats(parsed: DataFrame) -> DataFrame:
-    """One row: lines read, assistant lines, skipped, malformed and invalid ones, and those of side chains."""
+    """One row: lines read, assistant lines, skipped, malformed and invalid ones, and those of side chains, of lines with their statuses."""
     status = F.col("status")
     return parsed.agg(
         F.count("*").alias("read"),
@@ -56,7 +71,7 @@ def parse_stats(parsed: DataFrame) -> DataFrame:
         F.count_if(status.isin("user", "other")).alias("skipped"),
         F.count_if(status == "malformed").alias("malformed"),
         F.count_if(status == "invalid").alias("invalid"),
-        F.count_if((status == "assistant") & F.col("doc.isSidechain")).alias("sidechain"),
+        F.count_if((status == "assistant") & F.col("is_sidechain")).alias("sidechain"),
     )
 
 

@@ -604,7 +604,7 @@ SELECT 2 * count(*) AS read, 2 * count(*) FILTER (NOT cut AND a) AS assistant, 2
   2 * count(*) FILTER (NOT cut AND a AND session_id IS NULL) AS invalid, 2 * count(*) FILTER (NOT cut AND a AND session_id IS NOT NULL AND query_source = 'subagent') AS sidechain FROM r""",
 )
 def _(spark, d):
-    return transcripts.parse_stats(transcripts.parse_lines(_transcript_lines(spark, d)))
+    return transcripts.parse_stats(transcripts.line_statuses(_transcript_lines(spark, d)))
 
 
 @query("transcript_messages", f"WITH {REQUESTS_SQL} SELECT request_id || ':2' AS uuid, session_id, request_id, 'assistant' AS role, timestamp_ms FROM requests WHERE event_type = 'api_request' AND session_id IS NOT NULL AND CAST(substr(request_id, 5) AS BIGINT) % 89 <> 0")

@@ -125,6 +125,27 @@ def test_lines_are_told_without_their_schema(spark):
     assert "schema_of_variant" not in transcripts.parse_stats(parsed)._jdf.queryExecution().optimizedPlan().toString().lower().replace("schemaofvariant", "schema_of_variant")
 
 
+def test_statuses_are_told_by_one_parse(spark, sf):
+    """Statuses and side chains are those of the whole parse, for odd lines too; the query of the stats reads no other fields."""
+    from meterloom.plans import catalog
+
+    usage = {"input_tokens": 1}
+    odd = [{"message": m} for m in (None, 1, "", [], {}, [{"usage": usage}], *({"model": 5, "usage": u, "content": 1} for u in (None, 1, "", [], [{}], {}, {"input_tokens": {}}, {"cache_creation": 5})))]
+    odd += [{"isSidechain": x} for x in (True, False, None, "true", "false", "x", 1, 0, 1.5, {}, [True])]
+    odd += [{"sessionId": x} for x in (None, "", 5, 1.50, False, {}, [1])] + [{"ts": x} for x in (None, "", 7, "2026-03-02T08:15:60Z", "2026-03-02T08:15:27Z", "2026-02-30T08:15:27Z", ["2026-03-02T08:15:27Z"])]
+    odd += [{"kind": x} for x in (None, "", "User", "user", "system", 1, ["assistant"], {"a": "assistant"})]
+    texts = [line(**o) for o in odd] + ["{}", " \t\r\n{}", "[1]", "[{}]", "null", '"{"', "{", "{'a':1}", '{"a":NaN}', '{"a":1,"a":2}', "\u00a0{}", "\ufeff{}", "", None, "true"]
+    texts += [line()[:-1] + x for x in ("", "} x", "}}", ',"a":1,"a":2}', ',"type":"user"}', ',"a":{"b":1,"b":2}}', ',"a":1e400}', ',"a":"\\ud800"}', ',"a":NaN}', ',"a":' + "[" * 1200 + "]" * 1200 + "}", ',"a":' + "1" * 1100 + "}")]
+    rows = spark.createDataFrame([("f", k, t) for k, t in enumerate(texts)], "file string, pos long, line string")
+    told = lambda frame: {r["pos"]: (r["status"], r["is_sidechain"]) for r in frame.select("pos", "status", "is_sidechain").collect()}
+    got, want = told(transcripts.line_statuses(rows)), told(transcripts.parse_lines(rows))
+    assert [(texts[k], got[k], want[k]) for k in want if got[k][0] != want[k][0] or (got[k][1] != want[k][1] and want[k][0] != "malformed")] == []
+    assert {s for s, _ in want.values()} == {"malformed", "other", "user", "assistant", "invalid"}
+    assert transcripts.parse_stats(transcripts.line_statuses(rows)).collect() == transcripts.parse_stats(transcripts.parse_lines(rows)).collect()
+    plan = catalog.QUERIES["transcript_stats"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") == 1 and "from_json" not in plan
+
+
 def test_lines_are_dealt_out(spark, sf):
     """The lines are made and parsed in a few tasks for each core, though the events have one split."""
     from meterloom.plans import catalog, testbed
